@@ -1,16 +1,20 @@
 """Queries and oracle SQL of the corpus operators."""
 
-from . import decontaminate, mixing, tokens
+from . import chat, decontaminate, fingerprints, jaccard, mixing, quality, tokens
 
 
 def queries() -> dict:
     return {
+        "op1_simhash": fingerprints.op1,
+        "op2_ngram_jaccard": jaccard.op2,
         "op5_pareto_mix": mixing.op5,
         "op6_decontamination": decontaminate.op6,
         "op7_token_counts": tokens.op7,
         "op8_token_ids": tokens.op8,
+        "op9_chat_format": chat.op9,
+        "op10_quality": quality.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_pareto_mix": mixing.ORACLE}
+    return {"op5_pareto_mix": mixing.ORACLE, "op9_chat_format": chat.ORACLE}
