@@ -8,7 +8,9 @@ of the agreed partitions is not empty; the few other sets (``m`` is chosen so) a
 
 Groups of one signature are linked in two rounds, so that no group is expanded into all its pairs. First each member is compared
 with the group's first member; components of the links found are built; then only pairs of a group that still lie in different
-components are compared. Every comparison is exact, on whole sets.
+components are compared. Before whole sets are compared, odd sketches decide most pairs that share a signature by chance: bit
+h(x) mod 512 is flipped for each element x, so two sketches differ in no more bits than the sets in elements, and a pair that
+differs in more bits than its sizes allow cannot link. Every remaining comparison is exact, on whole sets.
 
 Sets are known by 128-bit hashes and shingles by 64-bit ones. Null, empty and blank texts have empty sets and link with nothing;
 equal sets link; repeated rows are equal sets; rows with a null doc_id are returned with a null component. Other columns are
@@ -69,6 +71,22 @@ def signatures(owner: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, percent
     return np.concatenate(out_owner), np.concatenate(out).view(np.int64)
 
 
+SKETCH = 8  # words of 64 bits
+
+
+def odd_sketches(owner: np.ndarray, hashes: np.ndarray, n_owners: int) -> np.ndarray:
+    """A row of ``SKETCH`` 64-bit words for each set."""
+    out = np.zeros((n_owners, SKETCH), U)
+    h = mixed(hashes ^ U(0x2545F4914F6CDD1D))
+    np.bitwise_xor.at(out, (owner, (h & U(SKETCH - 1)).astype(np.int64)), U(1) << (h >> U(58)))
+    return out.view(np.int64)
+
+
+def _differ(a: str, b: str):
+    """How many bits two sketches differ in."""
+    return sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH)), F.lit(0))
+
+
 def _sets(texts, n: int):
     raw = [utf8(t) for t in texts]
     for part in groups([len(r) for r in raw], BATCH_BYTES):
@@ -102,9 +120,11 @@ def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 at, sign = signatures(owner[keep], hashes[keep], np.where(new, sizes, 0), percent)
                 order = np.argsort(at, kind="stable")
                 cut = np.searchsorted(at[order], np.arange(1, len(sizes)))
-                yield pd.DataFrame({"doc_id": ids, "n_shingles": sizes, "ha": ha, "hb": hb, "signatures": np.split(sign[order], cut)})
+                sketch = odd_sketches(owner[keep], hashes[keep], len(sizes))
+                sketches = [r if k else None for r, k in zip(sketch, new)]
+                yield pd.DataFrame({"doc_id": ids, "n_shingles": sizes, "ha": ha, "hb": hb, "signatures": np.split(sign[order], cut), "sketch": sketches})
 
-    return staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, ha long, hb long, signatures array<long>"), "signed")
+    return staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, ha long, hb long, signatures array<long>, sketch array<long>"), "signed")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -151,26 +171,30 @@ def near_classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Dat
     sets = ["ha", "hb", "n_shingles"]
     firsts = staged(all_rows.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("first")), "firsts")
     # The documents that signed, by the first of their set.
-    signers = all_rows.where("size(signatures) > 0").join(firsts, sets).select("first", "n_shingles", F.explode("signatures").alias("signature"))
+    signers = all_rows.where("size(signatures) > 0").join(firsts, sets)
     w = Window.partitionBy("signature")
-    grouped = signers.withColumn("low", F.min("first").over(w)).withColumn("high", F.max("first").over(w)).where("low < high").select("signature", "first", "n_shingles", "low").distinct()
+    grouped = signers.select("first", F.explode("signatures").alias("signature")).withColumn("low", F.min("first").over(w)).withColumn("high", F.max("first").over(w)).where("low < high").select("signature", "first", "low").distinct()
     grouped = staged(grouped, "groups")
-    size_of = grouped.select("first", "n_shingles").distinct()
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow a link."""
-        sized = pairs.join(size_of.select(F.col("first").alias("a"), F.col("n_shingles").alias("na")), "a").join(size_of.select(F.col("first").alias("b"), F.col("n_shingles").alias("nb")), "b")
-        return sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-
-    stars = alike(grouped.where("first > low").select(F.col("low").alias("a"), F.col("first").alias("b")).distinct())
-    found = linked(staged(stars, "stars"), docs, n, percent)
+    known = signers.groupBy("first").agg(F.min_by(F.struct("n_shingles", "sketch"), "doc_id").alias("k")).select("first", F.col("k.n_shingles").alias("size"), F.col("k.sketch").alias("sketch"))
+    known = staged(known.join(grouped.select("first").distinct(), "first", "left_semi"), "known")
+
+    def may_link(a: str, b: str):
+        """Sizes and sketches allow a link."""
+        sizes = F.col(f"{a}.size"), F.col(f"{b}.size")
+        return (100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & ((100 + percent) * _differ(a, b) <= (100 - percent) * (sizes[0] + sizes[1]))
+
+    stars = grouped.where("first > low").select("low", "first").distinct()
+    stars = stars.join(known.alias("x"), F.col("low") == F.col("x.first")).join(known.alias("y"), stars["first"] == F.col("y.first")).where(may_link("x", "y")).select(F.col("x.first").alias("a"), F.col("y.first").alias("b"))
+    stars = staged(stars, "stars")
+    found = linked(stars, docs, n, percent)
     home = components(found)
     placed = grouped.join(home.withColumnRenamed("node", "first"), "first", "left").select("signature", "first", F.coalesce("component", "first").alias("component"))
     open_ = placed.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).where("lo < hi").select("signature", "first", "component")
-    open_ = staged(open_, "open")
+    open_ = staged(open_.join(known, "first"), "open")
     x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.signature") == F.col("y.signature")) & (F.col("x.first") < F.col("y.first")) & (F.col("x.component") != F.col("y.component"))).select(F.col("x.first").alias("a"), F.col("y.first").alias("b")).distinct()
-    rest = alike(rest.join(stars, ["a", "b"], "left_anti"))
+    alike = (F.col("x.signature") == F.col("y.signature")) & (F.col("x.first") < F.col("y.first")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y")
+    rest = x.join(y, alike).select(F.col("x.first").alias("a"), F.col("y.first").alias("b")).distinct()
+    rest = rest.join(stars, ["a", "b"], "left_anti")
     more = linked(staged(rest, "rest"), docs, n, percent)
     final = components(found.union(more))
     by_set = firsts.join(final.withColumnRenamed("node", "first"), "first", "left").select(*sets, F.coalesce("component", "first").alias("component_id"))
