@@ -1,9 +1,55 @@
-"""A training corpus from raw documents, in stages."""
+"""A training corpus from raw documents, in five stages.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the columns of
+``documents``. Tables other than the documents (labels, benchmark) come from ``sf_dir``.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexloom.llm import decontaminate, jaccard, mixing, quality, tokens
+from lexloom.llm._store import new_path, staged
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts, with a model learned from the labelled ones among them."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.scored(docs, model).where("predicted = 1").select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near duplicates (five words, a similarity of 0.8)."""
+    classes = jaccard.near_classes(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(staged(classes, "copies"), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the spans that they share with the benchmark."""
+    clean = decontaminate.decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return clean.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
+    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed token ids, read back: doc_id, start, n_tokens, ids_crc32."""
+    out = new_path(spark, "corpus")
+    tokens.write_packed(docs, out, tokens.vocabulary_path())
+    return tokens.read_packed(spark, out)
+
+
+STAGES = [("quality classifier", good_quality), ("n-gram Jaccard join", one_of_each), ("benchmark decontamination", no_benchmark), ("mixing sources to target weights", mixed), ("token-ID / binary output", token_ids)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,12 +1,14 @@
 """Queries and oracle SQL of the corpus operators."""
 
-from . import chat, decontaminate, fingerprints, jaccard, mixing, quality, tokens
+from . import chat, decontaminate, fingerprints, jaccard, mixing, pii, quality, substrings, tokens
 
 
 def queries() -> dict:
     return {
         "op1_simhash": fingerprints.op1,
         "op2_ngram_jaccard": jaccard.op2,
+        "op3_pii_surrogates": pii.op3,
+        "op4_repeated_substrings": substrings.op4,
         "op5_pareto_mix": mixing.op5,
         "op6_decontamination": decontaminate.op6,
         "op7_token_counts": tokens.op7,
