@@ -31,7 +31,7 @@ def terms(text: str, words: int = WORDS) -> Column:
 
 def _votes(h: Column) -> list[Column]:
     """64 sums that hold the votes of 128 bits."""
-    return [F.sum(F.shiftrightunsigned(x, b).bitwiseAND(F.lit(LANES))).alias(f"{name}{b}") for name, x in (("a", h), ("b", F.xxhash64(h))) for b in range(HALF)]
+    return [F.sum(F.shiftrightunsigned(x, b).bitwiseAND(F.lit(LANES))).alias(f"{name}{b}") for name, x in (("a", h), ("b", F.when(h.isNotNull(), F.xxhash64(h)))) for b in range(HALF)]
 
 
 def _decide(name: str, n: str) -> Column:
