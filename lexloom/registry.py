@@ -1,9 +1,11 @@
 """All queries of the engine and their SQL."""
 
+from .plans import corpus
+
 
 def queries() -> dict:
-    return {}
+    return dict(corpus.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(corpus.SQL)
