@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What a token is, where sentences end, and the marks that end one.
 LETTERS = r"[\p{L}\p{Nl}\p{No}]"
@@ -75,12 +76,12 @@ def without_tags(markup) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(markup, "<[^>]*>", ""), r"[\s\x{A0}]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_marks(text: pd.Series) -> pd.Series:
     """All combining marks removed."""
     return text.map(lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"), na_action="ignore")
@@ -97,6 +98,6 @@ def plain(value: str) -> str:
     return " ".join(html.unescape(re.sub(r"<[^>]*>", "", decoded(value))).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def plain_description(value: pd.Series) -> pd.Series:
     return value.map(plain, na_action="ignore")

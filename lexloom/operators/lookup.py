@@ -7,6 +7,7 @@ Optional spellings are joined on a folded key and then checked position by posit
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import case_variants, in_alphabet, short_vowels, titlecase
 from ..sources.lexicon import SHORT_PREPOSITIONS
@@ -100,12 +101,12 @@ def accepts(query: str, surface: str) -> bool:
     return any(reduced(s) for s in spellings(surface))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def lenient_key(form: pd.Series) -> pd.Series:
     return form.map(lenient_fold, na_action="ignore")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def lenient_accepts(query: pd.Series, surface: pd.Series) -> pd.Series:
     return pd.Series([accepts(q, s) for q, s in zip(query, surface)], dtype=bool)
 
