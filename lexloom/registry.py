@@ -1,11 +1,11 @@
 """All queries of the engine and their SQL."""
 
-from .plans import corpus
+from .plans import corpus, lexicon
 
 
 def queries() -> dict:
-    return dict(corpus.QUERIES)
+    return corpus.QUERIES | lexicon.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(corpus.SQL)
+    return corpus.SQL | lexicon.SQL
