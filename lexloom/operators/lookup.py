@@ -54,7 +54,6 @@ def lenient_fold(form: str) -> str:
     for canonical, accepted in FINAL:
         if form.endswith(accepted):
             form = form[: -len(accepted)] + canonical
-            break
     for canonical, accepted in INITIAL:
         if form.startswith(accepted):
             form = canonical + form[len(accepted) :]
@@ -131,7 +130,7 @@ def cascade(types: DataFrame, analyses: DataFrame, lenient: bool = False, form:
         hits = hits.select(form, "stage", "readings").unionByName(more)
     best = hits.groupBy(form).agg(F.min_by(F.struct("stage", "readings"), "stage").alias("hit"))
     names = F.array(*(F.lit(n) for n in [*(n for n, _ in keys), "lenient lower", "lenient title"]))
-    return types.join(best, form, "left").select(*types.columns, F.when(F.col("hit").isNotNull(), names[F.col("hit.stage")]).alias("stage"), F.coalesce("hit.readings", F.expr("array()").cast("array<struct<lemma:string,tags:array<string>>>")).alias("readings"))
+    return types.join(best, form, "left").select(*types.columns, F.when(F.col("hit").isNotNull(), F.get(names, F.col("hit.stage"))).alias("stage"), F.coalesce("hit.readings", F.expr("array()").cast("array<struct<lemma:string,tags:array<string>>>")).alias("readings"))
 
 
 def resolve_forms(forms: DataFrame, analyses: DataFrame, form: str = "form") -> DataFrame:
@@ -145,4 +144,4 @@ def resolve_forms(forms: DataFrame, analyses: DataFrame, form: str = "form") ->
     best = by.groupBy(form).agg(F.min_by(F.struct("stage", "lemmas", "tags"), "stage").alias("b"))
     methods = F.array(*map(F.lit, ("exact", "case", "macron", "lenient")))
     none = F.array().cast("array<string>")
-    return forms.select(form).distinct().join(best, form, "left").select(form, F.coalesce(methods[F.col("b.stage")], F.lit("gap")).alias("method"), F.coalesce("b.lemmas", none).alias("lemmas"), F.coalesce("b.tags", none).alias("tags"))
+    return forms.select(form).distinct().join(best, form, "left").select(form, F.coalesce(F.get(methods, F.col("b.stage")), F.lit("gap")).alias("method"), F.coalesce("b.lemmas", none).alias("lemmas"), F.coalesce("b.tags", none).alias("tags"))
