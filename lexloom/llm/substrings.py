@@ -208,7 +208,7 @@ def _spans(docs: DataFrame, length: int, hot: int) -> DataFrame:
             yield split(rest)
 
     sampled = texts.mapInPandas(sample, schema)
-    placed = staged(sampled.repartition("h").sortWithinPartitions("h").mapInPandas(group, schema), "sampled")
+    placed = staged(sampled.repartition(F.when(F.col("kind") == 0, F.col("h")).otherwise(F.xxhash64("doc_id", "packed"))).sortWithinPartitions("h").mapInPandas(group, schema), "sampled")
 
     def sides(batches):
         back = length - GRAM
