@@ -38,7 +38,8 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with a struct ``stats`` of the statistics of each whole text."""
     wide = docs.withColumn("__t", F.coalesce(F.col(text), F.lit(""))).withColumn("__w", F.expr(r"array_remove(split(__t, '\\s+'), '')"))
     each = ", ".join(f"'{k}', cast({v.replace('(t', '(__t').replace('(w', '(__w')} as double)" for k, v in STATISTICS.items())
-    return wide.withColumn("stats", F.expr(f"named_struct({each})")).drop("__t", "__w")
+    # A generator, so that a filter on what follows cannot copy the statistics into itself and work them out again and again.
+    return wide.withColumn("stats", F.explode(F.array(F.expr(f"named_struct({each})")))).drop("__t", "__w")
 
 
 Rule = tuple[tuple[str, bool, float], ...]  # (statistic, is above, threshold), all of them
