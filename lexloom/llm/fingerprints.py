@@ -14,6 +14,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._store import staged
+
 WORDS, BUCKET_ROWS, MOST_BUCKETS = 5, 2000, 10_000
 LANES = 0x0000000100000001
 HALF = 32
@@ -97,16 +99,15 @@ def edited_pairs(docs: DataFrame, words: int = WORDS) -> DataFrame:
     w = Window.partitionBy("bucket").orderBy("place")
     return (
         wide.withColumn("na", F.lead("fa").over(w)).withColumn("nb", F.lead("fb").over(w)).where("guest = 0")
-        .select("doc_id", "n_chars", "edited_sha256", as_text("fa", "fb").alias("fingerprint"), as_text("ea", "eb").alias("edited_fingerprint"), likeness("fa", "fb", "ea", "eb").alias("near_edited"), likeness("fa", "fb", "na", "nb").alias("near_next"))
+        .select("doc_id", "n_chars", "edited_sha256", "fa", "fb", as_text("fa", "fb").alias("fingerprint"), as_text("ea", "eb").alias("edited_fingerprint"), likeness("fa", "fb", "ea", "eb").alias("near_edited"), likeness("fa", "fb", "na", "nb").alias("near_next"))
     )
 
 
-def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3, spare: int = 2) -> DataFrame:
-    """All (query, found, distance) with a Hamming distance of at most ``radius`` between two tables (id, fa, fb).
+def near_prints(queries: DataFrame, prints: DataFrame, radius: int = 3, spare: int = 2) -> DataFrame:
+    """All (qa, qb, pa, pb, distance) of distinct fingerprints of two tables (fa, fb) with a Hamming distance of at most ``radius``.
 
     The 128 bits fall into radius + ``spare`` blocks. Two fingerprints within the radius agree on at least ``spare`` whole
-    blocks, so they meet in the table that has these blocks permuted to the front as its key. Equal fingerprints are joined
-    once, through their distinct values.
+    blocks, so they meet in the table that has these blocks permuted to the front as its key.
     """
     blocks = radius + spare
     edges = [BITS * i // blocks for i in range(blocks + 1)]
@@ -126,10 +127,20 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3, spare:
 
     q, p = tables(queries).alias("q"), tables(prints).alias("p")
     distance = F.bit_count(F.col("q.fa").bitwiseXOR(F.col("p.fa"))) + F.bit_count(F.col("q.fb").bitwiseXOR(F.col("p.fb")))
-    near = q.join(p, (F.col("q.t") == F.col("p.t")) & (F.col("q.k") == F.col("p.k"))).where(distance <= radius).select(F.col("q.fa").alias("qa"), F.col("q.fb").alias("qb"), F.col("p.fa").alias("pa"), F.col("p.fb").alias("pb"), distance.alias("distance")).distinct()
+    return q.join(p, (F.col("q.t") == F.col("p.t")) & (F.col("q.k") == F.col("p.k"))).where(distance <= radius).select(F.col("q.fa").alias("qa"), F.col("q.fb").alias("qb"), F.col("p.fa").alias("pa"), F.col("p.fb").alias("pb"), distance.alias("distance")).distinct()
+
+
+def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3, spare: int = 2) -> DataFrame:
+    """All (query, found, distance) of two tables (id, fa, fb); equal fingerprints meet through their distinct values."""
     mine, theirs = queries.select(F.col("id").alias("query"), F.col("fa").alias("qa"), F.col("fb").alias("qb")), prints.select(F.col("id").alias("found"), F.col("fa").alias("pa"), F.col("fb").alias("pb"))
-    return near.join(mine, ["qa", "qb"]).join(theirs, ["pa", "pb"]).select("query", "found", "distance")
+    return near_prints(queries, prints, radius, spare).join(mine, ["qa", "qb"]).join(theirs, ["pa", "pb"]).select("query", "found", "distance")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return edited_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Also n_near: how many documents have a fingerprint within the radius, for the query set of ids divisible by 20."""
+    rows = staged(edited_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet")), "prints")
+    asked = F.col("doc_id") % 20 == 0
+    prints = rows.groupBy("fa", "fb").agg(F.count(F.lit(1)).alias("n"))
+    near = near_prints(rows.where(asked), prints).join(prints.select(F.col("fa").alias("pa"), F.col("fb").alias("pb"), "n"), ["pa", "pb"])
+    counts = near.groupBy(F.col("qa").alias("fa"), F.col("qb").alias("fb")).agg(F.sum("n").alias("k"))
+    return rows.join(counts, ["fa", "fb"], "left").select(*(c for c in rows.columns if c not in ("fa", "fb")), F.when(asked, F.col("k")).alias("n_near"))
