@@ -8,9 +8,9 @@ of the agreed partitions is not empty; the few other sets (``m`` is chosen so) a
 
 Groups of one signature are linked in two rounds, so that no group is expanded into all its pairs. First each member is compared
 with the group's first member; components of the links found are built; then only pairs of a group that still lie in different
-components are compared. Before whole sets are compared, odd sketches decide most pairs that share a signature by chance: bit
-h(x) mod 512 is flipped for each element x, so two sketches differ in no more bits than the sets in elements, and a pair that
-differs in more bits than its sizes allow cannot link. Every remaining comparison is exact, on whole sets.
+components are compared. Before whole sets are compared, odd sketches decide most pairs that share a signature by chance: for
+each element one bit is flipped, so two sketches differ in no more bits than the sets in elements, and a pair that differs in
+more bits than its sizes allow cannot link. Every remaining comparison is exact, on whole sets.
 
 Sets are known by 128-bit hashes and shingles by 64-bit ones. Null, empty and blank texts have empty sets and link with nothing;
 equal sets link; repeated rows are equal sets; rows with a null doc_id are returned with a null component. Other columns are
@@ -22,11 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import small_batches, staged
+from ._store import map_texts, small_batches, staged
 from ._text import PLAIN_WORD, U, groups, mixed, shingles, utf8, words
 from .graph import components
 
-WORDS, PERCENT, BAND, BATCH_BYTES, MEMBERS = 5, 80, 1.5, 4_000_000, 512
+WORDS, PERCENT, BAND, BATCH_BYTES, MEMBERS, FEW = 5, 80, 1.5, 2_000_000, 64, 250_000
 
 
 def bands(percent: int, largest: int) -> list[tuple[int, int, int, int]]:
@@ -71,20 +71,30 @@ def signatures(owner: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, percent
     return np.concatenate(out_owner), np.concatenate(out).view(np.int64)
 
 
-SKETCH = 8  # words of 64 bits
+LEAST_BITS = 256
 
 
-def odd_sketches(owner: np.ndarray, hashes: np.ndarray, n_owners: int) -> np.ndarray:
-    """A row of ``SKETCH`` 64-bit words for each set."""
-    out = np.zeros((n_owners, SKETCH), U)
-    h = mixed(hashes ^ U(0x2545F4914F6CDD1D))
-    np.bitwise_xor.at(out, (owner, (h & U(SKETCH - 1)).astype(np.int64)), U(1) << (h >> U(58)))
-    return out.view(np.int64)
+def odd_sketches(owner: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The sketch of each set in 64-bit words: twice as many bits as the set has elements, rounded up to a power of two."""
+    bits = 2 ** np.ceil(np.log2(np.maximum(2 * sizes, LEAST_BITS))).astype(np.int64)
+    first = np.r_[0, np.cumsum(bits >> 6)]
+    flat = np.zeros(first[-1], U)
+    at = (mixed(hashes ^ U(0x2545F4914F6CDD1D)) & U(2**62 - 1)).astype(np.int64) & (bits[owner] - 1)
+    np.bitwise_xor.at(flat, first[owner] + (at >> 6), U(1) << (at & 63).astype(U))
+    return np.split(flat.view(np.int64), first[1:-1])
 
 
 def _differ(a: str, b: str):
-    """How many bits two sketches differ in."""
-    return sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH)), F.lit(0))
+    """How many bits two sketches differ in. A sketch of twice the length folds onto itself; others can't be compared: 0."""
+    x, y = F.col(f"{a}.sketch"), F.col(f"{b}.sketch")
+
+    def folded(s, n):
+        return F.zip_with(F.slice(s, F.lit(1), n), F.slice(s, n + 1, n), lambda u, v: u.bitwiseXOR(v))
+
+    def count(u, v):
+        return F.aggregate(F.zip_with(u, v, lambda i, j: F.bit_count(i.bitwiseXOR(j)).cast("int")), F.lit(0), lambda n, k: n + k)
+
+    return F.when(F.size(x) == F.size(y), count(x, y)).when(F.size(x) == 2 * F.size(y), count(folded(x, F.size(y)), y)).when(F.size(y) == 2 * F.size(x), count(x, folded(y, F.size(x)))).otherwise(0)
 
 
 def _sets(texts, n: int):
@@ -100,16 +110,16 @@ def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, ha, hb (the set's hash) of all rows; signatures of the first row of each set within a task."""
     small_batches(docs.sparkSession)
 
-    def run(batches):
+    def work():
         seen: set = set()
-        for b in batches:
-            for part, owner, hashes, sizes in _sets(b["text"], n):
-                ids = b["doc_id"].iloc[part].array
+
+        def each(texts):
+            for part, owner, hashes, sizes in _sets(texts, n):
                 first = np.r_[0, np.cumsum(sizes)]
                 with np.errstate(over="ignore"):
                     sums = [np.r_[U(0), np.cumsum(mixed(hashes + U(c)))] for c in (1, 2)]
                     ha, hb = ((s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums)
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 new = np.zeros(len(sizes), bool)
                 for i, key in enumerate(zip(ha.tolist(), hb.tolist(), sizes.tolist())):
@@ -120,19 +130,26 @@ def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 at, sign = signatures(owner[keep], hashes[keep], np.where(new, sizes, 0), percent)
                 order = np.argsort(at, kind="stable")
                 cut = np.searchsorted(at[order], np.arange(1, len(sizes)))
-                sketch = odd_sketches(owner[keep], hashes[keep], len(sizes))
-                sketches = [r if k else None for r, k in zip(sketch, new)]
-                yield pd.DataFrame({"doc_id": ids, "n_shingles": sizes, "ha": ha, "hb": hb, "signatures": np.split(sign[order], cut), "sketch": sketches})
+                sketches = odd_sketches(owner[keep], hashes[keep], np.where(new, sizes, 0))
+                yield part, {"n_shingles": sizes, "ha": ha, "hb": hb, "signatures": np.split(sign[order], cut), "sketch": [r if k else None for r, k in zip(sketches, new)]}
 
-    return staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, ha long, hb long, signatures array<long>, sketch array<long>"), "signed")
+        return each
+
+    return staged(map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], "n_shingles long, ha long, hb long, signatures array<long>, sketch array<long>", work), "signed")
 
 
 def linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose whole sets are alike enough. A first member with many partners spreads over salts."""
+    """The pairs (a, b) of doc_ids whose whole sets are alike enough. A first member with many partners spreads over salts.
+
+    Up to ``FEW`` comparisons (some 20 MB) are broadcast to the texts; more are joined, which shuffles the texts.
+    """
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))
     members = pairs.join(salts, "a").select(F.col("b").alias("doc_id"), F.struct(F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role")).alias("part"))
     centres = salts.select(F.col("a").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select("doc_id", F.struct(F.col("doc_id").alias("centre"), "salt", F.lit(0).alias("role")).alias("part"))
-    parts = members.union(centres).groupBy("doc_id").agg(F.collect_list("part").alias("parts"))
+    parts = staged(members.union(centres), "parts")
+    few = parts.count() <= FEW  # then the texts stay where they are
+    parts = parts.groupBy("doc_id").agg(F.collect_list("part").alias("parts"))
+    parts = F.broadcast(parts) if few else parts
 
     def sets(batches):
         for b in batches:
@@ -169,35 +186,41 @@ def near_classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Dat
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every row."""
     all_rows = signed(docs, n, percent)
     sets = ["ha", "hb", "n_shingles"]
-    firsts = staged(all_rows.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("first")), "firsts")
-    # The documents that signed, by the first of their set.
-    signers = all_rows.where("size(signatures) > 0").join(firsts, sets)
+    signers = all_rows.where("size(signatures) > 0")
     w = Window.partitionBy("signature")
-    grouped = signers.select("first", F.explode("signatures").alias("signature")).withColumn("low", F.min("first").over(w)).withColumn("high", F.max("first").over(w)).where("low < high").select("signature", "first", "low").distinct()
+    shared = signers.select("doc_id", F.explode("signatures").alias("signature")).withColumn("low", F.min("doc_id").over(w)).withColumn("high", F.max("doc_id").over(w)).where("low < high").select("signature", "doc_id")
+    shared = staged(shared, "shared")
+    # A set goes by its first document. Sizes, copies and sketches of the sets that share a signature: few columns.
+    firsts = staged(all_rows.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
+    known = staged(signers.select("doc_id", *sets, "sketch").join(shared.select("doc_id").distinct(), "doc_id", "left_semi").join(firsts, sets), "known")
+    each = known.groupBy("first").agg(F.min_by(F.struct("n_shingles", "sketch"), "doc_id").alias("k")).select("first", "k.*")
+    each = staged(each, "sets")
+    # The set with most copies is the first member of a group: others are most likely to be copies of it.
+    grouped = shared.join(known.select("doc_id", "first", "copies"), "doc_id").select("signature", "first", "copies").distinct()
+    grouped = grouped.withColumn("centre", F.min(F.struct((-F.col("copies")).alias("c"), "first")).over(w)["first"]).withColumn("many", F.count(F.lit(1)).over(w)).where("many > 1").select("signature", "first", "centre")
     grouped = staged(grouped, "groups")
-    known = signers.groupBy("first").agg(F.min_by(F.struct("n_shingles", "sketch"), "doc_id").alias("k")).select("first", F.col("k.n_shingles").alias("size"), F.col("k.sketch").alias("sketch"))
-    known = staged(known.join(grouped.select("first").distinct(), "first", "left_semi"), "known")
 
     def may_link(a: str, b: str):
         """Sizes and sketches allow a link."""
-        sizes = F.col(f"{a}.size"), F.col(f"{b}.size")
+        sizes = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
         return (100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & ((100 + percent) * _differ(a, b) <= (100 - percent) * (sizes[0] + sizes[1]))
 
-    stars = grouped.where("first > low").select("low", "first").distinct()
-    stars = stars.join(known.alias("x"), F.col("low") == F.col("x.first")).join(known.alias("y"), stars["first"] == F.col("y.first")).where(may_link("x", "y")).select(F.col("x.first").alias("a"), F.col("y.first").alias("b"))
+    stars = grouped.where("first <> centre").select("centre", F.col("first").alias("other")).distinct()
+    stars = stars.join(each.alias("x"), F.col("centre") == F.col("x.first")).join(each.alias("y"), F.col("other") == F.col("y.first")).where(may_link("x", "y")).select(F.col("x.first").alias("a"), F.col("y.first").alias("b"))
     stars = staged(stars, "stars")
     found = linked(stars, docs, n, percent)
-    home = components(found)
-    placed = grouped.join(home.withColumnRenamed("node", "first"), "first", "left").select("signature", "first", F.coalesce("component", "first").alias("component"))
+    home = components(found).withColumnRenamed("node", "first")
+    placed = grouped.join(home, "first", "left").select("signature", "first", F.coalesce("component", "first").alias("component"))
     open_ = placed.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).where("lo < hi").select("signature", "first", "component")
-    open_ = staged(open_.join(known, "first"), "open")
+    open_ = staged(open_.join(each, "first"), "open")
     x, y = open_.alias("x"), open_.alias("y")
     alike = (F.col("x.signature") == F.col("y.signature")) & (F.col("x.first") < F.col("y.first")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y")
     rest = x.join(y, alike).select(F.col("x.first").alias("a"), F.col("y.first").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
+    tried = stars.union(stars.select("b", "a"))
+    rest = rest.join(tried, ["a", "b"], "left_anti")
     more = linked(staged(rest, "rest"), docs, n, percent)
-    final = components(found.union(more))
-    by_set = firsts.join(final.withColumnRenamed("node", "first"), "first", "left").select(*sets, F.coalesce("component", "first").alias("component_id"))
+    final = components(found.union(more)).withColumnRenamed("node", "first")
+    by_set = firsts.join(final, "first", "left").select(*sets, F.coalesce("component", "first").alias("component_id"))
     return all_rows.select("doc_id", *sets).join(by_set, sets, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
