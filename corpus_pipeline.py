@@ -15,14 +15,18 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts, with a model learned from the labelled ones among them."""
+    docs = docs.select(*COLUMNS)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.scored(docs, model).where("predicted = 1").select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates (five words, a similarity of 0.8)."""
-    classes = jaccard.near_classes(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(staged(classes, "copies"), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """The document with the smallest doc_id of each group of near duplicates (five words, a similarity of 0.8). Documents without
+    a doc_id stay."""
+    docs = docs.select(*COLUMNS)
+    copies = staged(jaccard.near_classes(docs).where("component_id <> doc_id").select("doc_id").distinct(), "copies")
+    named = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return named.union(docs.where("doc_id is null").select(*named.columns)).select(*COLUMNS)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +36,9 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it; documents without a doc_id can't be asked for and go."""
     copies = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    return docs.select(*COLUMNS).join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,12 +17,10 @@ empty results (an empty benchmark: nothing is hit).
 import hashlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._store import small_batches
+from ._store import map_texts, small_batches
 from ._text import ALNUM_WORD, U, groups, utf8, words
 
 WINDOW, BLOCK_ITEMS, SHARD_BYTES, SAMPLE = 10, 20_000, 4_000_000, 8
@@ -199,9 +197,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     blocks.append(Phrases(block, window))
     sent = spark.sparkContext.broadcast(blocks)
 
-    def run(batches):
-        for b in batches:
-            raw_all = [utf8(t) for t in b["text"]]
+    def work():
+        def each(texts):
+            raw_all = [utf8(t) for t in texts]
             for part in groups([len(r) for r in raw_all], SHARD_BYTES):
                 raw = raw_all[part]
                 hashes, owner, start, end = words(raw, ALNUM_WORD)
@@ -212,7 +210,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                     for o, p in np.unique(np.c_[owners, places], axis=0) if len(owners) else ():
                         found[o].add(phrases.names[p])
                 n_words, n_hit = np.bincount(owner, minlength=len(raw)), np.bincount(owner[hit], minlength=len(raw))
-                spans, clean = [[] for _ in raw], list(b["text"].iloc[part])
+                spans, clean = [[] for _ in raw], texts[part]
                 first = np.searchsorted(owner, np.arange(len(raw) + 1))
                 for o in np.flatnonzero(n_hit):
                     own = slice(first[o], first[o + 1])
@@ -220,16 +218,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                     spans[o] = [(int(start[own][x]), int(end[own][y - 1])) for x, y in zip(a, z)]
                     edges = [0, *(e for s in spans[o] for e in s), len(raw[o])]
                     clean[o] = b"".join(raw[o][x:y] for x, y in zip(edges[::2], edges[1::2])).decode("utf-8", "replace")
-                out = b.iloc[part][kept].copy()
-                out["n_words"], out["n_hit"] = n_words, n_hit
-                out["item_ids"] = [sorted(map(str, x)) for x in found]
-                out["spans"] = [[{"start": s, "end": e} for s, e in x] for x in spans]
-                out["clean_text"] = clean
-                yield out
-
-    added = T.StructType.fromDDL("n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,end:int>>, clean_text string")
-    schema = T.StructType([docs.schema[c] for c in kept] + added.fields)
-    return docs.select(*dict.fromkeys([*kept, "text"])).mapInPandas(run, schema)
+                yield part, {"n_words": n_words, "n_hit": n_hit, "item_ids": [sorted(map(str, x)) for x in found], "spans": [[{"start": s, "end": e} for s, e in x] for x in spans], "clean_text": clean}
+
+        return each
+
+    return map_texts(docs, kept, "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,end:int>>, clean_text string", work)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

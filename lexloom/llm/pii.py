@@ -19,12 +19,10 @@ import ipaddress
 import re
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._store import small_batches
+from ._store import map_texts, small_batches
 
 KEY = b"surrogates"
 _DIGITS, _SMALL, _LARGE = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -246,17 +244,16 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """The documents with surrogate_text and entities (kind, entity, surrogate)."""
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("surrogate_text", "entities")]
-    added = T.StructType.fromDDL("surrogate_text string, entities array<struct<kind:string,entity:string,surrogate:string>>")
 
-    def run(batches):
-        for b in batches:
-            results = [replaced(t, key) if isinstance(t, str) else (None, []) for t in b["text"]]
-            out = b[kept].copy()
-            out["surrogate_text"] = pd.Series([t for t, _ in results], index=out.index, dtype=object)
-            out["entities"] = [[dict(zip(("kind", "entity", "surrogate"), e)) for e in found] for _, found in results]
-            yield out
+    def work():
+        def each(texts):
+            results = [replaced(t, key) if isinstance(t, str) else (None, []) for t in texts]
+            named = [[dict(zip(("kind", "entity", "surrogate"), e)) for e in found] for _, found in results]
+            yield slice(0, len(texts)), {"surrogate_text": [t for t, _ in results], "entities": named}
 
-    return docs.select(*dict.fromkeys([*kept, "text"])).mapInPandas(run, T.StructType([docs.schema[c] for c in kept] + added.fields))
+        return each
+
+    return map_texts(docs, kept, "surrogate_text string, entities array<struct<kind:string,entity:string,surrogate:string>>", work)
 
 
 def collisions(surrogated: DataFrame) -> DataFrame:

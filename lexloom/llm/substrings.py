@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ._store import small_batches, staged
 from ._text import U, groups, joined, mixed, prefix_hash, span_hash, utf8
 
-LENGTH, GRAM, HOT, PIECE, BATCH_BYTES, SORT_ROWS = 100, 32, 50_000, 1_000_000, 2_000_000, 50_000
+LENGTH, GRAM, HOT, PIECE, BATCH_BYTES, SORT_ROWS = 100, 32, 2_000, 1_000_000, 2_000_000, 50_000
 
 
 def _least(g: np.ndarray, width: int) -> np.ndarray:
@@ -280,11 +280,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
                         merged.append(list(x))
                 edges = [0, *(e for m in merged for e in m), len(raw)]
                 out.append((doc, len(raw), [{"start": s, "end": e} for s, e in merged], b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2]))))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "spans", "kept"])
-            yield frame.assign(doc_id=pd.array([None if pd.isna(d) else int(d) for d in frame["doc_id"]], "Int64"))
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "spans", "kept"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(spans, "doc_id", "left")
-    return rows.mapInPandas(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    out = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(cut, "doc_id string, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

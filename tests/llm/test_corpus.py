@@ -104,6 +104,7 @@ def test_jaccard(docs, texts, n, percent):
 
 def test_jaccard_of_large_group_and_empty_table(spark, empty, monkeypatch):
     monkeypatch.setattr(jaccard, "MEMBERS", 4)
+    monkeypatch.setattr(jaccard, "FEW", 3)
     rnd = random.Random(5)
     base = [f"w{i}" for i in range(120)]
     texts = []
@@ -207,6 +208,23 @@ def test_repeated_substrings_in_pieces(spark, empty, monkeypatch):
     assert substrings.without_repeats(empty).count() == 0
 
 
+def test_rows_without_ids_and_large_ids(spark, tmp_path):
+    big = 2**60 + 1
+    said = "one two three four five six seven eight nine ten eleven twelve " * 4
+    docs = spark.createDataFrame([(big, said, None, None, None), (None, said, "en", "s", 1), (None, None, None, None, None), (big + 1, said + "x", None, None, 5)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    ids = {None, big, big + 1}
+    bench = spark.createDataFrame([(None, "nine ten eleven"), (1, None)], "item_id long, text string")
+    out = str(tmp_path / "p")
+    tokens.write_packed(docs, out, tokens.vocabulary_path())
+    made = [jaccard.near_classes(docs), substrings.without_repeats(docs), mixing.mix(docs), decontaminate.decontaminate(docs, bench), pii.with_surrogates(docs), tokens.read_packed(spark, out), fingerprints.edited_pairs(docs)]
+    for df in made:
+        rows = df.collect()
+        assert len(rows) == 4 and {r["doc_id"] for r in rows} == ids
+    assert {r["n_chars"] for r in made[3].collect()} == {None, 1, 5}
+    assert {r["doc_id"] for r in made[3].where("n_hit > 0").collect()} == ids
+    assert quality.scored(docs, quality.fit(docs, spark.createDataFrame([(big, 1)], "doc_id long, quality int"))).count() == 4
+
+
 def test_names_of_letter_rows():
     rng = np.random.default_rng(0)
     rows = rng.integers(0, 3, (200, 13)).astype(np.uint64)
