@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.text import plain
 
 LANGUAGES = ("en", "de", "lt", "lv", "pl", "ru")  # fixed values
 ENTRY = "position long, id string, lemma string, homograph int, pos string, gender string, paradigm string, numtype string, label string, description string, attested map<string,array<string>>, stems map<string,string>, translations map<string,array<string>>, relations array<struct<kind:string,target:string,role:string>>, head array<string>, tail array<string>"
@@ -61,7 +62,7 @@ def parse(text: str) -> list[dict]:
         elif section == "sense" and name in LANGUAGES:
             now["translations"].setdefault(name, []).append(value)
         elif name == "desc":
-            now["description"] = tx.plain(value)
+            now["description"] = plain(value)
         elif name == "role" and now["relations"]:
             now["relations"][-1]["role"] = value
         now["tail" if now.get("seen_form") else "head"].append(line)
