@@ -97,6 +97,11 @@ def _differ(a: str, b: str):
     return F.when(F.size(x) == F.size(y), count(x, y)).when(F.size(x) == 2 * F.size(y), count(folded(x, F.size(y)), y)).when(F.size(y) == 2 * F.size(x), count(x, folded(y, F.size(x)))).otherwise(0)
 
 
+def _fold(sketch: str, j: int):
+    """One of the four words of a sketch folded to 256 bits."""
+    return F.aggregate(F.filter(sketch, lambda x, i: i % 4 == j), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+
+
 def _sets(texts, n: int):
     raw = [utf8(t) for t in texts]
     for part in groups([len(r) for r in raw], BATCH_BYTES):
@@ -194,16 +199,18 @@ def near_classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Dat
     firsts = staged(all_rows.where("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "firsts")
     known = staged(signers.select("doc_id", *sets, "sketch").join(shared.select("doc_id").distinct(), "doc_id", "left_semi").join(firsts, sets), "known")
     each = known.groupBy("first").agg(F.min_by(F.struct("n_shingles", "sketch"), "doc_id").alias("k")).select("first", "k.*")
-    each = staged(each, "sets")
+    each = staged(each.select("*", *(_fold("sketch", j).alias(f"fold{j}") for j in range(4))), "sets")
     # The set with most copies is the first member of a group: others are most likely to be copies of it.
     grouped = shared.join(known.select("doc_id", "first", "copies"), "doc_id").select("signature", "first", "copies").distinct()
     grouped = grouped.withColumn("centre", F.min(F.struct((-F.col("copies")).alias("c"), "first")).over(w)["first"]).withColumn("many", F.count(F.lit(1)).over(w)).where("many > 1").select("signature", "first", "centre")
     grouped = staged(grouped, "groups")
 
     def may_link(a: str, b: str):
-        """Sizes and sketches allow a link."""
+        """Sizes and sketches allow a link. Sketches folded to 256 bits are compared first: that decides most small sets."""
         sizes = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-        return (100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & ((100 + percent) * _differ(a, b) <= (100 - percent) * (sizes[0] + sizes[1]))
+        room = (100 - percent) * (sizes[0] + sizes[1])
+        folded = sum((F.bit_count(F.col(f"{a}.fold{j}").bitwiseXOR(F.col(f"{b}.fold{j}"))) for j in range(4)), F.lit(0))
+        return (100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & ((100 + percent) * folded <= room) & ((100 + percent) * _differ(a, b) <= room)
 
     stars = grouped.where("first <> centre").select("centre", F.col("first").alias("other")).distinct()
     stars = stars.join(each.alias("x"), F.col("centre") == F.col("x.first")).join(each.alias("y"), F.col("other") == F.col("y.first")).where(may_link("x", "y")).select(F.col("x.first").alias("a"), F.col("y.first").alias("b"))
