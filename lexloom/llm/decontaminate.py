@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ._store import map_texts, small_batches
 from ._text import ALNUM_WORD, U, groups, utf8, words
 
-WINDOW, BLOCK_ITEMS, SHARD_BYTES, SAMPLE = 10, 20_000, 4_000_000, 8
+WINDOW, BLOCK_ITEMS, SHARD_BYTES, SAMPLE = 10, 20_000, 2_000_000, 8
 
 
 class FMIndex:
