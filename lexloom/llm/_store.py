@@ -49,11 +49,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def map_texts(df: DataFrame, kept: list[str], added: str, work) -> DataFrame:
+def map_texts(df: DataFrame, kept: list[str], added: str, work, arrow: bool = False) -> DataFrame:
     """``kept`` columns of ``df`` as they are, and the columns of the DDL ``added`` that ``work`` makes of its texts.
 
-    ``work`` is called once a partition and gives a function from a list of texts to an iterator of (slice, {column: values})
-    that cover the list in order. Other columns never pass through Python values, so nulls and large numbers stay exact.
+    ``work`` is called once a partition and gives a function from a list (or Arrow array) of texts to an iterator of (slice,
+    {column: values}) that cover it in order. It may give a second function, which is called at the partition's end. Other
+    columns never pass through Python values, so nulls and large numbers stay exact.
     """
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
@@ -65,13 +66,17 @@ def map_texts(df: DataFrame, kept: list[str], added: str, work) -> DataFrame:
         import pyarrow as pa
 
         each = work()
+        each, end = each if isinstance(each, tuple) else (each, None)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            texts = batch.column(batch.schema.get_field_index("text"))
+            texts = texts if arrow else texts.to_pylist()
             for part, values in each(texts):
                 n = part.stop - part.start
                 columns = {c: batch.column(batch.schema.get_field_index(c)).slice(part.start, n) for c in kept}
                 columns |= {c: v if isinstance(v, pa.Array) else pa.array(v, t) for (c, t), v in zip(types.items(), (values[c] for c in types))}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        if end:
+            end()
 
     schema = StructType([df.schema[c] for c in kept] + fields)
     return df.select(*dict.fromkeys([*kept, "text"])).mapInArrow(run, schema)

@@ -14,6 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._ranges import bounds_of, range_index
 from ._store import staged
 
 WORDS, BUCKET_ROWS, MOST_BUCKETS = 5, 2000, 10_000
@@ -72,9 +73,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = docs.count()
     buckets = min(MOST_BUCKETS, max(1, n // BUCKET_ROWS))
-    bounds = rows.select("key").approxQuantile("key", [i / buckets for i in range(1, buckets)], 0.1 / buckets) if buckets > 1 else []
-    cuts = F.array(*(F.lit(int(b)).cast("long") for b in sorted(set(bounds)))) if bounds else None
-    bucket = F.size(F.filter(cuts, lambda b: b <= F.col("key"))) if bounds else F.lit(0)
+    bucket = range_index(F.col("key"), bounds_of(rows, "key", buckets))
     ids = rows.select("key").withColumn("bucket", bucket)
     order = Window.orderBy("bucket")  # a row a bucket
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

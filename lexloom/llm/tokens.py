@@ -12,7 +12,10 @@ columns are ignored; an empty table gives an empty result.
 """
 
 import os
+import sys
+import types
 import zlib
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -20,13 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import new_path, small_batches, staged
+from ._ranges import bounds_of, range_index
+from ._store import map_texts, new_path, small_batches
 from ._text import groups
 
 VOCABULARY, VOCABULARY_SIZE, END_ID = "word_bpe_49k.json", 49_408, 2
 SEPARATOR = 65_535  # no id of the vocabulary
 SEGMENT_TOKENS, BLOCK_TOKENS = 1 << 18, 1 << 16
-BATCH_CHARS = 4_000_000
+BATCH_BYTES, BETWEEN_TASKS = 8_000_000, 120_000
+_MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"  # ASCII marks but those that begin contractions or special tokens
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -36,52 +41,143 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Encodes batches of texts; keeps at most ``most`` distinct pieces."""
+    """Encodes batches of texts. Over ``most`` distinct pieces, those met in one batch only are forgotten."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.ends = Tokenizer.from_file(path), most, None
         self._clear()
 
     def _clear(self):
         self.place, self.ids, self.start, self.used, self.filled = {}, np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0, 0
-        self.length = np.zeros(1 << 16, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            found = [e.ids for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-            length = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for x in found for i in x), np.uint32, int(length.sum()))
-            while self.used + len(part) > len(self.start):
-                self.start, self.length = (np.r_[x, np.zeros_like(x)] for x in (self.start, self.length))
-            while self.filled + len(flat) > len(self.ids):
-                self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
-            self.ids[self.filled : self.filled + len(flat)] = flat
-            self.start[self.used : self.used + len(part)] = self.filled + np.r_[0, np.cumsum(length)[:-1]]
-            self.length[self.used : self.used + len(part)] = length
-            self.place.update(zip(part, range(self.used, self.used + len(part))))
-            self.used, self.filled = self.used + len(part), self.filled + len(flat)
-
-    def __call__(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and the number of ids of each text."""
-        pieces, counts = [], []
-        for t in texts:
-            own = t.replace("\n", " ").split(" ") if isinstance(t, str) else []
-            pieces += own
-            counts.append(len(own))
-        if len(self.place) > self.most:
-            self._clear()
-        if new := set(pieces) - self.place.keys():
-            self._learn(sorted(new))
-        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        self.length, self.met = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+
+    def forget(self, most: int) -> None:
+        """Keep at most so many pieces: those that most batches had in common, and none that one batch only had."""
+        met = self.met[: self.used]
+        often = np.flatnonzero(met > 1)
+        if len(often) > most:
+            often = often[np.argsort(-met[often], kind="stable")[:most]]
+        names, met = list(self.place), met[often]
+        names = [names[i] for i in often]
+        ids, length = self._gather(often)
+        self._clear()
+        self._store(names, ids, length)
+        self.met[: self.used] = (met + 1) // 2
+
+    def _plain(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and the number of ids of each piece."""
+        found = []
+        for at in range(0, len(pieces), 2000):  # the tokenizer's own records are large
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(pieces[at : at + 2000], add_special_tokens=False)]
+        length = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum())), length
+
+    def _letters(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces of letters only: encoded side by side, each ends where the vocabulary marks a word's end."""
+        if self.ends is None:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        ids, length = [], []
+        for at in range(0, len(pieces), 500):
+            part = pieces[at : at + 500]
+            own = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.flatnonzero(self.ends[own])
+            n = np.diff(np.r_[-1, cut])
+            if len(n) != len(part) or int(n.sum()) != len(own):  # a letter that its normal form splits
+                own, n = self._plain(part)
+            ids.append(own)
+            length.append(n)
+        return np.concatenate(ids), np.concatenate(length)
+
+    def _store(self, pieces: list[str], ids: np.ndarray, length: np.ndarray) -> None:
+        while self.used + len(pieces) > len(self.start):
+            self.start, self.length, self.met = (np.r_[x, np.zeros_like(x)] for x in (self.start, self.length, self.met))
+        while self.filled + len(ids) > len(self.ids):
+            self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
+        self.ids[self.filled : self.filled + len(ids)] = ids
+        self.start[self.used : self.used + len(pieces)] = self.filled + np.cumsum(length) - length
+        self.length[self.used : self.used + len(pieces)] = length
+        self.place.update(zip(pieces, range(self.used, self.used + len(pieces))))
+        self.used, self.filled = self.used + len(pieces), self.filled + len(ids)
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         length = self.length[at]
         ends = np.cumsum(length)
         where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - (ends - length), length)
-        upto = np.r_[0, ends][np.cumsum(counts)] if counts else np.zeros(0, np.int64)
-        return self.ids[where], np.diff(np.r_[0, upto])
+        return self.ids[where], length
+
+    def _alias(self, pieces: list[str], parts: list[tuple[str, ...]]) -> None:
+        """Pieces that are several (equally many) known ones, side by side."""
+        if pieces:
+            n = len(parts[0])
+            ids, length = self._gather(np.fromiter(map(self.place.__getitem__, chain.from_iterable(parts)), np.int64, n * len(parts)))
+            self._store(pieces, ids, length.reshape(-1, n).sum(1))
+
+    def _learn(self, new: list[str]) -> None:
+        """The vocabulary cuts letters from a run of marks behind them, and has no capitals: such pieces follow from others."""
+        place = self.place
+        bases, marked, other, capital, small = set(), [], set(), [], set()
+        for x in new:
+            if x.isalpha():
+                bases.add(x)
+            elif (y := x.rstrip(_MARKS)) != x and y.isalpha():
+                marked.append((x, y))
+            else:
+                other.add(x)
+        bases.update(y for _, y in marked if y not in place)
+        for x in bases:
+            y = x.lower()
+            if y != x and y.isalpha() and "Σ" not in x:
+                capital.append((x, y))
+                if y not in place:
+                    small.add(y)
+            else:
+                small.add(x)
+        ends = [x[len(y) :] for x, y in marked]
+        other.update(r for r in set(ends) if r not in place)
+        for pieces, encode in ((list(small), self._letters), (list(other), self._plain)):
+            if pieces:
+                self._store(pieces, *encode(pieces))
+        self._alias([x for x, _ in capital], [(y,) for _, y in capital])
+        self._alias([x for x, _ in marked], [(y, r) for (_, y), r in zip(marked, ends)])
+
+    def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and the number of ids of each text, of a list or Arrow array of texts."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        column = pc.fill_null(texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), "")
+        # The vocabulary lowers letters one by one, as Arrow does but for one letter; special tokens are found before that.
+        kept = pc.or_(pc.match_substring(column, "<"), pc.match_substring(column, "İ"))
+        column = pc.if_else(kept, column, pc.utf8_lower(column))
+        lists = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        if len(self.place) > self.most:
+            self.forget(self.most // 2)
+        known = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        if len(missing := np.flatnonzero(known < 0)):
+            new = [pieces[i] for i in missing]
+            self._learn(new)
+            known[missing] = np.fromiter(map(self.place.__getitem__, new), np.int64, len(new))
+        self.met[known] += 1
+        ids, length = self._gather(known[coded.indices.to_numpy(zero_copy_only=False)])
+        upto = np.r_[0, np.cumsum(length)][lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return ids, np.diff(upto)
+
+    @classmethod
+    def shared(cls, path: str) -> "Encoder":
+        """This process's encoder: a worker keeps what it learned from one task to the next."""
+        kept = sys.modules.setdefault("_lexloom_worker", types.ModuleType("_lexloom_worker")).__dict__.setdefault("encoders", {})
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
 
 
 def width_of(n_ids: int) -> int:
@@ -112,27 +208,36 @@ def unpack(payload: bytes, width: int, start: int, n: int) -> np.ndarray:
 
 
 def encoded(docs: DataFrame, path: str, n_ids: int, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, payload (packed): each document's ids and the end id, staged in the shared folder."""
-    small_batches(docs.sparkSession)
+    """doc_id, n_tokens, payload (packed): each document's ids and the end id."""
+    small_batches(docs.sparkSession, 2500)
     width = width_of(n_ids)
 
-    def run(batches):
-        encoder = Encoder(path)
-        for b in batches:
-            for part in groups([len(t) if isinstance(t, str) else 0 for t in b["text"]], BATCH_CHARS):
-                texts = b["text"].iloc[part].tolist()
-                ids, counts = encoder(texts)
-                ends = np.cumsum(counts)
-                packed = [pack(np.r_[ids[e - n : e], np.uint32(end_id)], width) for e, n in zip(ends, counts)]
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[part].array, "n_tokens": counts + 1, "payload": packed})
+    def work():
+        import pyarrow.compute as pc
+
+        encoder = Encoder.shared(path)
+
+        def each(texts):
+            for part in groups(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), BATCH_BYTES):
+                ids, counts = encoder(texts.slice(part.start, part.stop - part.start))
+                ids = np.insert(ids, np.cumsum(counts), end_id)
+                ends = np.cumsum(counts + 1)
+                yield part, {"n_tokens": counts + 1, "payload": [pack(ids[e - n : e], width) for e, n in zip(ends, counts + 1)]}
+
+        return each, lambda: encoder.forget(BETWEEN_TASKS)
+
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], "n_tokens long, payload binary", work, arrow=True)
 
-    return staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_tokens long, payload binary"), "encoded")
 
+def in_order(docs: DataFrame, enc: DataFrame) -> DataFrame:
+    """shard, doc_id (as text, which nulls do not change), n_tokens, payload: ranges of ascending doc_id, one a partition.
 
-def in_order(enc: DataFrame) -> DataFrame:
-    """Ranges of ascending doc_id, one a partition."""
-    shards = int(enc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return enc.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "payload")
+    The ranges follow from the ids alone, so texts are encoded once and only packed ids are shuffled.
+    """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    bounds = bounds_of(docs.select(key.alias("key")), "key", int(enc.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = enc.withColumn("shard", range_index(key, bounds)).repartitionById(len(bounds) + 1, F.col("shard"))
+    return ranged.sortWithinPartitions("shard", "doc_id", "payload").select("shard", F.col("doc_id").cast("string").alias("doc_id"), "n_tokens", "payload")
 
 
 def write_packed(docs: DataFrame, out: str, path: str, n_ids: int = VOCABULARY_SIZE, end_id: int = END_ID) -> None:
@@ -140,36 +245,46 @@ def write_packed(docs: DataFrame, out: str, path: str, n_ids: int = VOCABULARY_S
     width = width_of(max(n_ids, end_id + 1))
 
     def run(batches):
-        shard, segment, first, total = TaskContext.get().partitionId(), 0, 0, 0
-        ids, names, counts = [], [], []
+        shard, segment, first, total, names, counts, parts = None, 0, 0, 0, [], [], []
 
-        def flush():
-            n = int(sum(counts))
-            row = {"shard": [shard], "segment": [segment], "first": [first], "n_tokens": [n], "width": [width], "doc_ids": [names], "doc_tokens": [counts], "payload": [pack(np.concatenate(ids), width)]}
-            return pd.DataFrame(row), n
+        def row():
+            whole = b"".join(parts) if width % 8 == 0 else pack(np.concatenate([unpack(p, width, 0, n) for p, n in zip(parts, counts)]), width)
+            return pd.DataFrame({"shard": [shard], "segment": [segment], "first": [first], "n_tokens": [total], "width": [width], "doc_ids": [names], "doc_tokens": [counts], "payload": [whole]})
 
         for b in batches:
-            for doc_id, n, payload in zip(b["doc_id"], b["n_tokens"], b["payload"]):
-                ids.append(unpack(payload, width, 0, int(n)))
-                names.append(None if pd.isna(doc_id) else int(doc_id))
-                counts.append(int(n))
-                total += int(n)
-                if total >= SEGMENT_TOKENS:
-                    row, n = flush()
-                    yield row
-                    segment, first, total, ids, names, counts = segment + 1, first + n, 0, [], [], []
+            for s, doc_id, n, payload in zip(b["shard"].tolist(), b["doc_id"], b["n_tokens"].tolist(), b["payload"]):
+                if counts and (s != shard or total >= SEGMENT_TOKENS):
+                    yield row()
+                    segment, first, total, names, counts, parts = segment + 1, first + total, 0, [], [], []
+                if s != shard:
+                    shard, segment, first = s, 0, 0
+                names.append(None if doc_id is None else int(doc_id))
+                counts.append(n)
+                parts.append(payload)
+                total += n
         if counts:
-            yield flush()[0]
+            yield row()
 
     schema = "shard int, segment int, first long, n_tokens long, width int, doc_ids array<long>, doc_tokens array<long>, payload binary"
-    in_order(encoded(docs, path, max(n_ids, end_id + 1), end_id)).mapInPandas(run, schema).write.parquet(out)
+    in_order(docs, encoded(docs, path, max(n_ids, end_id + 1), end_id)).mapInPandas(run, schema).write.parquet(out)
 
 
-def read_packed(spark, out: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone."""
+def ids_between(spark, out: str, start: int, stop: int) -> np.ndarray:
+    """The ids at places start to stop of the whole stream, read from the segments that hold them."""
+    spans = [(r["begin"], bytes(r["payload"]), r["width"], r["n_tokens"]) for r in located(spark, out).where((F.col("begin") < stop) & (F.col("begin") + F.col("n_tokens") > start)).orderBy("begin").collect()]
+    return np.concatenate([np.zeros(0, np.uint32), *(unpack(p, w, max(start - b, 0), min(stop - b, n) - max(start - b, 0)) for b, p, w, n in spans)])
+
+
+def located(spark, out: str) -> DataFrame:
+    """The segments with the place of their first id in the whole stream (begin)."""
     segments = spark.read.parquet(out)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     base = segments.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return segments.join(F.broadcast(base), "shard").withColumn("begin", F.col("base") + F.col("first"))
+
+
+def read_packed(spark, out: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files alone."""
 
     def run(batches):
         for b in batches:
@@ -180,7 +295,7 @@ def read_packed(spark, out: str) -> DataFrame:
                 yield pd.DataFrame({"doc_id": pd.array(list(r["doc_ids"]), "Int64"), "start": int(r["begin"]) + starts, "n_tokens": counts, "ids_crc32": sums})
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    return segments.join(F.broadcast(base), "shard").withColumn("begin", F.col("base") + F.col("first")).select("begin", "width", "doc_ids", "doc_tokens", "payload").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return located(spark, out).select("begin", "width", "doc_ids", "doc_tokens", "payload").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
@@ -195,34 +310,38 @@ def op8(spark, sf_dir: str) -> DataFrame:
 def write_flat(docs: DataFrame, out: str, path: str, separator: int = SEPARATOR) -> None:
     """Flat little-endian 16-bit ids with a separator after each document, in blocks of a fixed size that ignore documents.
 
-    Rows: kind 'ids' (file, block, payload) and, apart from them, kind 'names' (file, first ordinal as block, doc_ids): which
-    documents were written, without any lengths.
+    Each partition of the input writes one file. Rows: kind 'ids' (file, block, payload) and, apart from them, kind 'names'
+    (file, first ordinal as block, doc_ids): which documents were written, without any lengths.
     """
+    small_batches(docs.sparkSession, 2500)
 
     def run(batches):
-        file, block, ordinal, rest = TaskContext.get().partitionId(), 0, 0, np.zeros(0, np.uint32)
+        encoder, file, block, ordinal, rest = Encoder.shared(path), TaskContext.get().partitionId(), 0, 0, np.zeros(0, np.uint16)
         for b in batches:
-            ids = [unpack(p, 16, 0, int(n)) for p, n in zip(b["payload"], b["n_tokens"])]
-            yield pd.DataFrame({"kind": ["names"], "file": [file], "block": [ordinal], "payload": [b""], "doc_ids": [[None if pd.isna(x) else int(x) for x in b["doc_id"]]]})
+            yield pd.DataFrame({"kind": ["names"], "file": [file], "block": [ordinal], "payload": [b""], "doc_ids": [[None if x is None else int(x) for x in b["doc_id"]]]})
             ordinal += len(b)
-            rest = np.concatenate([rest, *ids])
-            while len(rest) >= BLOCK_TOKENS:
-                yield pd.DataFrame({"kind": ["ids"], "file": [file], "block": [block], "payload": [pack(rest[:BLOCK_TOKENS], 16)], "doc_ids": [None]})
-                block, rest = block + 1, rest[BLOCK_TOKENS:]
+            for part in groups([len(t) if isinstance(t, str) else 0 for t in b["text"]], BATCH_BYTES):
+                ids, counts = encoder(b["text"].iloc[part].tolist())
+                rest = np.r_[rest, np.insert(ids.astype(np.uint16), np.cumsum(counts), separator)]
+                whole = len(rest) // BLOCK_TOKENS
+                if whole:
+                    payloads = [rest[i * BLOCK_TOKENS : (i + 1) * BLOCK_TOKENS].astype("<u2").tobytes() for i in range(whole)]
+                    yield pd.DataFrame({"kind": "ids", "file": file, "block": block + np.arange(whole), "payload": payloads, "doc_ids": None})
+                    block, rest = block + whole, rest[whole * BLOCK_TOKENS :]
         if len(rest):
-            yield pd.DataFrame({"kind": ["ids"], "file": [file], "block": [block], "payload": [pack(rest, 16)], "doc_ids": [None]})
+            yield pd.DataFrame({"kind": ["ids"], "file": [file], "block": [block], "payload": [rest.astype("<u2").tobytes()], "doc_ids": [None]})
+        encoder.forget(BETWEEN_TASKS)
 
-    enc = encoded(docs, path, separator + 1, separator)
-    in_order(enc).mapInPandas(run, "kind string, file int, block long, payload binary, doc_ids array<long>").write.parquet(out)
+    docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "kind string, file int, block long, payload binary, doc_ids array<long>").write.parquet(out)
 
 
 def separator_scan(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
     """file, ordinal, n_tokens of each document of flat files given as rows (file, block, payload); separators aren't counted.
 
-    Each block is searched by itself; a prefix scan over the blocks' summaries (one row a block) tells how many documents ended
-    before it and how many ids its first document already had. Ids after a file's last separator are a last document.
+    Each block is searched by itself and read once: its summary holds the ids before its first separator, the lengths between
+    separators, and the ids after the last. A prefix scan over the summaries tells how many documents ended before a block and
+    how many ids its first document already had. Ids after a file's last separator are a last document.
     """
-    summary = "file int, block long, n long, seps long, last long"
 
     def summarise(batches):
         for b in batches:
@@ -230,32 +349,22 @@ def separator_scan(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
             for f, k, p in zip(b["file"], b["block"], b["payload"]):
                 ids = np.frombuffer(p, "<u2")
                 at = np.flatnonzero(ids == separator)
-                rows.append((f, k, len(ids), len(at), int(at[-1]) + 1 if len(at) else None))
-            yield pd.DataFrame(rows, columns=["file", "block", "n", "seps", "last"]).astype({"last": "Int64"})
+                rows.append((f, k, len(ids), len(at), int(at[-1]) + 1 if len(at) else None, np.diff(np.r_[-1, at]) - 1))
+            yield pd.DataFrame(rows, columns=["file", "block", "n", "seps", "last", "lengths"]).astype({"last": "Int64"})
 
-    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = Window.partitionBy("file")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("file")
     scanned = (
-        blocks.select("file", "block", "payload").mapInPandas(summarise, summary)
-        .withColumn("begin", F.coalesce(F.sum("n").over(w), F.lit(0)))
-        .withColumn("ordinal", F.coalesce(F.sum("seps").over(w), F.lit(0)))
-        .withColumn("closed", F.coalesce(F.max(F.col("begin") + F.col("last")).over(w), F.lit(0)))
-        .withColumn("final", F.col("block") == F.max("block").over(ends))
-        .select("file", "block", "ordinal", (F.col("begin") - F.col("closed")).alias("carry"), "final")
+        blocks.select("file", "block", "payload").mapInPandas(summarise, "file int, block long, n long, seps long, last long, lengths array<long>")
+        .withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        .withColumn("ordinal", F.coalesce(F.sum("seps").over(before), F.lit(0)))
+        .withColumn("closed", F.coalesce(F.max(F.col("begin") + F.col("last")).over(before), F.lit(0)))
+        .withColumn("final", F.col("block") == F.max("block").over(whole))
     )
-
-    def count(batches):
-        for b in batches:
-            for f, p, ordinal, carry, final in zip(b["file"], b["payload"], b["ordinal"], b["carry"], b["final"]):
-                ids = np.frombuffer(p, "<u2")
-                at = np.flatnonzero(ids == separator)
-                n = np.diff(np.r_[-1 - int(carry), at]) - 1
-                open_ids = len(ids) - (int(at[-1]) + 1 if len(at) else -int(carry))
-                if final and open_ids > 0:
-                    n = np.r_[n, open_ids]
-                yield pd.DataFrame({"file": np.full(len(n), f), "ordinal": int(ordinal) + np.arange(len(n)), "n_tokens": n})
-
-    return blocks.join(scanned, ["file", "block"]).select("file", "payload", "ordinal", "carry", "final").mapInPandas(count, "file int, ordinal long, n_tokens long")
+    open_ids = F.col("n") - F.when(F.col("seps") > 0, F.col("last")).otherwise(F.col("closed") - F.col("begin"))
+    counts = F.transform("lengths", lambda x, i: x + F.when(i == 0, F.col("begin") - F.col("closed")).otherwise(0))
+    counts = F.when(F.col("final") & (open_ids > 0), F.concat(counts, F.array(open_ids))).otherwise(counts)
+    return scanned.select("file", "ordinal", F.posexplode(counts).alias("k", "n_tokens")).select("file", (F.col("ordinal") + F.col("k")).alias("ordinal"), "n_tokens")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -292,6 +292,9 @@ def test_token_ids(spark, docs, texts, empty, tmp_path):
     got = sorted(tuple(r) for r in tokens.read_packed(spark, str(tmp_path / "p")).collect())
     starts = np.r_[0, np.cumsum([len(x) for x in ids])]
     assert got == [(10 + i, int(s), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, (x, s) in enumerate(zip(ids, starts))]
+    flat = np.concatenate([np.array(x, np.uint32) for x in ids])
+    for a, z in ((0, 5), (37, 412), (len(flat) - 3, len(flat)), (9, 9)):
+        assert (tokens.ids_between(spark, str(tmp_path / "p"), a, z) == flat[a:z]).all()
     tokens.write_packed(empty, str(tmp_path / "e"), tokens.vocabulary_path())
     assert tokens.read_packed(spark, str(tmp_path / "e")).count() == 0
 
