@@ -20,7 +20,7 @@ from ._store import staged
 
 WEIGHTS = (5, 2, 1)
 SIZE = r"coalesce(regexp_count(text, '[^\\x20\\x09-\\x0D]+'), 0)"
-BIN_ROWS = 8192
+BIN_ROWS = 512
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, cap: float = 3.0) -> DataFrame:
