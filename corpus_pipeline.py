@@ -44,7 +44,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed token ids, read back: doc_id, start, n_tokens, ids_crc32."""
     out = new_path(spark, "corpus")
-    tokens.write_packed(docs, out, tokens.vocabulary_path())
+    tokens.write_packed(docs, out, tokens.vocabulary_path(), between_tasks=0)
     return tokens.read_packed(spark, out)
 
 

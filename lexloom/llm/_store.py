@@ -5,6 +5,8 @@ A written table cuts the lineage and survives the loss of executors. The folder
 """
 
 import atexit
+import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
@@ -77,6 +79,10 @@ def map_texts(df: DataFrame, kept: list[str], added: str, work, arrow: bool = Fa
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
         if end:
             end()
+        # Workers outlive tasks: give back what allocators keep.
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
 
     schema = StructType([df.schema[c] for c in kept] + fields)
     return df.select(*dict.fromkeys([*kept, "text"])).mapInArrow(run, schema)

@@ -26,7 +26,7 @@ from ._store import map_texts, small_batches, staged
 from ._text import PLAIN_WORD, U, groups, mixed, shingles, utf8, words
 from .graph import components
 
-WORDS, PERCENT, BAND, BATCH_BYTES, MEMBERS, FEW = 5, 80, 1.5, 2_000_000, 64, 250_000
+WORDS, PERCENT, BAND, BATCH_BYTES, MEMBERS, FEW = 5, 80, 1.5, 1_000_000, 64, 250_000
 
 
 def bands(percent: int, largest: int) -> list[tuple[int, int, int, int]]:

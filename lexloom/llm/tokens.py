@@ -207,15 +207,16 @@ def unpack(payload: bytes, width: int, start: int, n: int) -> np.ndarray:
     return ((value >> shift) & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
-def encoded(docs: DataFrame, path: str, n_ids: int, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, payload (packed): each document's ids and the end id."""
+def encoded(docs: DataFrame, path: str, n_ids: int, end_id: int, between_tasks: int = BETWEEN_TASKS) -> DataFrame:
+    """doc_id, n_tokens, payload (packed): each document's ids and the end id. A worker keeps ``between_tasks`` pieces from one
+    task to the next; with 0 it keeps nothing, which takes more time and leaves more memory to what runs beside it."""
     small_batches(docs.sparkSession, 2500)
     width = width_of(n_ids)
 
     def work():
         import pyarrow.compute as pc
 
-        encoder = Encoder.shared(path)
+        encoder = Encoder.shared(path) if between_tasks else Encoder(path)
 
         def each(texts):
             for part in groups(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), BATCH_BYTES):
@@ -224,7 +225,7 @@ def encoded(docs: DataFrame, path: str, n_ids: int, end_id: int) -> DataFrame:
                 ends = np.cumsum(counts + 1)
                 yield part, {"n_tokens": counts + 1, "payload": [pack(ids[e - n : e], width) for e, n in zip(ends, counts + 1)]}
 
-        return each, lambda: encoder.forget(BETWEEN_TASKS)
+        return each, lambda: encoder.forget(between_tasks)
 
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], "n_tokens long, payload binary", work, arrow=True)
 
@@ -240,7 +241,7 @@ def in_order(docs: DataFrame, enc: DataFrame) -> DataFrame:
     return ranged.sortWithinPartitions("shard", "doc_id", "payload").select("shard", F.col("doc_id").cast("string").alias("doc_id"), "n_tokens", "payload")
 
 
-def write_packed(docs: DataFrame, out: str, path: str, n_ids: int = VOCABULARY_SIZE, end_id: int = END_ID) -> None:
+def write_packed(docs: DataFrame, out: str, path: str, n_ids: int = VOCABULARY_SIZE, end_id: int = END_ID, between_tasks: int = BETWEEN_TASKS) -> None:
     """Write the packed format to ``out``."""
     width = width_of(max(n_ids, end_id + 1))
 
@@ -266,7 +267,7 @@ def write_packed(docs: DataFrame, out: str, path: str, n_ids: int = VOCABULARY_S
             yield row()
 
     schema = "shard int, segment int, first long, n_tokens long, width int, doc_ids array<long>, doc_tokens array<long>, payload binary"
-    in_order(docs, encoded(docs, path, max(n_ids, end_id + 1), end_id)).mapInPandas(run, schema).write.parquet(out)
+    in_order(docs, encoded(docs, path, max(n_ids, end_id + 1), end_id, between_tasks)).mapInPandas(run, schema).write.parquet(out)
 
 
 def ids_between(spark, out: str, start: int, stop: int) -> np.ndarray:
