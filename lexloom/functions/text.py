@@ -58,7 +58,7 @@ def in_alphabet(form) -> Column:
 def arrow_targets(desc) -> Column:
     """The trimmed, non-empty texts after each arrow, up to the next arrow, comma or bracket."""
     found = F.regexp_extract_all(desc, F.lit("↑\\s*([^↑,\\[]*)"), F.lit(1))
-    return F.filter(F.transform(found, F.trim), lambda x: x != "")
+    return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def without_attestations(desc) -> Column:
