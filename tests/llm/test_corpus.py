@@ -96,6 +96,31 @@ def test_block_tables_find_all_within_the_radius(spark):
     assert got == {(i, j, d) for i in range(0, len(prints), 20) for j in range(len(prints)) if (d := (prints[i] ^ prints[j]).bit_count()) <= 3}
 
 
+def test_neighbours_of_edited_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fingerprints, "MEMBERS", 3)
+    rnd = random.Random(11)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows = []
+    for i in range(40):
+        base = [f"w{rnd.random()}" for _ in range((60, 200, 500)[i % 3])]
+        copy = list(base)
+        while True:
+            more = list(copy)
+            more[rnd.randrange(len(more))] = f"n{rnd.random()}"
+            a, b = shingles(base), shingles(more)
+            if len(a & b) < 0.8 * len(a | b):
+                break
+            copy = more
+        rows += [(20 * i, " ".join(base)), (20 * i + 1, " ".join(copy)), (20 * i + 2, " ".join(f"o{rnd.random()}" for _ in base))]
+    rows += [(2000 + k, rows[0][1]) for k in range(5)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = fingerprints.op1(spark, str(tmp_path)).collect()
+    prints = [int(r["fingerprint"], 16) for r in got]
+    for r, p in zip(got, prints):
+        assert r["n_near"] == (sum((p ^ x).bit_count() <= fingerprints.RADIUS for x in prints) if r["doc_id"] % 20 == 0 else None)
+    assert sum(r["n_near"] >= 2 for r in got if r["doc_id"] % 20 == 0 and r["doc_id"] < 2000) >= 38
+
+
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (1, 60)])
 def test_jaccard(docs, texts, n, percent):
     got = sorted(tuple(r) for r in jaccard.near_classes(docs, n, percent).collect())
