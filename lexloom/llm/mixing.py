@@ -4,7 +4,8 @@ Targets: the sources in code point order (null last) weigh ``weights`` in turn a
 exceeds ``cap`` times its source's words, and the excess is shared anew by weight. A document gets floor(target / source words)
 certain copies; the rest of a source's target is drawn without replacement in Pareto order: documents rank by random odds
 u / (1 - u) divided by the odds p / (1 - p) of their inclusion probability, and the best ranks are taken up to the target.
-What the last whole document leaves open is closed by the largest untaken document that fits, twice.
+What the last whole document leaves open is closed by the largest untaken document that fits, twice; then the cut goes on among the
+documents that still fit, until none does, so that a long document doesn't keep the ones after it out.
 
 Ranks are cut without gathering a source in one task: random numbers fall into even bins, the words of whole bins are summed
 first, and only the order inside each bin is sorted.
@@ -13,6 +14,8 @@ Null texts and texts without words have size 0 and taken 0; a null source is a s
 count each for themselves; other columns are kept out of the result; an empty table gives an empty result.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,37 +69,58 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
         .withColumn("bin", F.floor(F.col("unit") * bins))
         .withColumn("rank_value", F.when((F.col("p") > 0) & (F.col("size") > 0), (F.col("unit") / (1 - F.col("unit"))) / (F.col("p") / (1 - F.col("p")))))
     )
-    drawn = F.when(F.col("rank_value").isNotNull(), F.col("size")).otherwise(0)
-    in_source = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("source", "bin").agg(F.sum(drawn).alias("words")).select("source", "bin", F.coalesce(F.sum("words").over(in_source), F.lit(0)).alias("base"))
-    in_bin = Window.partitionBy("source", "bin").orderBy(F.col("rank_value").asc_nulls_last(), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (
-        rows.withColumn("inside", F.sum(drawn).over(in_bin))
-        .alias("r").join(base.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.bin") == F.col("b.bin"))).select("r.*", "b.base")
-        .withColumn("upto", F.col("base") + F.col("inside"))
-        .withColumn("drawn", F.col("rank_value").isNotNull() & (F.col("upto") <= F.col("rest")))
-        .select("doc_id", "source", "size", "source_size", "target", "certain", "p", "rest", "rank_value", "drawn")
+    ranked = staged(
+        _in_order(rows).withColumn("drawn", F.col("rank_value").isNotNull() & (F.col("upto") <= F.col("rest"))).withColumn("row", F.monotonically_increasing_id())
+        .select("row", "doc_id", "source", "size", "source_size", "target", "certain", "rest", "unit", "bin", "rank_value", "drawn"),
+        "ranked",
     )
-    ranked = staged(ranked, "ranked")
     state = ranked.groupBy("source").agg((F.max("rest") - F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0))).alias("gap"))
-    chosen = []
+    left = ranked.where("not drawn and rank_value is not null")
+    taken = []
     for _ in range(2):
-        fits = ranked.alias("r").join(state.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).where("not drawn and rank_value is not null and size <= gap").select("r.*", "gap")
-        for c in chosen:
-            fits = fits.alias("f").join(F.broadcast(c.alias("c")), F.col("f.source").eqNullSafe(F.col("c.source")) & (F.col("f.doc_id") == F.col("c.doc_id")) & (F.col("f.size") == F.col("c.size")), "left_anti")
-        best = staged(fits.groupBy("source").agg(F.max(F.struct(F.col("size"), -F.col("rank_value"), -F.col("doc_id"))).alias("best")).select("source", F.col("best.size").alias("size"), (-F.col("best.col3")).alias("doc_id")), "closing")
-        chosen.append(best)
-        state = state.alias("s").join(best.alias("b"), F.col("s.source").eqNullSafe(F.col("b.source")), "left").select("s.source", (F.col("gap") - F.coalesce("b.size", F.lit(0))).alias("gap"))
-    closing = chosen[0].union(chosen[1]).withColumn("closing", F.lit(1))
+        fits = _fitting(left, state)
+        best = staged(fits.groupBy("source").agg(F.max(F.struct(F.col("size"), -F.col("rank_value"), -F.col("doc_id"), F.col("row"))).alias("best")).select("source", "best.size", "best.row"), "closing")
+        taken.append(best)
+        left = left.join(F.broadcast(best.select("row")), "row", "left_anti")
+        state = _less(state, best)
+    # One document too long for the rest ends the first cut: the cut goes on below it, until no document fits.
+    while not (pool := staged(_fitting(left, state), "fitting")).isEmpty():
+        more = staged(_in_order(pool).where(F.col("upto") <= F.col("gap")).select("source", "size", "row"), "more")
+        taken.append(more)
+        left = pool.drop("gap").join(more.select("row"), "row", "left_anti")
+        state = staged(_less(state, more), "state")
+    closing = reduce(DataFrame.union, taken).select("row", F.lit(1).alias("closing"))
     copies = (F.col("certain") + F.when(F.col("drawn"), 1).otherwise(0) + F.coalesce("closing", F.lit(0))).cast("long")
     return (
-        ranked.alias("r").join(F.broadcast(closing.alias("c")), F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.doc_id") == F.col("c.doc_id")) & (F.col("r.size") == F.col("c.size")), "left")
-        .select("r.doc_id", "r.source", "r.size", "source_size", "target", "certain", "drawn", "closing")
-        .withColumn("copies", copies)
+        ranked.join(F.broadcast(closing) if len(taken) == 2 else closing, "row", "left").withColumn("copies", copies)
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
+def _in_order(rows: DataFrame) -> DataFrame:
+    """``rows`` with upto, the words of a source's documents up to each one in Pareto order; documents without a rank are last."""
+    drawn = F.when(F.col("rank_value").isNotNull(), F.col("size")).otherwise(0)
+    in_source = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("source", "bin").agg(F.sum(drawn).alias("words")).select("source", "bin", F.coalesce(F.sum("words").over(in_source), F.lit(0)).alias("base"))
+    in_bin = Window.partitionBy("source", "bin").orderBy(F.col("rank_value").asc_nulls_last(), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        rows.withColumn("inside", F.sum(drawn).over(in_bin))
+        .alias("r").join(base.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.bin") == F.col("b.bin"))).select("r.*", "b.base")
+        .withColumn("upto", F.col("base") + F.col("inside")).drop("base", "inside")
+    )
+
+
+def _fitting(left: DataFrame, state: DataFrame) -> DataFrame:
+    """The documents of ``left`` that are no longer than their source's gap, with the gap."""
+    return left.alias("r").join(F.broadcast(state.alias("s")), F.col("r.source").eqNullSafe(F.col("s.source"))).where("size <= gap").select("r.*", "gap")
+
+
+def _less(state: DataFrame, taken: DataFrame) -> DataFrame:
+    """The gaps without the words of ``taken``."""
+    sums = taken.groupBy("source").agg(F.sum("size").alias("words"))
+    return state.alias("s").join(sums.alias("b"), F.col("s.source").eqNullSafe(F.col("b.source")), "left").select("s.source", (F.col("gap") - F.coalesce("b.words", F.lit(0))).alias("gap"))
+
+
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")

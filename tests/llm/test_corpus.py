@@ -282,6 +282,14 @@ def test_mix_comes_near_its_targets(spark):
     assert all(abs(r["t"] - r["g"]) <= 5 for r in got)
 
 
+def test_mix_goes_on_below_a_long_document(spark):
+    texts = [" ".join(["w"] * 60)] * 600 + [" ".join(["w"] * 20_000)]
+    for seed in ("a", "b", "c"):
+        rows = mixing.mix(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string"), share=0.5, seed=seed).collect()
+        gap = rows[0]["target"] - sum(r["taken"] for r in rows)
+        assert gap >= 0 and not any(r["copies"] == 0 and r["size"] <= gap for r in rows)
+
+
 def test_decontamination(spark, docs, texts, empty):
     items = [(1, texts[4]), (2, texts[10]), (10, "one"), (3, None), (4, " ? "), (5, texts[4]), (6, "the of"), (7, "nowhere at all here")]
     bench = spark.createDataFrame(items, "item_id long, text string")
