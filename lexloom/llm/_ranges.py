@@ -17,7 +17,8 @@ def range_index(key: Column, bounds: list[int]) -> Column:
         return F.lit(0)
     size = max(1, round(len(bounds) ** 0.5))
     groups = [bounds[i : i + size] for i in range(0, len(bounds), size)]
-    longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+    one = lambda text, kind: F.from_json(F.lit(text), kind)  # noqa: E731  folds into one literal, however many bounds
+    longs = lambda xs: one(str(list(xs)), "array<bigint>")
     upto = lambda xs: F.size(F.filter(xs, lambda b: b <= key))
     group = upto(longs([g[0] for g in groups])) - 1
-    return F.when(group < 0, 0).otherwise(group * size + upto(F.get(F.array(*(longs(g) for g in groups)), F.greatest(group, F.lit(0))))).cast("int")
+    return F.when(group < 0, 0).otherwise(group * size + upto(F.get(one(str(groups), "array<array<bigint>>"), F.greatest(group, F.lit(0))))).cast("int")

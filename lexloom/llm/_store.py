@@ -1,7 +1,8 @@
 """Intermediate tables in the shared folder that the cluster names.
 
-A written table cuts the lineage and survives the loss of executors. The folder comes from
-``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary folder is used.
+A written table cuts the lineage and survives the loss of executors. The folder comes from ``spark.checkpoint.dir``; only a session
+on one machine (tests) may leave it unset and gets a temporary folder. Tables are dropped as soon as nothing reads them; those that
+a returned result reads stay until ``clean``.
 """
 
 import atexit
@@ -15,13 +16,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_kept: set[str] = set()
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("2147483647", str(16 << 20))}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate files."""
+    """The shared folder for intermediate files; an error on a cluster that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="lexloom-"))
         atexit.register(shutil.rmtree, _own[0], True)
@@ -29,26 +34,40 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _kept.add(path)
+    return path
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete an intermediate table on whatever file system holds it."""
+def drop(spark: SparkSession, *tables) -> None:
+    """Delete intermediate tables (results of ``staged``, or paths) on whatever file system holds them."""
     jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    for t in tables:
+        path = t if isinstance(t, str) else t._staged
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _kept.discard(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts may be long: keep Arrow batches small so that Python workers stay within their memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process. Results that read them can't be used any more."""
+    drop(spark, *list(_kept))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be long: bound Arrow batches in rows and bytes, unless the session has limits of its own."""
+    for name, (usual, ours) in _BATCH.items():
+        if spark.conf.get(name, usual) in (usual, "-1"):
+            spark.conf.set(name, ours)
 
 
 def map_texts(df: DataFrame, kept: list[str], added: str, work, arrow: bool = False) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import staged
+from ._store import drop, staged
 
 
 def _oriented(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = _oriented(both.join(least, "u").where("v > u"), "v", "m")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = _oriented(large.join(least, "a").select("b", "m").union(least.select("a", "m")), "b", "m")
-        now, before = staged(small, "links"), mark
+        last, now, before = now, staged(small, "links"), mark
+        drop(now.sparkSession, last)
         mark = _mark(now)
         if mark == before:
             break

@@ -1,7 +1,9 @@
 """Token ids: encoding, fixed-width packing with random access, and the scan of flat files for separators.
 
 Encoding splits at blanks and line feeds, where the vocabulary's own pre-tokenizer also cuts, and encodes each distinct piece
-once a batch; ids are those of encoding the whole text at once.
+once a batch; ids are those of encoding the whole text at once. Lowering texts first, and encoding letters apart from the marks
+behind them, is left to characters for which a table shows that it changes nothing: no combining marks, and letters whose normal
+form and lower case are one letter each. All other pieces are encoded as they stand.
 
 Packed format (a table of segments in ascending document order): shard, segment, first (ids of the shard before it), n_tokens,
 width (bits an id), doc_ids, doc_tokens, payload. The id at place i of a segment stands in bits i * width and up, least
@@ -12,8 +14,10 @@ columns are ignored; an empty table gives an empty result.
 """
 
 import os
+import re
 import sys
 import types
+import unicodedata
 import zlib
 from itertools import chain, repeat
 
@@ -34,6 +38,34 @@ BATCH_BYTES, BETWEEN_TASKS = 8_000_000, 120_000
 _MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"  # ASCII marks but those that begin contractions or special tokens
 
 
+def _ranges(chars) -> str:
+    """Characters as ranges of a character class."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{z:X}}}" for a, z in out)
+
+
+def _plain_letters() -> set[str]:
+    """Letters up to the Cyrillic ones that are their own normal form, with a lower case of one such letter. The capital sigma is
+    none of them, as its lower case depends on its place in some libraries."""
+
+    def whole(c: str) -> bool:
+        return len(c) == 1 and c.isalpha() and unicodedata.normalize("NFC", c) == c
+
+    return {c for c in map(chr, range(0x41, 0x500)) if whole(c) and whole(c.lower()) and c != "Σ"}
+
+
+LETTERS = _plain_letters()
+#: Characters of texts that may be lowered before they are encoded: also ASCII, typographic marks and CJK signs, which have no case.
+_LOWERED = LETTERS | {chr(c) for a, z in ((0, 0x7F), (0xA1, 0xBF), (0x2010, 0x2027), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF)) for c in range(a, z + 1) if unicodedata.normalize("NFC", chr(c)) == chr(c) == chr(c).lower() or c < 0x7F}
+_NOT_LOWERED = "[^" + _ranges(_LOWERED - {"<"}) + "]"
+_WORD = re.compile("[" + "".join(map(re.escape, sorted(LETTERS))) + "]+")
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -87,7 +119,7 @@ class Encoder:
             own = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             cut = np.flatnonzero(self.ends[own])
             n = np.diff(np.r_[-1, cut])
-            if len(n) != len(part) or int(n.sum()) != len(own):  # a letter that its normal form splits
+            if len(n) != len(part) or int(n.sum()) != len(own):  # a vocabulary with other word ends
                 own, n = self._plain(part)
             ids.append(own)
             length.append(n)
@@ -118,20 +150,20 @@ class Encoder:
             self._store(pieces, ids, length.reshape(-1, n).sum(1))
 
     def _learn(self, new: list[str]) -> None:
-        """The vocabulary cuts letters from a run of marks behind them, and has no capitals: such pieces follow from others."""
+        """The vocabulary cuts plain letters from a run of marks behind them, and has no capitals: such pieces follow from others."""
         place = self.place
         bases, marked, other, capital, small = set(), [], set(), [], set()
         for x in new:
-            if x.isalpha():
+            if _WORD.fullmatch(x):
                 bases.add(x)
-            elif (y := x.rstrip(_MARKS)) != x and y.isalpha():
+            elif (y := x.rstrip(_MARKS)) != x and _WORD.fullmatch(y):
                 marked.append((x, y))
             else:
                 other.add(x)
         bases.update(y for _, y in marked if y not in place)
         for x in bases:
             y = x.lower()
-            if y != x and y.isalpha() and "Σ" not in x:
+            if y != x:
                 capital.append((x, y))
                 if y not in place:
                     small.add(y)
@@ -153,9 +185,8 @@ class Encoder:
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         column = pc.fill_null(texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), "")
-        # The vocabulary lowers letters one by one, as Arrow does but for one letter; special tokens are found before that.
-        kept = pc.or_(pc.match_substring(column, "<"), pc.match_substring(column, "İ"))
-        column = pc.if_else(kept, column, pc.utf8_lower(column))
+        # Special tokens begin with < and are found before letters are lowered; combining marks meet their letters before that.
+        column = pc.if_else(pc.match_substring_regex(column, _NOT_LOWERED), column, pc.utf8_lower(column))
         lists = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
         pieces = coded.dictionary.to_pylist()
@@ -210,7 +241,7 @@ def unpack(payload: bytes, width: int, start: int, n: int) -> np.ndarray:
 def encoded(docs: DataFrame, path: str, n_ids: int, end_id: int, between_tasks: int = BETWEEN_TASKS) -> DataFrame:
     """doc_id, n_tokens, payload (packed): each document's ids and the end id. A worker keeps ``between_tasks`` pieces from one
     task to the next; with 0 it keeps nothing, which takes more time and leaves more memory to what runs beside it."""
-    small_batches(docs.sparkSession, 2500)
+    small_batches(docs.sparkSession)
     width = width_of(n_ids)
 
     def work():
@@ -295,7 +326,7 @@ def read_packed(spark, out: str) -> DataFrame:
                 sums = [zlib.crc32(unpack(r["payload"], int(r["width"]), int(s), int(n)).astype("<u4").tobytes()) for s, n in zip(starts, counts)]
                 yield pd.DataFrame({"doc_id": pd.array(list(r["doc_ids"]), "Int64"), "start": int(r["begin"]) + starts, "n_tokens": counts, "ids_crc32": sums})
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    small_batches(spark)
     return located(spark, out).select("begin", "width", "doc_ids", "doc_tokens", "payload").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -314,7 +345,7 @@ def write_flat(docs: DataFrame, out: str, path: str, separator: int = SEPARATOR)
     Each partition of the input writes one file. Rows: kind 'ids' (file, block, payload) and, apart from them, kind 'names'
     (file, first ordinal as block, doc_ids): which documents were written, without any lengths.
     """
-    small_batches(docs.sparkSession, 2500)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         encoder, file, block, ordinal, rest = Encoder.shared(path), TaskContext.get().partitionId(), 0, 0, np.zeros(0, np.uint16)
@@ -323,6 +354,8 @@ def write_flat(docs: DataFrame, out: str, path: str, separator: int = SEPARATOR)
             ordinal += len(b)
             for part in groups([len(t) if isinstance(t, str) else 0 for t in b["text"]], BATCH_BYTES):
                 ids, counts = encoder(b["text"].iloc[part].tolist())
+                if len(ids) and int(ids.max()) >= separator:
+                    raise ValueError(f"id {int(ids.max())} does not fit below the separator {separator}")
                 rest = np.r_[rest, np.insert(ids.astype(np.uint16), np.cumsum(counts), separator)]
                 whole = len(rest) // BLOCK_TOKENS
                 if whole:
@@ -371,7 +404,7 @@ def separator_scan(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
 def op7(spark, sf_dir: str) -> DataFrame:
     out = new_path(spark, "flat")
     write_flat(spark.read.parquet(f"{sf_dir}/documents.parquet"), out, vocabulary_path())
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    small_batches(spark)
     rows = spark.read.parquet(out)
     names = rows.where("kind = 'names'").select("file", "block", F.posexplode("doc_ids").alias("k", "doc_id")).select("file", (F.col("block") + F.col("k")).alias("ordinal"), "doc_id")
     return separator_scan(rows.where("kind = 'ids'")).join(names, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")

@@ -143,6 +143,54 @@ def test_jaccard_of_large_group_and_empty_table(spark, empty, monkeypatch):
     assert jaccard.near_classes(empty).count() == 0
 
 
+def _by_rows(rows):
+    return sorted(rows, key=str)
+
+
+def test_jaccard_of_repeated_and_missing_ids(spark):
+    """Rows are told apart by doc_id and text; rows without a doc_id link, but name nothing."""
+    rnd = random.Random(12)
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(5, a), (5, b), (9, b + " more"), (None, a), (None, a), (7, a), (None, " ".join(f"c{i}" for i in range(30))), (None, None), (5, ""), (5, a), (4, "one"), (3, "one"), (None, "one")]
+    rows += [(rnd.choice([None, 1, 2, 50 + i]), " ".join(rnd.choices("uvwxyz", k=rnd.choice([1, 2, 5])))) for i in range(60)]
+    got = _by_rows(tuple(r) for r in jaccard.near_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85).collect())
+    assert got == _by_rows(jaccard.brute_force(rows, 4, 85))
+
+
+@pytest.mark.parametrize("few", [2, 250_000])
+def test_jaccard_of_groups_with_several_components(spark, monkeypatch, few):
+    """Chains and families that share many signatures: the second round has to find links across components, in blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "MEMBERS", 2)
+    monkeypatch.setattr(jaccard, "FEW", few)
+    rnd = random.Random(21)
+    texts = []
+    for family in range(4):
+        words = [f"f{family}w{i}" if i < 25 else f"common{i}" for i in range(90)]
+        for step in range(14):
+            texts.append(" ".join(words))
+            for k in rnd.sample(range(90), 1 + step % 3):
+                words[k] = f"n{rnd.random()}"
+    rnd.shuffle(texts)
+    for percent in (80, 85):
+        got = sorted(tuple(r) for r in jaccard.near_classes(_docs(spark, texts), 2, percent).collect())
+        assert got == jaccard.brute_force(list(zip(range(10, 10 + len(texts)), texts)), 2, percent)
+
+
+@pytest.mark.parametrize("percent", [50, 60, 80, 85, 95])
+def test_signatures_meet_at_all_sizes(percent):
+    """Pairs at the threshold whose sizes differ as much as they may, small and large, share a signature."""
+    rng = np.random.default_rng(percent)
+    for size in [*range(1, 40), 63, 64, 100, 333]:
+        for own in {0, size * (100 - percent) // percent, size * (100 - percent) // percent // 2}:
+            more = size * (100 - percent) // percent - own
+            common = rng.integers(0, 2**63, size, dtype=np.uint64)
+            a, b = (np.sort(np.r_[common, rng.integers(0, 2**63, k, dtype=np.uint64)]) for k in (own, more))
+            owner = np.r_[np.zeros(len(a), int), np.ones(len(b), int)]
+            at, sign = jaccard.signatures(owner, np.r_[a, b], np.array([len(a), len(b)]), percent)
+            assert set(sign[at == 0]) & set(sign[at == 1])
+
+
 def test_signatures_meet(spark):
     """All pairs of sets at the threshold share a signature."""
     rng = np.random.default_rng(2)
