@@ -4,10 +4,18 @@ Detected entities get keyed replacements of their own type and format. A surroga
 strings with the entity's layout (which characters are digits, capitals, small letters of which alphabet; the rest stays), so
 equal entities have equal surrogates everywhere, without a table, and different ones differ. Where only part of a layout is
 valid (card check digits, area codes, address octets), the permutation is walked on until the result is as valid as the entity.
-A name's letters map to a pronounceable name of the same script, ending by the title's gender; names of each length have
-surrogates of a length of their own, so they cannot meet. A name that a title introduces is replaced wherever the document has it.
+A name's letters map to a pronounceable name of the same script; its ending follows the gender that the name's own last letter
+suggests, so one name has one surrogate whatever title stands before it. Surrogates of names of each length have lengths of their
+own, set apart by more than the endings differ, so no two names meet. A name that a title introduces is replaced wherever the
+document has it.
 
-``collisions`` checks the result: no two entities of a kind share a surrogate, and no entity has two.
+Found are: mail addresses, telephone numbers with a country code or in a ten-digit layout, IPv4 addresses, social security numbers,
+payment cards, IBANs, access keys, values after words such as password or token that hold a digit, and names after a title (any
+number of capitalised words joined by blanks, hyphens or apostrophes). Not found are: names that no title introduces, street
+addresses, dates of birth, IPv6 addresses, other national numbers.
+
+``collisions`` checks the result: no two entities of a kind share a surrogate, and no entity has two. The key is the caller's: who
+has it can undo the surrogates.
 
 Null texts stay null, empty ones empty; texts without entities stay as they are, byte for byte; repeated rows get equal results;
 other columns are kept unless a result column has their name; an empty table gives an empty result.
@@ -16,15 +24,16 @@ other columns are kept unless a result column has their name; an empty table giv
 import hashlib
 import hmac
 import ipaddress
+import os
 import re
+import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import map_texts, small_batches
+from ._store import map_texts, small_batches, staged
 
-KEY = b"surrogates"
 _DIGITS, _SMALL, _LARGE = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ALPHABETS = [_DIGITS, _SMALL, _LARGE, "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
 _PLACE = {c: (a, i) for a in _ALPHABETS for i, c in enumerate(a)}
@@ -47,8 +56,25 @@ _NUMBER = re.compile(
 _SECRET = re.compile(r"(?i:(token|password|passwd|secret|api[_-]?key))(\s*[=:]\s*)([\"']?)([A-Za-z0-9_+/.\-]{6,})\3")
 _ACCESS = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Z])")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
-_LOCAL, _DOMAIN = re.compile(r"[\w.%+\-]+$"), re.compile(r"(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}")
-_NAME = re.compile(r"\b(" + "|".join(re.escape(t) for t in (*_FEMALE, *_MALE, *_EITHER)) + r")\b\.? +([^\W\d_a-z][^\W\d_]+)(?: +([^\W\d_a-z][^\W\d_]+))?")
+_DOMAIN = re.compile(r"(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}")
+#: Words of names: a capital or a letter without case, then letters; at most 64, as longer runs are no names.
+_PART = r"[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]{0,63}(?:['’-][^\W\d_]{1,64})*"
+_NAME = re.compile(r"\b(?:" + "|".join(re.escape(t) for t in (*_FEMALE, *_MALE, *_EITHER)) + rf")\b\.? +({_PART}(?: +{_PART})*)")
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(4096)
+def _block(c: str) -> str:
+    """The letters of a sign's own category among the 256 code points around it: what a letter of any other script maps to."""
+    kind, low = unicodedata.category(c), ord(c) & ~0xFF
+    return "".join(x for x in map(chr, range(low, low + 256)) if unicodedata.category(x) == kind)
+
+
+def _place(c: str) -> tuple[str, int] | None:
+    """The alphabet of a character and its place there."""
+    if c in _PLACE:
+        return _PLACE[c]
+    return (_block(c), _block(c).index(c)) if c.isalpha() else None
 
 
 def _permuted(n: int, size: int, key: bytes, tweak: str) -> int:
@@ -67,8 +93,8 @@ def _permuted(n: int, size: int, key: bytes, tweak: str) -> int:
 
 def _layout(text: str, key: bytes, tweak: str, valid=lambda s: True) -> str:
     """The permutation among the strings with the layout of ``text`` that are as valid as it is."""
-    spots = [(i, *_PLACE[c]) for i, c in enumerate(text) if c in _PLACE]
-    shape = "".join(str(_ALPHABETS.index(_PLACE[c][0])) if c in _PLACE else c for c in text)
+    spots = [(i, *at) for i, c in enumerate(text) if (at := _place(c))]
+    shape = "".join(f"<{at[0][0]}>" if (at := _place(c)) else c for c in text)
     n, size = 0, 1
     for _, a, k in spots:
         n, size = n * len(a) + k, size * len(a)
@@ -116,31 +142,39 @@ def _address_surrogate(value: str, key: bytes) -> str:
             return str(ipaddress.IPv4Address(n))
 
 
-def _lengths(script: str, most: int = 64) -> list[int]:
-    """How long the surrogate of a name of each length is: long enough to hold all, and longer than that of shorter names."""
-    letters, consonants, vowels, _, _ = _SCRIPTS[script]
+@lru_cache(64)
+def _lengths(script: str, most: int = 65) -> tuple[int, ...]:
+    """How long the stem of the surrogate of a name of each length is: long enough to hold all such names, and longer than that of
+    shorter names by more than endings differ, so that a stem with any ending tells the length of its name."""
+    letters, consonants, vowels, female, male = _SCRIPTS[script]
+    apart = abs(len(female) - len(male)) + 1
     out = [0]
     for n in range(1, most + 1):
         length, room = 0, 1
-        while length <= out[-1] or room < len(letters) ** n:
+        while length < out[-1] + apart or room < len(letters) ** n:
             room *= len(vowels if length % 2 else consonants)
             length += 1
         out.append(length)
-    return out
+    return tuple(out)
 
 
 def _script(word: str) -> str | None:
     return next((s for s, (letters, *_) in _SCRIPTS.items() if all(c in letters for c in word.lower())), None)
 
 
+def is_female(word: str) -> bool:
+    """Whether a name's last letter suggests a woman. The name alone decides, so that it has one surrogate everywhere."""
+    return word.lower()[-1:] in tuple("aeiàáâèéêìíîаяеиαηέήά")
+
+
 @lru_cache(100_000)
-def name_surrogate(word: str, gender: str, key: bytes) -> str:
-    """A pronounceable name for one word of a name; words of unknown scripts permute within their layout."""
+def name_surrogate(word: str, key: bytes) -> str:
+    """A pronounceable name for one word of a name; words of other or several scripts permute within their layout."""
     script, low = _script(word), word.lower()
-    if script is None or len(low) > 24:
+    if script is None or len(low) > 65:
         return _layout(word, key, "name")
     letters, consonants, vowels, female, male = _SCRIPTS[script]
-    n, length = 0, _lengths(script, len(low))[len(low)]
+    n, length = 0, _lengths(script)[len(low)]
     for c in low:
         n = n * len(letters) + letters.index(c)
     n, out = _permuted(n, len(letters) ** len(low), key, f"name|{script}|{len(low)}"), ""
@@ -148,13 +182,12 @@ def name_surrogate(word: str, gender: str, key: bytes) -> str:
         a = vowels if i % 2 else consonants
         n, k = divmod(n, len(a))
         out += a[k]
-    # A vowel before the ending keeps genders apart from longer names without one.
-    out += {"f": female, "m": male, "": ""}[gender]
-    return out.upper() if word.isupper() else out.capitalize()
+    out += female if is_female(low) else male
+    return out.upper() if word.isupper() and len(word) > 1 else out.capitalize()
 
 
 @lru_cache(100_000)
-def surrogate(kind: str, value: str, key: bytes = KEY) -> str:
+def surrogate(kind: str, value: str, key: bytes) -> str:
     """The replacement of one entity (any kind but names)."""
     if kind == "ip":
         return _address_surrogate(value, key)
@@ -190,19 +223,14 @@ def _base36(value: str, key: bytes) -> str:
     return out
 
 
-def detect(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, gender) of the entities of a text, in order, without overlap."""
+def detect(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the entities of a text, in order, without overlap; each word of a name is an entity."""
     found = []
     for m in _SECRET.finditer(text):
         if any(c.isdigit() for c in m[4]):
-            found.append((m.start(4), m.end(4), "secret", ""))
-    found += [(m.start(), m.end(), "access_key", "") for m in _ACCESS.finditer(text) if not text[m.start() - 1 : m.start()].isalnum()]
-    at = text.find("@")
-    while at >= 0:
-        local, domain = _LOCAL.search(text, max(0, at - 64), at), _DOMAIN.match(text, at + 1)
-        if local and domain:
-            found.append((local.start(), domain.end(), "email", ""))
-        at = text.find("@", at + 1)
+            found.append((m.start(4), m.end(4), "secret"))
+    found += [(m.start(), m.end(), "access_key") for m in _ACCESS.finditer(text) if not text[m.start() - 1 : m.start()].isalnum()]
+    found += _mails(text)
     for m in _NUMBER.finditer(text):
         before = text[m.start() - 1 : m.start()]
         if before.isalnum() or before == "_" or text[m.end() : m.end() + 1].isalnum():
@@ -210,17 +238,11 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         kind = next(k for k in ("ip", "phone", "ssn", "card") if m[k])
         if kind == "ip" and _address(m[0]) == "none":
             continue
-        found.append((m.start(), m.end(), kind, ""))
-    found += [(m.start(), m.end(), "iban", "") for m in _IBAN.finditer(text) if not text[m.start() - 1 : m.start()].isalnum()]
-    names = {}
-    for m in _NAME.finditer(text):
-        gender = "f" if m[1] in _FEMALE else "m" if m[1] in _MALE else ""
-        for k, g in ((2, gender if m[3] else ""), (3, "")):
-            if m[k]:
-                names.setdefault(m[k], g)
+        found.append((m.start(), m.end(), kind))
+    found += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text) if not text[m.start() - 1 : m.start()].isalnum()]
+    names = {w[0] for m in _NAME.finditer(text) for w in _WORDS.finditer(m[1]) if not w[0].islower() and w[0] not in _TITLES}
     if names:
-        for m in re.finditer(r"\b(" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")\b", text):
-            found.append((m.start(), m.end(), "name", names[m[1]]))
+        found += [(m.start(), m.end(), "name") for m in _WORDS.finditer(text) if m[0] in names]
     out: list = []
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
         if not out or x[0] >= out[-1][1]:
@@ -228,19 +250,35 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
-def replaced(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, str, str]]]:
+_TITLES = frozenset((*_FEMALE, *_MALE, *_EITHER))
+
+
+def _mails(text: str) -> list[tuple[int, int, str]]:
+    """Mail addresses: from each @ the whole local part is read back, however long."""
+    out, at, low = [], text.find("@"), 0
+    while at >= 0:
+        start = at
+        while start > low and (text[start - 1].isalnum() or text[start - 1] in "._%+-"):
+            start -= 1
+        if start < at and (domain := _DOMAIN.match(text, at + 1)):
+            out.append((start, domain.end(), "email"))
+        low, at = at + 1, text.find("@", at + 1)
+    return out
+
+
+def replaced(text: str, key: bytes) -> tuple[str, list[tuple[str, str, str]]]:
     """The text with surrogates, and (kind, entity, surrogate) of each entity."""
     parts, at, entities = [], 0, []
-    for start, end, kind, gender in detect(text):
+    for start, end, kind in detect(text):
         value = text[start:end]
-        new = name_surrogate(value, gender, key) if kind == "name" else surrogate(kind, value, key)
+        new = name_surrogate(value, key) if kind == "name" else surrogate(kind, value, key)
         entities.append((kind, value, new))
         parts += [text[at:start], new]
         at = end
     return "".join([*parts, text[at:]]), entities
 
 
-def with_surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def with_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
     """The documents with surrogate_text and entities (kind, entity, surrogate)."""
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("surrogate_text", "entities")]
@@ -264,6 +302,17 @@ def collisions(surrogated: DataFrame) -> DataFrame:
     return shared.union(pairs.groupBy("kind", F.col("entity").alias("value")).count().where("count > 1"))
 
 
+def session_key(spark) -> bytes:
+    """The session's key: the setting ``lexloom.surrogates.key``, or a random one, which holds for the session."""
+    name = "lexloom.surrogates.key"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, os.urandom(32).hex())
+    return spark.conf.get(name).encode()
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
+    """Also n_collisions, over all documents: entities that share a surrogate or have several. It is 0 unless a rule is at fault."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return with_surrogates(docs.select("doc_id", "text")).select("doc_id", F.size("entities").cast("long").alias("n_entities"), F.array_distinct("entities.kind").alias("kinds"), F.col("surrogate_text").alias("text"))
+    done = staged(with_surrogates(docs.select("doc_id", "text"), session_key(spark)), "surrogates")
+    n = collisions(done).count()
+    return done.select("doc_id", F.size("entities").cast("long").alias("n_entities"), F.array_distinct("entities.kind").alias("kinds"), F.col("surrogate_text").alias("text"), F.lit(n).cast("long").alias("n_collisions"))
