@@ -2,28 +2,29 @@
 
 Targets: the sources in code point order (null last) weigh ``weights`` in turn and share ``share`` of all words; no target
 exceeds ``cap`` times its source's words, and the excess is shared anew by weight. A document gets floor(target / source words)
-certain copies; the rest of a source's target is drawn without replacement in Pareto order: documents rank by random odds
-u / (1 - u) divided by the odds p / (1 - p) of their inclusion probability, and the best ranks are taken up to the target.
-What the last whole document leaves open is closed by the largest untaken document that fits, twice; then the cut goes on among the
-documents that still fit, until none does, so that a long document doesn't keep the ones after it out.
+certain copies; the rest of a source's target is drawn without replacement. Inclusion probabilities are in proportion to size,
+p = c * size, with c such that the expected words are the rest; documents whose p would reach 1 are taken for certain and c is
+solved for the others. The others rank by random odds u / (1 - u) divided by their odds p / (1 - p). Down that order each document
+that still fits is taken, so a long document doesn't keep the ones after it out, and what stays open is less than any document left.
 
-Ranks are cut without gathering a source in one task: random numbers fall into even bins, the words of whole bins are summed
-first, and only the order inside each bin is sorted.
+No source is gathered in one task. c follows from the words by distinct size. The order is cut by a histogram of ranks: whole buckets
+are summed, the bucket that holds the cut is split once more, and only the rows of that small bucket are sorted.
 
-Null texts and texts without words have size 0 and taken 0; a null source is a source of its own; rows that repeat a doc_id
-count each for themselves; other columns are kept out of the result; an empty table gives an empty result.
+Null texts and texts without words have size 0 and taken 0; a null source is a source of its own; rows that repeat a doc_id, and rows
+without one, count each for themselves; other columns are kept out of the result unless asked for; an empty table gives an empty
+result.
 """
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import staged
+from ._store import drop, staged
 
 WEIGHTS = (5, 2, 1)
 SIZE = r"coalesce(regexp_count(text, '[^\\x20\\x09-\\x0D]+'), 0)"
-BIN_ROWS = 512
+BUCKETS, MOST_SOURCES = 4096, 50_000
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, cap: float = 3.0) -> DataFrame:
@@ -53,72 +54,113 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, cap: float = 3.0, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: how often the mix takes each document."""
-    sized = staged(docs.select("doc_id", "source", F.expr(SIZE).cast("long").alias("size")), "sizes")
-    goal = staged(targets(sized, weights, share, cap), "targets")
-    bins = max(1, -(-sized.count() // BIN_ROWS))
+def _per_source(rows: DataFrame, table: DataFrame, n_sources: int) -> DataFrame:
+    """``rows`` with the columns of a table of one row a source, which is broadcast up to ``MOST_SOURCES`` (some 5 MB)."""
+    t = table.withColumnRenamed("source", "its_source")
+    t = F.broadcast(t) if n_sources <= MOST_SOURCES else t
+    return rows.join(t, rows["source"].eqNullSafe(t["its_source"])).drop("its_source")
+
+
+def _rates(sized: DataFrame, goal: DataFrame, n_sources: int) -> DataFrame:
+    """source, rate, longest: p = rate * size for documents up to the longest that isn't certain."""
+    by_size = _per_source(sized.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), goal, n_sources)
+    upto = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    above = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    open_ = (
+        by_size.withColumn("squares", F.sum(F.col("size") * F.col("size") * F.col("n")).over(upto).cast("double"))
+        .withColumn("longer", F.coalesce(F.sum(F.col("size") * F.col("n")).over(above), F.lit(0)).cast("double"))
+        .withColumn("rate", (F.col("rest") - F.col("longer")) / F.col("squares"))
+        .where("rate > 0 and rate * size < 1")
+    )
+    return open_.groupBy("source").agg(F.max(F.struct("size", "rate")).alias("x")).select("source", F.col("x.size").alias("longest"), F.col("x.rate").alias("rate"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, cap: float = 3.0, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken: how often the mix takes each document; and the columns ``keep``."""
+    spark = docs.sparkSession
+    sized = staged(docs.select("doc_id", "source", *keep, F.expr(SIZE).cast("long").alias("size")), "sizes")
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    goal = targets(sized, weights, share, cap).withColumn("certain", F.floor(ratio).cast("long")).withColumn("rest", (ratio - F.floor(ratio)) * F.col("source_size"))
+    goal = staged(goal, "targets")
+    n_sources = goal.count()
+    rates = staged(_rates(sized, goal.select("source", "rest"), n_sources), "rates")
+    goal = staged(goal.join(rates.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "goals")
     unit = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), F.col("size").cast("string"))), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(16**13))
+    p = F.col("rate") * F.col("size")
+    may = (F.col("size") > 0) & (F.col("rest") > 0)
     rows = (
-        sized.join(goal, sized["source"].eqNullSafe(goal["source"])).drop(goal["source"])
-        .withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-        .withColumn("certain", F.floor("ratio"))
-        .withColumn("p", F.col("ratio") - F.col("certain"))
-        .withColumn("rest", F.col("p") * F.col("source_size"))
-        .withColumn("unit", unit)
-        .withColumn("bin", F.floor(F.col("unit") * bins))
-        .withColumn("rank_value", F.when((F.col("p") > 0) & (F.col("size") > 0), (F.col("unit") / (1 - F.col("unit"))) / (F.col("p") / (1 - F.col("p")))))
-    )
-    ranked = staged(
-        _in_order(rows).withColumn("drawn", F.col("rank_value").isNotNull() & (F.col("upto") <= F.col("rest"))).withColumn("row", F.monotonically_increasing_id())
-        .select("row", "doc_id", "source", "size", "source_size", "target", "certain", "rest", "unit", "bin", "rank_value", "drawn"),
-        "ranked",
+        _per_source(sized, goal, n_sources).withColumn("unit", unit)
+        .withColumn("whole", may & ((F.col("size") > F.col("longest")) | F.col("longest").isNull()) & (F.col("size") <= F.col("rest")))
+        .withColumn("rank_value", F.when(may & (F.col("size") <= F.col("longest")), (F.col("unit") / (1 - F.col("unit"))) / (p / (1 - p))))
     )
-    state = ranked.groupBy("source").agg((F.max("rest") - F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0))).alias("gap"))
-    left = ranked.where("not drawn and rank_value is not null")
-    taken = []
-    for _ in range(2):
-        fits = _fitting(left, state)
-        best = staged(fits.groupBy("source").agg(F.max(F.struct(F.col("size"), -F.col("rank_value"), -F.col("doc_id"), F.col("row"))).alias("best")).select("source", "best.size", "best.row"), "closing")
-        taken.append(best)
-        left = left.join(F.broadcast(best.select("row")), "row", "left_anti")
-        state = _less(state, best)
-    # One document too long for the rest ends the first cut: the cut goes on below it, until no document fits.
-    while not (pool := staged(_fitting(left, state), "fitting")).isEmpty():
-        more = staged(_in_order(pool).where(F.col("upto") <= F.col("gap")).select("source", "size", "row"), "more")
-        taken.append(more)
-        left = pool.drop("gap").join(more.select("row"), "row", "left_anti")
-        state = staged(_less(state, more), "state")
-    closing = reduce(DataFrame.union, taken).select("row", F.lit(1).alias("closing"))
-    copies = (F.col("certain") + F.when(F.col("drawn"), 1).otherwise(0) + F.coalesce("closing", F.lit(0))).cast("long")
+    ranked = staged(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "source", *keep, "size", "source_size", "target", "certain", "rest", "whole", "rank_value"), "ranked")
+    # Documents taken for certain come first, in descending size, then the order of ranks.
+    order = F.when(F.col("whole"), -100 - F.log("size") / 16).otherwise(F.log("rank_value"))
+    pool = ranked.where("whole or rank_value is not null").select("row", "source", "size", "doc_id", order.alias("order"), F.coalesce("rank_value", -F.col("size").cast("double")).alias("rank_value"), F.col("rest").alias("gap"))
+    taken = _down(pool, goal.select("source", F.col("rest").alias("gap")), n_sources)
+    drawn = staged(reduce(DataFrame.union, (t.select("row") for t in taken), ranked.where("false").select("row")).select("row", F.lit(1).alias("drawn")), "drawn")
+    drop(spark, *taken, sized)
+    copies = (F.col("certain") + F.coalesce("drawn", F.lit(0))).cast("long")
     return (
-        ranked.join(F.broadcast(closing) if len(taken) == 2 else closing, "row", "left").withColumn("copies", copies)
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        ranked.join(drawn, "row", "left").withColumn("copies", copies)
+        .select("doc_id", "source", *keep, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
-def _in_order(rows: DataFrame) -> DataFrame:
-    """``rows`` with upto, the words of a source's documents up to each one in Pareto order; documents without a rank are last."""
-    drawn = F.when(F.col("rank_value").isNotNull(), F.col("size")).otherwise(0)
-    in_source = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("source", "bin").agg(F.sum(drawn).alias("words")).select("source", "bin", F.coalesce(F.sum("words").over(in_source), F.lit(0)).alias("base"))
-    in_bin = Window.partitionBy("source", "bin").orderBy(F.col("rank_value").asc_nulls_last(), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        rows.withColumn("inside", F.sum(drawn).over(in_bin))
-        .alias("r").join(base.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.bin") == F.col("b.bin"))).select("r.*", "b.base")
-        .withColumn("upto", F.col("base") + F.col("inside")).drop("base", "inside")
-    )
+def _down(pool: DataFrame, state: DataFrame, n_sources: int) -> list[DataFrame]:
+    """Down the order of ``pool`` (row, source, size, doc_id, order, rank_value, gap): tables of the rows taken.
+
+    Each turn takes all documents before the first that does not fit, and goes on with those after it that do, until none is left.
+    """
+    taken: list[DataFrame] = []
+    pool = staged(pool, "pool")
+    while not pool.isEmpty():
+        more = staged(_before_cut(pool, n_sources), "more")
+        taken.append(more)
+        sums = more.groupBy("source").agg(F.sum("size").alias("words")).withColumnRenamed("source", "s")
+        state = staged(state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").select("source", (F.col("gap") - F.coalesce("words", F.lit(0))).alias("gap")), "state")
+        rest = pool.drop("gap").join(more.select("row"), "row", "left_anti")
+        rest = staged(_per_source(rest, state, n_sources).where("size <= gap"), "pool")
+        drop(pool.sparkSession, pool)
+        pool = rest
+    return taken
+
+
+def _bucket(order: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(BUCKETS - 1.0), F.floor((order + 128) * (BUCKETS // 256)).cast("double"))).cast("int")
+
+
+def _finer(order: Column) -> Column:
+    scaled = (order + 128) * (BUCKETS // 256)
+    return F.floor((scaled - F.floor(scaled)) * BUCKETS).cast("int")
+
+
+def _before_cut(pool: DataFrame, n_sources: int) -> DataFrame:
+    """row, source, size of the documents in order whose words, summed from the first, stay within the gap."""
+    rows = pool.withColumn("b", _bucket(F.col("order"))).withColumn("f", _finer(F.col("order")))
 
+    def cut(rows: DataFrame, part: str, base: Column) -> DataFrame:
+        """source, the part that holds the cut, and the words before it; without a cut the part after all."""
+        sums = rows.groupBy("source", part).agg(F.sum("size").alias("words"), F.first("gap").alias("gap"), F.first(base).alias("base"))
+        w = Window.partitionBy("source").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        at = sums.withColumn("before", F.col("base") + F.coalesce(F.sum("words").over(w), F.lit(0)))
+        return at.where(F.col("before") + F.col("words") > F.col("gap")).groupBy("source").agg(F.min(F.struct(part, "before")).alias("x")).select("source", F.col("x")[part].alias(f"cut_{part}"), F.col("x.before").alias(f"before_{part}"))
 
-def _fitting(left: DataFrame, state: DataFrame) -> DataFrame:
-    """The documents of ``left`` that are no longer than their source's gap, with the gap."""
-    return left.alias("r").join(F.broadcast(state.alias("s")), F.col("r.source").eqNullSafe(F.col("s.source"))).where("size <= gap").select("r.*", "gap")
+    first = cut(rows, "b", F.lit(0).cast("long"))
+    some = _left_per_source(rows, first, n_sources)
+    inside = some.where("b = cut_b")
+    second = cut(inside, "f", F.col("before_b"))
+    both = _left_per_source(some, second, n_sources)
+    early = both.where("cut_b is null or b < cut_b or (b = cut_b and (cut_f is null or f < cut_f))").select("row", "source", "size")
+    w = Window.partitionBy("source").orderBy("rank_value", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = both.where("b = cut_b and f = cut_f").withColumn("upto", F.col("before_f") + F.sum("size").over(w)).where("upto <= gap").select("row", "source", "size")
+    return early.union(last)
 
 
-def _less(state: DataFrame, taken: DataFrame) -> DataFrame:
-    """The gaps without the words of ``taken``."""
-    sums = taken.groupBy("source").agg(F.sum("size").alias("words"))
-    return state.alias("s").join(sums.alias("b"), F.col("s.source").eqNullSafe(F.col("b.source")), "left").select("s.source", (F.col("gap") - F.coalesce("b.words", F.lit(0))).alias("gap"))
+def _left_per_source(rows: DataFrame, table: DataFrame, n_sources: int) -> DataFrame:
+    t = table.withColumnRenamed("source", "its_source")
+    t = F.broadcast(t) if n_sources <= MOST_SOURCES else t
+    return rows.join(t, rows["source"].eqNullSafe(t["its_source"]), "left").drop("its_source")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
@@ -128,7 +170,7 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 #: The same mix in SQL over the view ``documents``.
 ORACLE = r"""
-WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH RECURSIVE sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, row_number() OVER (ORDER BY doc_id) AS id FROM documents),
 by_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 turns AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS turn FROM by_source),
 weighed AS (SELECT *, CASE turn % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM turns),
@@ -137,18 +179,20 @@ levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3.0::DOUBLE * sour
 opened AS (SELECT *, 3.0::DOUBLE * source_size > level * weight AS open FROM levels),
 fixed AS (SELECT level FROM opened WHERE open ORDER BY source_size / weight, turn LIMIT 1),
 goal AS (SELECT source, source_size, CASE WHEN open THEN (SELECT level FROM fixed) * weight ELSE 3.0::DOUBLE * source_size END AS target FROM opened),
-rows0 AS (SELECT s.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio,
+goals AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM goal),
+rests AS (SELECT source, source_size, target, floor(ratio)::BIGINT AS certain, (ratio - floor(ratio)) * source_size AS rest FROM goals),
+by_size AS (SELECT s.source, s.size, rest, count(*) AS n FROM sized s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source WHERE size > 0 GROUP BY ALL),
+rate0 AS (SELECT *, (rest - coalesce(sum(size * n) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+  / (sum(size * size * n) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DOUBLE AS rate FROM by_size),
+rates AS (SELECT source, max(size) AS longest, max_by(rate, size) AS rate FROM rate0 WHERE rate > 0 AND rate * size < 1 GROUP BY source),
+rows0 AS (SELECT s.*, source_size, target, certain, rest, longest, rate * size AS p, size > 0 AND rest > 0 AS may,
   (('0x' || substr(md5('mix|' || s.doc_id || '|' || size), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS unit
-  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source),
-rows1 AS (SELECT *, floor(ratio)::BIGINT AS certain, ratio - floor(ratio) AS p FROM rows0),
-rows2 AS (SELECT *, p * source_size AS rest, CASE WHEN p > 0 AND size > 0 THEN (unit / (1 - unit)) / (p / (1 - p)) END AS rank_value FROM rows1),
-ranked AS (SELECT *, rank_value IS NOT NULL AND sum(CASE WHEN rank_value IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank_value NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest AS drawn FROM rows2),
-gap1 AS (SELECT source, max(rest) - sum(CASE WHEN drawn THEN size ELSE 0 END) AS gap FROM ranked GROUP BY source),
-close1 AS (SELECT r.source, doc_id, size FROM ranked r JOIN gap1 g ON r.source IS NOT DISTINCT FROM g.source WHERE NOT drawn AND rank_value IS NOT NULL AND size <= gap
-  QUALIFY row_number() OVER (PARTITION BY r.source ORDER BY size DESC, rank_value, doc_id) = 1),
-gap2 AS (SELECT g.source, gap - coalesce(c.size, 0) AS gap FROM gap1 g LEFT JOIN close1 c ON g.source IS NOT DISTINCT FROM c.source),
-close2 AS (SELECT r.source, r.doc_id, r.size FROM ranked r JOIN gap2 g ON r.source IS NOT DISTINCT FROM g.source WHERE NOT drawn AND rank_value IS NOT NULL AND size <= gap
-  AND r.doc_id NOT IN (SELECT doc_id FROM close1) QUALIFY row_number() OVER (PARTITION BY r.source ORDER BY size DESC, rank_value, doc_id) = 1),
-counted AS (SELECT *, certain + drawn::BIGINT + (doc_id IN (SELECT doc_id FROM close1) OR doc_id IN (SELECT doc_id FROM close2))::BIGINT AS copies FROM ranked)
-SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM counted
+  FROM sized s JOIN rests g ON s.source IS NOT DISTINCT FROM g.source LEFT JOIN rates t ON s.source IS NOT DISTINCT FROM t.source),
+rows1 AS (SELECT *, may AND (size > longest OR longest IS NULL) AND size <= rest AS whole, CASE WHEN may AND size <= longest THEN (unit / (1 - unit)) / (p / (1 - p)) END AS rank_value FROM rows0),
+lined AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY whole DESC, CASE WHEN whole THEN -size END, rank_value, doc_id, size, id) AS place FROM rows1 WHERE whole OR rank_value IS NOT NULL),
+walk AS (SELECT source, 0::BIGINT AS place, rest AS gap, NULL::BIGINT AS id FROM rests
+  UNION ALL SELECT l.source, l.place, CASE WHEN l.size <= w.gap THEN w.gap - l.size ELSE w.gap END, CASE WHEN l.size <= w.gap THEN l.id END
+  FROM walk w JOIN lined l ON l.source IS NOT DISTINCT FROM w.source AND l.place = w.place + 1)
+SELECT doc_id, size, source_size, target, ((certain + drawn) * size)::BIGINT AS taken, certain + drawn AS copies
+FROM (SELECT *, CASE WHEN id IN (SELECT id FROM walk WHERE id IS NOT NULL) THEN 1 ELSE 0 END::BIGINT AS drawn FROM rows1)
 """

@@ -377,12 +377,43 @@ def test_mix_comes_near_its_targets(spark):
 
 def test_mix_goes_on_below_a_long_document(spark):
     texts = [" ".join(["w"] * 60)] * 600 + [" ".join(["w"] * 20_000)]
-    for seed in ("a", "b", "c"):
+    for seed in ("a", "b"):
         rows = mixing.mix(spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string"), share=0.5, seed=seed).collect()
         gap = rows[0]["target"] - sum(r["taken"] for r in rows)
         assert gap >= 0 and not any(r["copies"] == 0 and r["size"] <= gap for r in rows)
 
 
+def test_mix_is_the_walk_down_the_order(spark, monkeypatch):
+    """Each source against a plain walk, with repeated rows, missing ids and coarse buckets; inclusion follows size."""
+    monkeypatch.setattr(mixing, "BUCKETS", 512)
+    rnd = random.Random(4)
+    rows = [(rnd.choice([None, 3, i]), " ".join(["w"] * rnd.choice([1, 2, 5, 9, 40, 300])), rnd.choice(["a", "b", None, "c"])) for i in range(400)]
+    rows += [(7, "w w w", "a")] * 5
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    for source in ("a", "b", "c", None):
+        own = [r for r in got if r["source"] == source]
+        total, target = own[0]["source_size"], own[0]["target"]
+        certain = int(target / total)
+        rest = (target / total - certain) * total
+        for cut in sorted({r["size"] for r in own}, reverse=True):  # the longest size that isn't certain
+            rate = (rest - sum(r["size"] for r in own if r["size"] > cut)) / sum(r["size"] ** 2 for r in own if r["size"] <= cut)
+            if rate > 0 and rate * cut < 1:
+                break
+        line = []
+        for r in own:
+            name = "|".join(["mix", *([] if r["doc_id"] is None else [str(r["doc_id"])]), str(r["size"])])
+            u = (int(hashlib.md5(name.encode()).hexdigest()[:13], 16) + 0.5) / 16**13
+            p = rate * r["size"]
+            line.append((0, -r["size"], r) if r["size"] > cut else (1, u / (1 - u) / (p / (1 - p)), r))
+        gap, taken = rest, []
+        for _, _, r in sorted(line, key=lambda x: (x[0], x[1], -1 if x[2]["doc_id"] is None else x[2]["doc_id"], x[2]["size"])):
+            if r["size"] <= gap:
+                gap -= r["size"]
+                taken.append((str(r["doc_id"]), r["size"]))
+        assert sorted(taken) == sorted((str(r["doc_id"]), r["size"]) for r in own for _ in range(r["copies"] - certain))
+
+
 def test_decontamination(spark, docs, texts, empty):
     items = [(1, texts[4]), (2, texts[10]), (10, "one"), (3, None), (4, " ? "), (5, texts[4]), (6, "the of"), (7, "nowhere at all here")]
     bench = spark.createDataFrame(items, "item_id long, text string")
