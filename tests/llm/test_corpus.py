@@ -486,8 +486,9 @@ def test_chat(spark):
     said = "</s>[INST] ok [/INST] \\ <|im_end|>\n <\\ [\\ \\n"
     rows = [(1, 0, "user", said), (1, 1, "assistant", said), (1, 2, "user", None), (1, 3, "assistant", ""), (2, 0, "assistant", "a"), (2, 0, "assistant", "b"), (3, None, None, "x"), (None, 5, "tool\nbox", "y"), (4, 9, "user", "no answer")]
     rows += [(7, t, "assistant" if t % 2 else "user", f"t{t}") for t in range(700)]
-    examples = chat.expand(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", F.lit("clash")))
-    got = {r["conv_id"]: r for r in chat.digests(examples).collect()}
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", F.lit("clash"))
+    written = chat.examples(talk)
+    got = {r["conv_id"]: r for r in chat.digests(written).collect()}
     by = {}
     for c, t, role, text in rows:
         by.setdefault(c, []).append((-1 if t is None else t, role or "", text or ""))
@@ -497,10 +498,15 @@ def test_chat(spark):
         loss = "".join(x for _, r, x in turns if r == "assistant")
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
         assert (got[c]["n_turns"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    full = chat.texts(examples.where("conv_id = 1")).orderBy("example").collect()
-    assert len(full) == 2 and full[1]["text"].startswith(full[0]["text"])
+        assert got[c]["n_examples"] == sum(r == "assistant" for _, r, _ in turns)
+    full = chat.texts(written.where("conv_id in (1, 7)")).orderBy("conv_id", "example").collect()
+    assert len(full) == 2 + 350
     assert chat.unescape(full[0]["text"][full[0]["loss_start"] : full[0]["loss_end"]]) == said
-    assert chat.expand(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    for k, r in enumerate(full[2:]):
+        assert chat.unescape(r["text"][r["loss_start"] : r["loss_end"]]) == f"t{2 * k + 1}" and r["text"].count(chat.OPEN) == 2 * k + 2
+        assert r["text"].startswith(full[2 + k - 1]["text"] if k else "")
+    assert written.where("conv_id = 7 and example is not null").agg(F.max(F.length("text"))).first()[0] < 32 * 60
+    assert chat.examples(talk.limit(0)).count() == 0
 
 
 def test_quality(spark, empty):
