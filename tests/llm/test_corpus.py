@@ -343,6 +343,22 @@ def test_rows_without_ids_and_large_ids(spark, tmp_path):
     assert quality.scored(docs, quality.fit(docs, spark.createDataFrame([(big, 1)], "doc_id long, quality int"))).count() == 4
 
 
+@pytest.mark.parametrize("hot", [substrings.HOT, 2])
+def test_repeated_substrings_of_repeated_and_missing_ids(spark, hot, monkeypatch):
+    """Every row is a document of its own: rows with one doc_id in order of a hash of the text, equal rows one after the other."""
+    monkeypatch.setattr(substrings, "FEW", 0 if hot == 2 else substrings.FEW)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7" if hot == 2 else "2000")
+    rnd = random.Random(31)
+    line = ["".join(rnd.choices("abcdefgh", k=170)) for _ in range(4)]
+    rows = [(rnd.choice([None, 1, 2, 30 + i, 60 + i]), rnd.choice(line) + "".join(rnd.choices("xyz ", k=rnd.randrange(200))) + rnd.choice(line)[: rnd.randrange(170)]) for i in range(50)]
+    rows += [rows[0], rows[3], rows[3], (None, line[0]), (None, line[0]), (5, "unique" * 3), (5, line[1]), (5, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substrings.without_repeats(df, hot=hot).select("doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"), F.size("spans"), F.sha2("kept", 256)).collect()
+    order = df.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()
+    assert _by_rows(tuple(r) for r in got) == _by_rows(substrings.brute_force([tuple(r) for r in order]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def test_names_of_letter_rows():
     rng = np.random.default_rng(0)
     rows = rng.integers(0, 3, (200, 13)).astype(np.uint64)
