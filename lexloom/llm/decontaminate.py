@@ -6,12 +6,14 @@ Over the rest each task builds a suffix array, its Burrows-Wheeler transform, a
 positions; backward search runs for all windows at once, occurrences are located from the sampled positions, and overlapping
 hits merge into spans of bytes.
 
-Windows are ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. Benchmarks are sent to
-the tasks in blocks of at most ``block_items`` items; results of blocks are merged.
+Windows are ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. A benchmark is the stated
+query set. It is read in blocks of at most ``block_items`` items and ``block_bytes`` of text; one block at a time is broadcast, all
+documents are searched for it, and what was found goes on in the rows to the next block, so neither driver nor tasks hold more than
+one block. Hits of all blocks merge.
 
 Null and empty texts have no words and no hits; items without words are never found; rows with equal item_id count as one
-item; repeated documents are searched each; other columns are kept unless a result column has their name; empty tables give
-empty results (an empty benchmark: nothing is hit).
+item; an item without item_id is searched for, but can't be named; repeated documents are searched each; other columns are kept
+unless a result column has their name; empty tables give empty results (an empty benchmark: nothing is hit).
 """
 
 import hashlib
@@ -20,10 +22,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import map_texts, small_batches
+from ._store import drop, map_texts, small_batches, staged
 from ._text import ALNUM_WORD, U, groups, utf8, words
 
-WINDOW, BLOCK_ITEMS, SHARD_BYTES, SAMPLE = 10, 20_000, 2_000_000, 8
+WINDOW, BLOCK_ITEMS, BLOCK_BYTES, SHARD_BYTES, SAMPLE = 10, 20_000, 16_000_000, 2_000_000, 8
 
 
 class FMIndex:
@@ -110,7 +112,7 @@ class Phrases:
         self.vocabulary = np.unique(hashes)
         symbol = np.searchsorted(self.vocabulary, hashes) + 2
         self.sigma = len(self.vocabulary) + 2
-        self.names = sorted({i for i, _ in items}, key=str)
+        self.names = sorted({i for i, _ in items}, key=str)  # None: an item that can't be named
         place = {x: k for k, x in enumerate(self.names)}
         by_length: dict[int, dict[bytes, set[int]]] = {}
         for k, (name, _) in enumerate(items):
@@ -180,22 +182,21 @@ def _runs(flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """The documents with n_words, n_hit, item_ids (found items, sorted as strings), spans (bytes) and clean_text (without spans).
-
-    The benchmark is the stated query set: it is read to the driver in blocks of ``block_items`` rows.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    new = ["n_words", "n_hit", "item_ids", "spans", "clean_text"]
-    kept = [c for c in docs.columns if c not in new]
-    blocks, block = [], []
+def _blocks(benchmark: DataFrame, block_items: int, block_bytes: int):
+    """The items block by block; the driver holds one block, and one partition of the table while it is read."""
+    block, size = [], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
+        n = len(r[1] or "")
+        if block and (len(block) >= block_items or size + n > block_bytes):
+            yield block
+            block, size = [], 0
         block.append((r[0], r[1]))
-        if len(block) == block_items:
-            blocks, block = [*blocks, Phrases(block, window)], []
-    blocks.append(Phrases(block, window))
-    sent = spark.sparkContext.broadcast(blocks)
+        size += n
+    yield block
+
+
+def _searched(rows: DataFrame, kept: list[str], sent) -> DataFrame:
+    """``rows`` (kept columns, text, item_ids, runs) with what one block adds: item_ids and runs (first and last hit word, bytes)."""
 
     def work():
         def each(texts):
@@ -203,26 +204,73 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
             for part in groups([len(r) for r in raw_all], SHARD_BYTES):
                 raw = raw_all[part]
                 hashes, owner, start, end = words(raw, ALNUM_WORD)
-                hit, found = np.zeros(len(hashes), bool), [set() for _ in raw]
-                for phrases in sent.value:
-                    flags, owners, places = phrases.find(hashes, owner)
-                    hit |= flags
-                    for o, p in np.unique(np.c_[owners, places], axis=0) if len(owners) else ():
-                        found[o].add(phrases.names[p])
-                n_words, n_hit = np.bincount(owner, minlength=len(raw)), np.bincount(owner[hit], minlength=len(raw))
-                spans, clean = [[] for _ in raw], texts[part]
+                phrases = sent.value
+                hit, owners, places = phrases.find(hashes, owner)
+                found: list[set] = [set() for _ in raw]
+                for o, p in np.unique(np.c_[owners, places], axis=0) if len(owners) else ():
+                    if phrases.names[p] is not None:
+                        found[o].add(str(phrases.names[p]))
+                runs = [[] for _ in raw]
                 first = np.searchsorted(owner, np.arange(len(raw) + 1))
-                for o in np.flatnonzero(n_hit):
+                for o in np.unique(owner[hit]):
                     own = slice(first[o], first[o + 1])
                     a, z = _runs(hit[own])
-                    spans[o] = [(int(start[own][x]), int(end[own][y - 1])) for x, y in zip(a, z)]
-                    edges = [0, *(e for s in spans[o] for e in s), len(raw[o])]
-                    clean[o] = b"".join(raw[o][x:y] for x, y in zip(edges[::2], edges[1::2])).decode("utf-8", "replace")
-                yield part, {"n_words": n_words, "n_hit": n_hit, "item_ids": [sorted(map(str, x)) for x in found], "spans": [[{"start": s, "end": e} for s, e in x] for x in spans], "clean_text": clean}
+                    runs[o] = [{"a": int(x), "z": int(y), "start": int(start[own][x]), "end": int(end[own][y - 1])} for x, y in zip(a, z)]
+                yield part, {"n_words": np.bincount(owner, minlength=len(raw)), "new_ids": [sorted(x) for x in found], "new_runs": runs}
 
         return each
 
-    return map_texts(docs, kept, "n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,end:int>>, clean_text string", work)
+    done = map_texts(rows, [*kept, *([] if "text" in kept else ["text"]), "item_ids", "runs"], f"n_words long, new_ids array<string>, new_runs {_RUNS}", work)
+    return done.select(*rows.drop("item_ids", "runs", "n_words").columns, "n_words", F.concat("item_ids", "new_ids").alias("item_ids"), F.concat("runs", "new_runs").alias("runs"))
+
+
+_RUNS = "array<struct<a:int,z:int,start:int,end:int>>"
+
+
+def _without_runs(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """Merge the runs of hit words, and cut them out of the text."""
+    merged = F.aggregate(
+        F.array_sort("runs"), F.array().cast(_RUNS),
+        lambda done, x: F.when((F.size(done) == 0) | (F.element_at(done, -1)["z"] < x["a"]), F.concat(done, F.array(x))).when(F.element_at(done, -1)["z"] >= x["z"], done).otherwise(
+            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["a"].alias("a"), x["z"].alias("z"), F.element_at(done, -1)["start"].alias("start"), x["end"].alias("end"))))
+        ),
+    )
+    raw = F.encode("text", "UTF-8")
+    edges = lambda r: F.transform(r, lambda x, i: F.struct(F.when(i == 0, 0).otherwise(F.get(r, i - 1)["end"]).alias("a"), x["start"].alias("z")))
+    kept_bytes = F.concat(
+        F.aggregate(edges(F.col("runs")), F.unhex(F.lit("")), lambda out, e: F.concat(out, F.substring(raw, e["a"] + 1, e["z"] - e["a"]))), F.substring(raw, F.element_at("runs", -1)["end"] + 1, F.length(raw))
+    )
+    hit = F.size("runs") > 0
+    out = rows.withColumn("runs", F.when(F.size("runs") > 1, merged).otherwise(F.col("runs")))
+    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, x: n + x["z"] - x["a"])
+    return out.select(
+        *kept, "n_words", n_hit.alias("n_hit"), F.array_sort(F.array_distinct("item_ids")).alias("item_ids"), F.transform("runs", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("spans"),
+        F.when(hit, F.decode(kept_bytes, "UTF-8")).otherwise(F.col("text")).alias("clean_text"),
+    )
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents with n_words, n_hit, item_ids (found items, sorted as strings), spans (bytes) and clean_text (without spans)."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    new = ["n_words", "n_hit", "item_ids", "spans", "clean_text"]
+    kept = [c for c in docs.columns if c not in new]
+    own = {c: f"kept_{i}" for i, c in enumerate(kept)}  # result columns may share a name with a column of the documents
+    rows = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in own.items()), "text", F.array().cast("array<string>").alias("item_ids"), F.array().cast(_RUNS).alias("runs"))
+    last = None
+    blocks = _blocks(benchmark, block_items, block_bytes)
+    block = next(blocks)
+    while block is not None:
+        sent = spark.sparkContext.broadcast(Phrases(block, window))
+        rows = _searched(rows, list(own.values()), sent)
+        block = next(blocks, None)
+        if block is not None:  # what was found so far is written, and the block given up, before the next one is sent
+            rows = staged(rows, "searched")
+            sent.destroy()
+            if last is not None:
+                drop(spark, last)
+            last = rows
+    return _without_runs(rows, list(own.values())).select(*(F.col(x).alias(c) for c, x in own.items()), *new)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
@@ -248,6 +296,6 @@ def brute_force(texts: list, items: list[tuple], window: int = WINDOW) -> list[t
                 for i in range(len(w) - n + 1):
                     if w[i : i + n] == v[j : j + n]:
                         hits |= set(range(i, i + n))
-                        names.add(str(name))
+                        names |= set() if name is None else {str(name)}
         out.append((len(w), len(hits), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()))
     return out

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ._ranges import bounds_of, range_index
 from ._store import staged
 
-WORDS, BUCKET_ROWS, MOST_BUCKETS = 5, 2000, 10_000
+WORDS, BUCKET_ROWS, MOST_BUCKETS = 5, 2000, 100_000
 LANES = 0x0000000100000001
 HALF = 32
 BITS = 128
@@ -153,32 +153,36 @@ def _meets_first(q: Column, p: Column, t: Column, radius: int) -> Column:
     return found
 
 
-def near_prints(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """All (qa, qb, pa, pb, distance) of distinct fingerprints of two tables (fa, fb) with a Hamming distance of at most ``radius``.
+def _meetings(queries: DataFrame, prints: DataFrame, radius: int, *kept: str) -> DataFrame:
+    """t, fa, fb and there: each distinct query beside lists of the fingerprints (with ``kept``) under the values that it looks up.
 
     The 128 bits fall into blocks. Two fingerprints within the radius differ in at most ``FLIPS`` bits of one of them, so they
-    meet in its table, where a query looks up all such values.
+    meet in its table, where a query looks up all such values. Lists have about ``MEMBERS`` entries: longer ones, of a family of
+    near-equal texts, are dealt to parts by hash, and a query visits all parts.
     """
-    q = _tables(queries.select("fa", "fb").distinct(), radius, True).select("t", "k", F.struct("fa", "fb").alias("q"))
-    p = _tables(prints.select("fa", "fb").distinct(), radius, False).select("t", "k", F.struct("fa", "fb").alias("p"))
-    met = q.join(p, ["t", "k"]).where(_meets_first(F.col("q"), F.col("p"), F.col("t"), radius))
-    return met.select(F.col("q.fa").alias("qa"), F.col("q.fb").alias("qb"), F.col("p.fa").alias("pa"), F.col("p.fb").alias("pb"), _distance(F.col("q"), F.col("p")).alias("distance"))
+    homes = _tables(prints.select("fa", "fb", *kept), radius, False, *kept)
+    parts = F.broadcast(homes.groupBy("t", "k").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts")).where("parts > 1"))  # at most all values of all blocks
+    part = F.pmod(F.xxhash64("fa", "fb"), F.coalesce("parts", F.lit(1)))
+    lists = homes.join(parts, ["t", "k"], "left").groupBy("t", "k", part.cast("int").alias("part")).agg(F.collect_list(F.struct("fa", "fb", *kept)).alias("there"))
+    probes = _tables(queries.select("fa", "fb").distinct(), radius, True).join(parts, ["t", "k"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return probes.join(lists.hint("shuffle_hash"), ["t", "k", "part"]).select("t", "fa", "fb", "there")
+
+
+def near_prints(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """All (qa, qb, pa, pb, distance) of distinct fingerprints of two tables (fa, fb) with a Hamming distance of at most ``radius``."""
+    q = F.struct("fa", "fb")
+    met = _meetings(queries, prints.select("fa", "fb").distinct(), radius)
+    near = F.explode(F.filter("there", lambda p: _meets_first(q, p, F.col("t"), radius))).alias("p")
+    return met.select("fa", "fb", near).select(F.col("fa").alias("qa"), F.col("fb").alias("qb"), F.col("p.fa").alias("pa"), F.col("p.fb").alias("pb"), _distance(q, F.col("p")).alias("distance"))
 
 
 def near_counts(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fa, fb, k: the sum of n over ``prints`` (distinct fa, fb, with n) within the radius of each distinct query.
 
-    The tables of ``near_prints``, but what stands under one value is a list that a query runs through, so no row is made for a
-    pair and a large group of copies doesn't grow with its square. Lists have about ``MEMBERS`` entries: longer ones are dealt
-    to parts by hash, and a query visits all parts.
+    A query runs through the lists it meets, so no row is made for a pair and a large group of copies doesn't grow with its square.
     """
-    homes = _tables(prints.select("fa", "fb", "n"), radius, False, "n")
-    parts = F.broadcast(homes.groupBy("t", "k").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts")).where("parts > 1"))  # at most all values of all blocks
-    part = F.pmod(F.xxhash64("fa", "fb"), F.coalesce("parts", F.lit(1)))
-    lists = homes.join(parts, ["t", "k"], "left").groupBy("t", "k", part.cast("int").alias("part")).agg(F.collect_list(F.struct("fa", "fb", "n")).alias("there"))
-    probes = _tables(queries.select("fa", "fb").distinct(), radius, True).join(parts, ["t", "k"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     near = lambda n, p: n + F.when(_meets_first(F.struct("fa", "fb"), p, F.col("t"), radius), p["n"]).otherwise(F.lit(0).cast("long"))
-    return probes.join(lists.hint("shuffle_hash"), ["t", "k", "part"]).select("fa", "fb", F.aggregate("there", F.lit(0).cast("long"), near).alias("k")).groupBy("fa", "fb").agg(F.sum("k").alias("k"))
+    return _meetings(queries, prints, radius, "n").select("fa", "fb", F.aggregate("there", F.lit(0).cast("long"), near).alias("k")).groupBy("fa", "fb").agg(F.sum("k").alias("k"))
 
 
 def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -4,8 +4,8 @@ Statistics of whole texts are Spark column expressions. Boosted shallow trees ar
 every path from a root to a node is a conjunctive rule over statistics; lasso-penalised logistic regression weighs the rules, and
 those with weight compile into one Spark column expression that scores any number of documents without Python.
 
-The fit reads at most ``most_rows`` labelled rows, the first by a hash of doc_id; scores cover all rows. Only the text enters a
-score. Labels of one doc_id are averaged and rounded; null labels are ignored; without labels, or with one class only, the score
+The fit reads at most ``most_rows`` labelled documents, the first by a hash of doc_id; scores cover all rows. Only the text enters a
+score. Of several texts with one doc_id the fit reads the one with the smallest hash. Labels of one doc_id are averaged and rounded; null labels are ignored; without labels, or with one class only, the score
 is the (smoothed) base rate. Null and empty texts have the statistics of an empty text. Repeated rows are scored alike; other
 columns are kept; an empty table gives an empty result.
 """
@@ -143,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> RuleE
     """Learn from labelled rows outside the held-out fold; at most ``most_rows`` of them reach the driver."""
     known = labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.avg("quality").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")).select("doc_id", F.round("y").alias("y"), "stats.*").limit(2 * most_rows).toPandas()
+    one = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = statistics(one).select("doc_id", F.round("y").alias("y"), "stats.*").toPandas()
     rows = rows.sort_values(["doc_id", *STATISTICS])
     return RuleEnsemble.fit(rows[list(STATISTICS)].to_numpy(float), rows["y"].to_numpy(float), list(STATISTICS))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -67,6 +68,31 @@ def test_fingerprints(docs, texts, empty):
     assert fingerprints.edited_pairs(empty).count() == 0
 
 
+def test_fingerprints_against_a_plain_count(spark):
+    """Votes, edited texts and likeness from scratch: xxhash64 of each word seeded by the one before it."""
+    import xxhash
+
+    def fingerprint(text):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", text.lower()) if x]
+        terms = []
+        for i in range(max(len(w) - 5, 0) + 1 if w else 0):
+            h = 42
+            for x in w[i : i + 5]:
+                h = xxhash.xxh64_intdigest(x.encode(), h)
+            terms.append(h | xxhash.xxh64_intdigest(h.to_bytes(8, "little"), 42) << 64)
+        bits = sum(1 << b for b in range(128) if 2 * sum(t >> b & 1 for t in terms) > len(terms))
+        return bits
+
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choices(["The", "of", "élan", "x1", "blue"], k=rnd.choice([0, 1, 4, 5, 30]))) for _ in range(12)]
+    rows = fingerprints.edited_pairs(_docs(spark, texts)).orderBy("doc_id").collect()
+    for r, own, following in zip(rows, texts, texts[1:] + texts[:1]):
+        a, e = fingerprint(own), fingerprint(own[: len(own) - len(own) // 2] + following[: len(own) // 2])
+        text = lambda x: f"{x % 2**64:016x}{x >> 64:016x}"
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (text(a), text(e))
+        assert abs(r["near_edited"] - (1 - (a ^ e).bit_count() / 128)) < 1e-12
+
+
 def test_next_document_across_buckets(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 7)
     ids = [i * i * 37 for i in range(50)] + [None, 37, 37]
@@ -85,10 +111,11 @@ def test_simhash_votes(spark):
     assert got["fa"] % 2**64 == sum(1 << b for b in range(64) if 2 * sum((x >> b) & 1 for x in terms) > len(terms))
 
 
-def test_block_tables_find_all_within_the_radius(spark):
+def test_block_tables_find_all_within_the_radius(spark, monkeypatch):
     rnd = random.Random(1)
     base = [rnd.getrandbits(128) for _ in range(30)]
     prints = base + [b ^ sum(1 << k for k in rnd.sample(range(128), d)) for b in base for d in (0, 1, 3, 4)]
+    monkeypatch.setattr(fingerprints, "MEMBERS", 4)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(i, signed(p & (2**64 - 1)), signed(p >> 64)) for i, p in enumerate(prints)], "id long, fa long, fb long")
     queries = df.where("id % 20 = 0")
@@ -431,7 +458,7 @@ def test_mix_is_the_walk_down_the_order(spark, monkeypatch):
 
 
 def test_decontamination(spark, docs, texts, empty):
-    items = [(1, texts[4]), (2, texts[10]), (10, "one"), (3, None), (4, " ? "), (5, texts[4]), (6, "the of"), (7, "nowhere at all here")]
+    items = [(1, texts[4]), (2, texts[10]), (10, "one"), (3, None), (4, " ? "), (5, texts[4]), (6, "the of"), (7, "nowhere at all here"), (None, "erst thing")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows = decontaminate.decontaminate(docs, bench).orderBy("doc_id").collect()
     expected = decontaminate.brute_force(texts[:-2], items)
@@ -440,6 +467,10 @@ def test_decontamination(spark, docs, texts, empty):
     split = decontaminate.decontaminate(docs, bench, block_items=2).orderBy("doc_id").collect()
     assert [(r["n_hit"], r["item_ids"], r["clean_text"]) for r in split] == [(r["n_hit"], r["item_ids"], r["clean_text"]) for r in rows]
     assert rows[4]["clean_text"] == "" and rows[0]["clean_text"] is None
+    for r, t in zip(rows, texts):
+        raw = (t or "").encode()
+        edges = [0, *(e for s in r["spans"] for e in (s["start"], s["end"])), len(raw)]
+        assert (r["clean_text"] or "").encode() == b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2]))
     assert decontaminate.decontaminate(empty, bench).count() == 0
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
@@ -545,6 +576,25 @@ def test_quality(spark, empty):
     flat = quality.fit(docs, known.limit(0))
     assert flat.rules == [] and quality.scored(empty, model).count() == 0
     assert quality.scored(docs, flat).select("score").distinct().count() == 1
+    # The column expression against the rules applied one by one.
+    stats = quality.statistics(docs).select("doc_id", "stats").collect()
+    by = {r["doc_id"]: r["score"] for r in rows}
+    for r in stats:
+        margin = model.intercept + sum(w for rule, w in model.rules if all((r["stats"][n] > cut) == above for n, above, cut in rule))
+        assert abs(by[r["doc_id"]] - 1 / (1 + np.exp(-margin))) < 1e-9
+    twice = docs.union(docs.where("doc_id = 12").withColumn("text", F.lit("other")))
+    assert quality.fit(twice.repartition(4), known) == quality.fit(twice.repartition(2), known)
+
+
+def test_held_out_accuracy(spark):
+    """On the labelled documents that the fit never saw."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null")
+    rows = quality.op10(spark, sf).join(labels, "doc_id").where("held_out").select("score", "predicted", "quality").toPandas()
+    good, bad = rows[rows.quality == 1].score.to_numpy(), rows[rows.quality == 0].score.to_numpy()
+    auc = (good[:, None] > bad).mean() + (good[:, None] == bad).mean() / 2
+    assert len(good) > 10 and len(bad) > 10
+    assert auc > 0.9 and (rows.predicted == rows.quality).mean() > 0.85
 
 
 def test_pipeline(spark, tmp_path):
