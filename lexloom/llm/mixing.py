@@ -10,7 +10,7 @@ that still fits is taken, so a long document doesn't keep the ones after it out,
 No source is gathered in one task. c follows from the words by distinct size. The order is cut by a histogram of ranks: whole buckets
 are summed, the bucket that holds the cut is split once more, and only the rows of that small bucket are sorted.
 
-Null texts and texts without words have size 0 and taken 0; a null source is a source of its own; rows that repeat a doc_id, and rows
+Null texts and texts without words have size 0 and no copies; a null source is a source of its own; rows that repeat a doc_id, and rows
 without one, count each for themselves; other columns are kept out of the result unless asked for; an empty table gives an empty
 result.
 """
@@ -100,7 +100,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     taken = _down(pool, goal.select("source", F.col("rest").alias("gap")), n_sources)
     drawn = staged(reduce(DataFrame.union, (t.select("row") for t in taken), ranked.where("false").select("row")).select("row", F.lit(1).alias("drawn")), "drawn")
     drop(spark, *taken, sized)
-    copies = (F.col("certain") + F.coalesce("drawn", F.lit(0))).cast("long")
+    copies = F.when(F.col("size") > 0, F.col("certain") + F.coalesce("drawn", F.lit(0))).otherwise(0).cast("long")
     return (
         ranked.join(drawn, "row", "left").withColumn("copies", copies)
         .select("doc_id", "source", *keep, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
@@ -193,6 +193,6 @@ lined AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY whole DESC,
 walk AS (SELECT source, 0::BIGINT AS place, rest AS gap, NULL::BIGINT AS id FROM rests
   UNION ALL SELECT l.source, l.place, CASE WHEN l.size <= w.gap THEN w.gap - l.size ELSE w.gap END, CASE WHEN l.size <= w.gap THEN l.id END
   FROM walk w JOIN lined l ON l.source IS NOT DISTINCT FROM w.source AND l.place = w.place + 1)
-SELECT doc_id, size, source_size, target, ((certain + drawn) * size)::BIGINT AS taken, certain + drawn AS copies
+SELECT doc_id, size, source_size, target, ((certain + drawn) * size)::BIGINT AS taken, CASE WHEN size > 0 THEN certain + drawn ELSE 0 END AS copies
 FROM (SELECT *, CASE WHEN id IN (SELECT id FROM walk WHERE id IS NOT NULL) THEN 1 ELSE 0 END::BIGINT AS drawn FROM rows1)
 """

@@ -597,26 +597,81 @@ def test_held_out_accuracy(spark):
     assert auc > 0.9 and (rows.predicted == rows.quality).mean() > 0.85
 
 
-def test_pipeline(spark, tmp_path):
+def _pipeline_rows(spark):
+    """A small corpus with near and equal copies, repeated and missing ids, benchmark passages and poor texts."""
+    rnd = random.Random(17)
+    words = ["the", "of", "thing", "erst", "blé", "house", "water", "long", "river", "some", "name", "green"]
+    rows, labels = [], []
+    for i in range(120):
+        w = rnd.choices(words, k=rnd.randrange(25, 90))
+        good = i % 4 > 0
+        rows.append((i, " ".join(w if good else [x.upper() + "!!" for x in w]), "en", f"s{i % 3}", 1))
+        labels.append((i, int(good)))
+    near = rows[1][1].split(" ")
+    near[3] = "other"
+    rows += [(500, " ".join(near), "en", "s1", 1), (501, rows[2][1], "en", None, 1), (None, rows[2][1], "en", "s2", 1), (5, rows[9][1] + " and more words behind it", "en", "s1", 1), rows[5], rows[5]]
+    rows += [(600, None, "en", "s0", 0), (600, None, "en", "s0", 0), (None, "", "en", "s0", 0)]
+    rows += [(700 + k, "of the " + "quite rare words of one benchmark item stand right here in a row " + rows[7 + k][1], "en", "s1", 1) for k in range(2)]
+    return rows, labels, [(1, "quite rare words of one benchmark item stand right here in a row"), (None, None)]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage against a plain version on its own input, by rows."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows, labels, items = _pipeline_rows(spark)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    bag = lambda x: sorted(((r["doc_id"], r["text"]) for r in x), key=str)
     before = docs
     for name, stage in corpus_pipeline.STAGES:
-        after = stage(spark, before, sf)
-        after.write.parquet(str(tmp_path / name))
-        after = spark.read.parquet(str(tmp_path / name))
+        given = before.collect()
+        after = stage(spark, before, str(tmp_path))
+        after.write.parquet(f"{tmp_path}/{name.replace('/', '')}")
+        after = spark.read.parquet(f"{tmp_path}/{name.replace('/', '')}")
+        got = after.collect()
+        if name != "token-ID / binary output":
+            assert after.columns == docs.columns
         if name == "quality classifier":
-            assert 0 < after.count() < before.count()
+            model = quality.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+            passed = []
+            for r in quality.statistics(docs).collect():
+                margin = model.intercept + sum(w for rule, w in model.rules if all((r["stats"][n] > cut) == above for n, above, cut in rule))
+                passed += [r] if 1 / (1 + np.exp(-margin)) >= quality.THRESHOLD else []
+            assert 0 < len(got) < len(given) and bag(got) == bag(passed)
         elif name == "n-gram Jaccard join":
-            rows = [tuple(r) for r in before.select("doc_id", "text").orderBy("doc_id").collect()]
-            assert sorted(r["doc_id"] for r in after.collect()) == sorted(d for d, _, c in jaccard.brute_force(rows, 5, 80) if d == c)
+            sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((r["text"] or "").lower().split() for r in given)]
+            home = list(range(len(given)))
+            for i in range(len(given)):
+                for j in range(i):
+                    if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                        home = [home[j] if h == home[i] else h for h in home]
+            groups = {}
+            for h, r, s in zip(home, given, sets):
+                groups.setdefault(h if s else (h, len(groups)), []).append(r)
+            assert len(got) == len(groups) < len(given)
+            for g in groups.values():
+                ids = [r["doc_id"] for r in g if r["doc_id"] is not None]
+                assert sum((r["doc_id"], r["text"]) in {(x["doc_id"], x["text"]) for x in g} and r["doc_id"] == (min(ids) if ids else None) for r in got) >= 1
         elif name == "benchmark decontamination":
-            items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
-            assert all(h == 0 for _, h, _ in decontaminate.brute_force([r["text"] for r in after.collect()][:40], items))
-        elif name != "token-ID / binary output":
-            assert after.columns == docs.columns
-        if name == "token-ID / binary output":
-            assert after.count() == before.count()
+            plain = [[n > 0 for _, n, _ in decontaminate.brute_force([r["text"]], items)] for r in given]
+            assert [d for d, _ in bag(got)] == [d for d, _ in bag(given)] and any(map(any, plain))
+            assert not any(n for _, n, _ in decontaminate.brute_force([r["text"] for r in got], items))
+            assert all((r["doc_id"], r["text"]) in set(bag(got)) for r, hit in zip(given, plain) if not hit[0])
+        elif name == "mixing sources to target weights":
+            taken = {}
+            for r in mixing.mix(before).collect():
+                taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+            mine = {}
+            for r in got:
+                mine[r["source"]] = mine.get(r["source"], 0) + len(r["text"].split())
+            assert mine == {k: v for k, v in taken.items() if v} and set(bag(got)) <= set(bag(given))
+        else:
+            tokenizer = Tokenizer.from_file(tokens.vocabulary_path())
+            expected = sorted(((r["doc_id"], zlib.crc32(np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for r in given), key=str)
+            assert sorted(((r["doc_id"], r["ids_crc32"]) for r in got), key=str) == expected
         before = after
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(tuple(r) for r in got)
