@@ -1,6 +1,6 @@
 """Baking a lexicon into the analysis table: entries, their forms and tags, without forms that other entries own."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,12 +9,13 @@ from .generation import generate
 from .paradigms import slot_tag
 
 # Tags of uninflected entries by part of speech, and of genders.
-INVARIABLE = {"adv": "+Adv", "prep": "+Pr", "postp": "+Po", "intj": "+Interj", "part": "+Pcle", "cconj": "+CC", "sconj": "+CS", "num": "+Num", "noun": "+N"}
+INVARIABLE = {"adv": "+Adv", "prep": "+Pr", "postp": "+Po", "intj": "+Interj", "part": "+Pcle", "cconj": "+CC", "sconj": "+CS", "num": "+Num", "pron": "+Pron", "noun": "+N"}
 GENDER = {"masc": "Msc", "fem": "Fem", "neut": "Neu"}
 
 
-def leading_number(paradigm) -> Column:
-    return F.try_to_number(F.regexp_extract(paradigm, r"^(\d+)", 1), F.lit("999999")).cast("int") if isinstance(paradigm, str) else F.regexp_extract(paradigm, r"^(\d+)", 1).cast("int")
+def leading_number(paradigm: str = "paradigm") -> Column:
+    """The number that a paradigm label begins with, or null."""
+    return F.expr(f"try_cast(regexp_extract({paradigm}, '^([0-9]+)', 1) as int)")
 
 
 def is_proper() -> Column:
@@ -23,7 +24,7 @@ def is_proper() -> Column:
 
 def lexeme_class() -> Column:
     """noun, adj, verb or invar by part of speech and paradigm; null for what is not baked."""
-    n = F.expr("try_cast(regexp_extract(paradigm, '^([0-9]+)', 1) as int)")
+    n = leading_number()
     return (
         F.when((F.col("pos") == "noun") & n.between(32, 64), "noun").when(F.col("pos").isin("adj", "num", "pron") & n.between(21, 31), "adj").when((F.col("pos") == "adj") & n.isin(68, 69), "adj")
         .when((F.col("pos") == "verb") & (n >= 71), "verb").when(F.col("pos").isin(*INVARIABLE) & n.isNull(), "invar")
@@ -77,7 +78,31 @@ def bake(entries: DataFrame) -> DataFrame:
     return rows.select("surface", F.concat("lemma", "tagset").alias("analysis"), "lemma", F.split(F.expr("substring(tagset, 2)"), r"\+").alias("tags")).distinct()
 
 
+def merged_table(closed: DataFrame, baked: DataFrame) -> DataFrame:
+    """The analysis table of the closed classes and of the baked lexicon."""
+    return closed.select("surface", "analysis", "lemma", "tags").unionByName(baked.select("surface", "analysis", "lemma", "tags")).distinct()
+
+
+def gold_surfaces(spark: SparkSession, path: str | None, fallback: DataFrame) -> DataFrame:
+    """surface: the lines of a frozen file of surfaces; without a file the surfaces of another table."""
+    return spark.read.text(path).where("value <> ''").select(F.col("value").alias("surface")).distinct() if path else fallback.select("surface").distinct()
+
+
 def parity(gold: DataFrame, got: DataFrame) -> DataFrame:
     """surface, side (missing or extra) of two tables of surfaces."""
     g, x = gold.select("surface").distinct(), got.select("surface").distinct()
     return g.subtract(x).withColumn("side", F.lit("missing")).union(x.subtract(g).withColumn("side", F.lit("extra")))
+
+
+def parity_counts(gold: DataFrame, got: DataFrame) -> DataFrame:
+    """One row: expected, found, missing, extra and the covered share in percent."""
+    g, x = gold.select("surface", F.lit(1).alias("g")).distinct(), got.select("surface", F.lit(1).alias("x")).distinct()
+    n = lambda test: F.count(F.when(test, 1))
+    both = F.col("g").isNotNull() & F.col("x").isNotNull()
+    sums = g.join(x, "surface", "full").agg(n(F.col("g").isNotNull()).alias("expected"), n(both).alias("found"), n(F.col("x").isNull()).alias("missing"), n(F.col("g").isNull()).alias("extra"))
+    return sums.withColumn("covered_pct", F.round(100 * F.col("found") / F.greatest("expected", F.lit(1)), 2))
+
+
+def write_parity(differences: DataFrame, path: str) -> None:
+    """The rows of ``parity`` as tab-separated text for review, what is missing first."""
+    differences.orderBy(F.desc("side"), "surface").select("side", "surface").write.csv(path, sep="\t", header=True)

@@ -7,7 +7,9 @@ what is still not exact becomes an override, which replaces its slot. ``expanded
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .generation import forms_of, generate, role_stems, role_table, usable
+from ..storage import settled
+from . import paradigms as P
+from .generation import forms_of, generate, role_stems, role_table, usable, with_rule_stems
 
 
 def cells(attested: DataFrame) -> DataFrame:
@@ -24,8 +26,9 @@ def candidates(lexemes: DataFrame, attested: DataFrame) -> DataFrame:
     return rows.select("lexeme", "pos", "paradigm", "role", "default", stem.alias("stem")).where((F.col("stem") != "") & usable(F.col("stem")) & (F.col("stem") != F.col("default"))).distinct()
 
 
-def best_stems(lexemes: DataFrame, attested: DataFrame) -> DataFrame:
-    """lexeme, role, stem, gain of the stems worth keeping; roles with a supplied stem keep it."""
+def best_stems(lexemes: DataFrame, attested: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """lexeme, role, stem, gain of the stems worth keeping; roles with a supplied stem keep it. Stems come from the cells of
+    ``source`` (usually the attested ones), gains are counted on the attested cells."""
     wanted = cells(attested)
 
     def met(forms: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,7 +36,7 @@ def best_stems(lexemes: DataFrame, attested: DataFrame) -> DataFrame:
         return by.join(wanted, ["lexeme", "slot"]).where(F.col("made") == F.col("attested")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
     before = met(forms_of(role_stems(lexemes)), ["lexeme", "role"]).withColumnRenamed("n", "before")
-    tried = candidates(lexemes, attested)
+    tried = candidates(lexemes, attested if source is None else source)
     after = met(forms_of(tried), ["lexeme", "role", "stem"])
     gains = tried.select("lexeme", "role", "stem").join(after, ["lexeme", "role", "stem"], "left").join(before, ["lexeme", "role"], "left")
     gains = gains.withColumn("gain", F.coalesce("n", F.lit(0)) - F.coalesce("before", F.lit(0))).where("gain > 0")
@@ -66,6 +69,85 @@ def compress(lexemes: DataFrame, attested: DataFrame) -> tuple[DataFrame, DataFr
     return lean, overrides(generate(lean), attested)
 
 
+def derive(lexemes: DataFrame, attested: DataFrame, mode: str = "full", rounds: int = 4) -> DataFrame:
+    """The derivation of each lexeme: lexeme, pos, paradigm (as given), status, stems, overrides, cells, by_rule, by_stem,
+    redundant_stems, variant_overrides, redundant_overrides, rounds, unstable.
+
+    ``mode``: full derives stems until another round, from the cells that are left over, changes nothing; a round that would not
+    restore all cells, or the last round, leaves the lexeme as it was, as unstable. lemma_only takes no new stems. dense takes the
+    input for compressed already: its cells stay overrides and its stems stay.
+
+    status: ok, unknown_paradigm (all cells are overrides), or no_stem (nothing usable to generate from). by_rule and by_stem count
+    the attested surfaces that the rules, and the stems, give. redundant_stems are supplied stems that equal the rule's;
+    redundant_overrides count overrides that repeat a generated cell (0 but in dense mode).
+    """
+    none = F.create_map().cast("map<string,string>")
+    wanted = settled(cells(attested))
+    known = with_rule_stems(lexemes)
+    lean = lexemes.withColumn("stems", F.coalesce("stems", none))
+    left = wanted if mode == "dense" else None
+    state = lexemes.select("lexeme", F.lit(1).alias("rounds"), F.lit(False).alias("unstable"))
+    if mode == "full":
+        lean = settled(with_stems(lexemes, best_stems(lexemes, attested)))
+        open_ = settled(overrides(generate(lean), attested))
+        for n in range(2, rounds + 1):
+            more = settled(best_stems(lean, attested, open_.select("lexeme", "slot", F.explode("attested").alias("surface"))))
+            changed = more.select("lexeme").distinct()
+            if more.isEmpty():
+                state = state.withColumn("rounds", F.lit(n))
+                break
+            tried = with_stems(lean, more)
+            now = overrides(generate(tried), attested)
+            lossy = verify(tried, now, attested).select("lexeme").distinct().withColumn("lossy", F.lit(True))
+            state = settled(state.join(changed.withColumn("changed", F.lit(True)), "lexeme", "left").join(lossy, "lexeme", "left").select("lexeme", F.when(F.col("changed") & F.col("lossy").isNull(), n).otherwise(F.col("rounds")).alias("rounds"), (F.col("unstable") | F.coalesce("lossy", F.lit(False)) | (F.coalesce("changed", F.lit(False)) & F.lit(n == rounds))).alias("unstable")))
+            lean = settled(with_stems(lean, more.join(lossy, "lexeme", "left_anti")))
+            open_ = settled(overrides(generate(lean), attested))
+    made = settled(generate(lean))
+    rule = generate(lexemes.withColumn("stems", F.lit(None).cast("map<string,string>")))
+    left = overrides(made, attested) if left is None else left
+    rows = wanted.join(made, ["lexeme", "slot"], "left").join(rule.withColumnRenamed("surfaces", "ruled"), ["lexeme", "slot"], "left").join(left.withColumnRenamed("attested", "kept"), ["lexeme", "slot"], "left")
+    met = lambda c: F.sum(F.coalesce(F.size(F.array_intersect("attested", c)), F.lit(0)))
+    empty = F.array().cast("array<string>")
+    sums = rows.groupBy("lexeme").agg(
+        F.sum(F.size("attested")).alias("cells"), met(F.coalesce("ruled", empty)).alias("by_rule"), met(F.coalesce("surfaces", empty)).alias("by_stem"),
+        F.sum(F.when(F.col("kept").isNotNull() & (F.size("attested") > 1), F.size("kept")).otherwise(0)).alias("variant_overrides"),
+        F.sum(F.when(F.col("kept") == F.col("surfaces"), 1).otherwise(0)).alias("redundant_overrides"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kept").isNotNull(), F.struct("slot", "kept"))))).alias("overrides"),
+    )
+    rules = known.select("lexeme", "rules")
+    some = role_stems(lean).select("lexeme").distinct().withColumn("some", F.lit(True))
+    supplied = lexemes.select("lexeme", F.coalesce("stems", none).alias("supplied"))
+    out = lexemes.select("lexeme", "pos", "paradigm").join(lean.select("lexeme", F.col("stems").alias("all_stems")), "lexeme").join(supplied, "lexeme").join(rules, "lexeme", "left").join(some, "lexeme", "left").join(sums, "lexeme", "left").join(state, "lexeme")
+    roles = sorted({r[2] for r in P.ROLES})
+    usable_stems = F.map_filter("all_stems", lambda k, v: k.isin(*roles) & usable(v))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select(
+        "lexeme", "pos", "paradigm", F.when(F.col("rules").isNull(), "unknown_paradigm").when(F.col("some").isNull(), "no_stem").otherwise("ok").alias("status"),
+        F.when(F.col("rules").isNull(), none).otherwise(usable_stems).alias("stems"), F.coalesce("overrides", F.create_map().cast("map<string,array<string>>")).alias("overrides"), *(count(c) for c in ("cells", "by_rule", "by_stem")),
+        F.array_sort(F.map_keys(F.map_filter("supplied", lambda k, v: v == F.col("rules")[k]))).alias("redundant_stems"), *(count(c) for c in ("variant_overrides", "redundant_overrides")), "rounds", "unstable",
+    )
+
+
+def report(derived: DataFrame, lexemes: DataFrame, attested: DataFrame) -> dict[str, DataFrame]:
+    """The counts of a report: by_pos, by_class, by_paradigm and findings."""
+    n = lambda test: F.count(F.when(test, 1))
+    total = lambda c, test: F.sum(F.when(test, F.col(c)).otherwise(0))
+    ok = F.col("status") == "ok"
+    over = F.aggregate(F.map_values("overrides"), F.lit(0), lambda k, x: k + F.size(x))
+    by_pos = derived.groupBy("pos").agg(F.count(F.lit(1)).alias("entries"), n(~ok).alias("blocked"), F.sum("cells").alias("cells"), total("cells", ~ok).alias("blocked_cells"), total("by_rule", ok).alias("by_rule"), total("by_stem", ok).alias("by_stem"))
+    lean = lexemes.drop("stems").join(derived.where(ok).select("lexeme", "stems"), "lexeme")
+    rows = cells(attested).join(lean.select("lexeme", "pos"), "lexeme").join(generate(lean), ["lexeme", "slot"], "left").join(generate(lean.withColumn("stems", F.lit(None).cast("map<string,string>"))).withColumnRenamed("surfaces", "ruled"), ["lexeme", "slot"], "left")
+    met = lambda c: F.sum(F.coalesce(F.size(F.array_intersect("attested", c)), F.lit(0)))
+    kind = F.when((F.col("pos") == "verb") & F.startswith("slot", F.lit("part.")), "participle").otherwise(F.col("pos"))
+    by_class = rows.groupBy("pos", kind.alias("class")).agg(F.sum(F.size("attested")).alias("cells"), met("ruled").alias("by_rule"), met("surfaces").alias("by_stem"))
+    fields = derived.where(ok).select("pos", "paradigm", F.explode(F.map_keys("stems")).alias("role")).groupBy("pos", "paradigm", "role").count().groupBy("pos", "paradigm").agg(F.map_from_entries(F.collect_list(F.struct("role", "count"))).alias("roles"))
+    by_paradigm = derived.groupBy("pos", "paradigm").agg(F.count(F.lit(1)).alias("entries"), n(ok & (F.col("by_rule") == F.col("cells"))).alias("complete"), n(ok & (F.size("stems") > 0)).alias("with_stems"), F.sum(over).alias("overrides")).join(fields, ["pos", "paradigm"], "left")
+    one = lambda name, c: derived.agg(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias("n")).select(F.lit(name).alias("finding"), "n")
+    findings = one("redundant stems", F.size("redundant_stems")).union(one("redundant overrides", F.col("redundant_overrides"))).union(one("overrides of slots with variants", F.col("variant_overrides"))).union(one("not settled", F.col("unstable").cast("int")))
+    findings = findings.union(derived.where(~ok).groupBy("pos", "status").count().select(F.concat_ws(" ", F.lit("left out:"), "pos", "status"), "count")).union(derived.groupBy("rounds").count().select(F.concat(F.lit("rounds "), F.col("rounds").cast("string")), "count"))
+    return {"by_pos": by_pos, "by_class": by_class, "by_paradigm": by_paradigm, "findings": findings}
+
+
 def verify(lean: DataFrame, replaced: DataFrame, attested: DataFrame) -> DataFrame:
     """lexeme, slot, missing, extra of listed cells that are not restored exactly: should be empty."""
     full = merged(generate(lean), replaced)

@@ -1,7 +1,7 @@
 """Ordered context rules over sentences: disambiguation, attachment, relations and error tags.
 
 A grammar is text of the user (Constraint Grammar notation). It is parsed once, sent to the tasks, and applied to one sentence at
-a time inside Arrow batches, so no sentence is shuffled. Constructs: DELIMITERS, LIST, SET (OR, +, -, tag lists, (*)), INCLUDE (given
+a time inside Arrow batches; running rules shuffles nothing. Constructs: DELIMITERS, LIST, SET (OR, +, -, tag lists, (*)), INCLUDE (given
 texts), BEFORE-SECTIONS, SECTION, SELECT, REMOVE, ADD, MAP, SETPARENT, SETCHILD, ADDRELATION with names, flags and contexts
 (offsets, scans with BARRIER, careful C, NOT, NEGATE, LINK, p c s, alternatives).
 """
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_PASSES = 30
+UNSETTLED = "(unsettled)"
 COHORTS = "array<struct<form:string,readings:array<struct<lemma:string,tags:array<string>>>,parent:int,agr_parent:int,relations:array<struct<label:string,target:int>>,rules:array<string>,errors:array<string>>>"
 _LEXEMES = re.compile(r'"(?:[^"\\]|\\.)*"[ri]*|[();]|[^\s();]+')
 _POSITION = re.compile(r"(-?\d+|[pcs])(\*{0,2})(C?)$")
@@ -237,6 +237,12 @@ class _Parser:
         return g
 
 
+def sections_before(text: str, name: str = "dep-tree") -> int | None:
+    """How many sections a grammar has before the one of that name; None without it."""
+    found = [m[1] for m in re.finditer(r"^[ \t]*SECTION(?:[ \t]+(\S+?)[ \t]*;?)?[ \t]*(?:#.*)?$", text, re.M)]
+    return found.index(name) if name in found else None
+
+
 def parse_grammar(text: str, includes: dict[str, str] | None = None) -> Grammar:
     return _Parser(text, includes or {}).parse()
 
@@ -247,6 +253,10 @@ class _Window:
     def __init__(self, cohorts: list[Cohort], prefix: str):
         self.cohorts, self.prefix = cohorts, prefix
 
+    def state(self) -> int:
+        """What rules may change, as one number."""
+        return hash(tuple((c.parent, tuple(c.relations), tuple((r.lemma, tuple(r.tags), r.locked) for r in c.readings)) for c in self.cohorts))
+
     def fits(self, i: int, test: Test, careful: bool) -> bool:
         c = self.cohorts[i]
         return bool(c.readings) and (all if careful else any)(test(c, r, i) for r in c.readings)
@@ -367,7 +377,8 @@ def windows(cohorts: list[Cohort], delimiters: frozenset) -> list[list[Cohort]]:
 
 def run_grammar(grammar: Grammar, cohorts: list[Cohort], snapshot: int | None = None) -> None:
     """Apply a grammar to a sentence in place: before-sections once, then sections 1, 1 to 2, and so on, each until nothing
-    changes. After ``snapshot`` sections the parents are kept as agr_parent. Parents and relations are places in the sentence."""
+    changes. Rules that undo each other would never end: when a state of the window comes back, its cohorts get the rule name
+    ``UNSETTLED`` and the next section is up. After ``snapshot`` sections the parents are kept as agr_parent. Parents and relations are places in the sentence."""
     start = 0
     for cohort_list in windows(cohorts, grammar.delimiters):
         base, start = start, start + len(cohort_list)
@@ -377,9 +388,13 @@ def run_grammar(grammar: Grammar, cohorts: list[Cohort], snapshot: int | None =
         w = _Window(cohort_list, grammar.prefix)
         w.run(grammar.before)
         for n in range(1, len(grammar.sections) + 1):
-            for _ in range(MOST_PASSES):
-                if not any([w.run(s) for s in grammar.sections[:n]]):
+            seen = {w.state()}
+            while any([w.run(s) for s in grammar.sections[:n]]):
+                if (now := w.state()) in seen:  # rules that undo each other: the state comes back
+                    for c in cohort_list:
+                        c.rules += [UNSETTLED] if UNSETTLED not in c.rules else []
                     break
+                seen.add(now)
             if n == snapshot:
                 for c in cohort_list:
                     c.agr_parent = None if c.parent is None else c.parent + base
@@ -433,18 +448,22 @@ def analysed(sentences: DataFrame, grammars: list[str], includes: dict[str, str]
 def cohorts_of(sentences: DataFrame, readings: DataFrame) -> DataFrame:
     """sent_id, text, cohorts of sentences (sent_id, text, tokens): each token with its readings, CLB, PUNCT or Unk.
 
-    readings: token, readings. Tokens are looked up once per type; a sentence's cohorts come together again by its sent_id.
+    readings: token, readings. Only the distinct words of a sentence that have readings are joined, as (sent_id, token); texts and
+    the other tokens stay where they are until the readings come back once a sentence.
     """
     from .statistics import with_final_delimiter
 
-    one = lambda tag: F.array(F.struct(F.col("token").alias("lemma"), F.array(F.lit(tag)).alias("tags")))
-    rows = sentences.select("sent_id", "text", F.posexplode(with_final_delimiter(F.col("tokens"))).alias("pos", "token"))
+    base = sentences.select("sent_id", "text", with_final_delimiter(F.col("tokens")).alias("tokens"))
+    words = base.select("sent_id", F.explode(F.filter(F.array_distinct("tokens"), lambda t: t.rlike(r"^\p{L}"))).alias("token"))
     known = readings.where(F.size("readings") > 0)
-    filled = rows.join(known, "token", "left").withColumn(
-        "readings", F.when(F.col("token").isin(".", "!", "?"), one("CLB")).when(~F.col("token").rlike(r"^\p{L}"), one("PUNCT")).otherwise(F.coalesce("readings", one("Unk")))
-    )
-    by = filled.groupBy("sent_id", "text").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("token").alias("form"), "readings"))).alias("c"))
-    return by.select("sent_id", "text", F.transform("c", lambda c: F.struct(c["form"].alias("form"), c["readings"].alias("readings"))).alias("cohorts"))
+    own = words.join(known, "token").groupBy("sent_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "readings"))).alias("own"))
+    one = lambda t, tag: F.array(F.struct(t.alias("lemma"), F.array(F.lit(tag)).alias("tags")))
+
+    def cohort(t):
+        found = F.when(t.isin(".", "!", "?"), one(t, "CLB")).when(~t.rlike(r"^\p{L}"), one(t, "PUNCT")).otherwise(F.coalesce(F.col("own")[t], one(t, "Unk")))
+        return F.struct(t.alias("form"), found.alias("readings"))
+
+    return base.join(own, "sent_id", "left").select("sent_id", "text", F.transform("tokens", cohort).alias("cohorts"))
 
 
 def to_stream(cohorts: list[dict]) -> str:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import arrow_targets, strip_marks
+from ..functions.text import arrow_targets, folded, strip_marks
 from .lookup import resolve_forms
 
 MOST_TOKENS = 4
@@ -11,7 +11,7 @@ MOST_TOKENS = 4
 
 def headwords(entries: DataFrame) -> DataFrame:
     """id, word, position and the keys under which an entry is found."""
-    return entries.select("id", "position", F.col("lemma").alias("word"), F.lower("lemma").alias("folded"), F.lower(strip_marks("lemma")).alias("bare"))
+    return entries.select("id", "position", F.col("lemma").alias("word"), folded("lemma").alias("folded"), folded(strip_marks("lemma")).alias("bare"))
 
 
 def references(entries: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def resolve_targets(refs: DataFrame, entries: DataFrame, analyses: DataFrame) ->
         return joined.select(*keys, F.lit(method).alias("method"), (F.lit(rank[0]) - F.col("n") * rank[1] + rank[2]).alias("rank"), "target", "position")
 
     # Ranks: longer prefixes first, exact before folded within a length; all of these before prefixes without marks.
-    found = hits(F.col("prefix"), "word", "headword", (100, 10, 0)).union(hits(F.lower("prefix"), "folded", "headword", (100, 10, 1))).union(hits(F.lower(strip_marks("prefix")), "bare", "macron", (300, 10, 0)))
+    found = hits(F.col("prefix"), "word", "headword", (100, 10, 0)).union(hits(folded("prefix"), "folded", "headword", (100, 10, 1))).union(hits(folded(strip_marks("prefix")), "bare", "macron", (300, 10, 0)))
     forms = refs.select(*keys, words[0].alias("form"))
     looked = resolve_forms(forms, analyses).where("method <> 'gap'").select("form", "method", F.explode("lemmas").alias("word"))
     by_form = forms.join(looked, "form").join(heads.select(F.col("id").alias("target"), "word", "position"), "word").select(*keys, F.concat(F.lit("form-"), "method").alias("method"), F.lit(900).alias("rank"), "target", "position")

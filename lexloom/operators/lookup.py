@@ -4,10 +4,8 @@ Forms are looked up once per distinct type. Each stage is an equi-join; a later
 Optional spellings are joined on a folded key and then checked position by position, since they hold in one direction only.
 """
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import case_variants, in_alphabet, short_vowels, titlecase
 from ..sources.lexicon import SHORT_PREPOSITIONS
@@ -100,14 +98,32 @@ def accepts(query: str, surface: str) -> bool:
     return any(reduced(s) for s in spellings(surface))
 
 
-@F.pandas_udf(T.StringType())
-def lenient_key(form: pd.Series) -> pd.Series:
-    return form.map(lenient_fold, na_action="ignore")
+def lenient_key(form) -> Column:
+    """``lenient_fold`` as a column."""
+    out = F.col(form) if isinstance(form, str) else form
+    for canonical, accepted in FINAL:
+        out = F.regexp_replace(out, f"{accepted}$", canonical)
+    for canonical, accepted in INITIAL:
+        out = F.regexp_replace(out, f"^{accepted}", canonical)
+    return F.regexp_replace(F.translate(out, "āēīōū", "aeiou"), f"([{SINGLE}])\\1+", "$1")
+
+
+def lenient_accepts(query: str, surface: str) -> Column:
+    """``accepts`` as a column: the query fits the pattern of a spelling of the surface, in which a small long vowel may be short,
+    and a double consonant after a vowel single."""
 
+    def pattern(spelling: Column) -> Column:
+        quoted = F.regexp_replace(spelling, r"([^\p{L}\p{N} ])", r"\\$1")
+        out = F.regexp_replace(quoted, f"(?<=[{VOWELS}])([{SINGLE}])\\1", "$1$1?")
+        for long, short in zip("āēīōū", "aeiou"):
+            out = F.replace(out, F.lit(long), F.lit(f"[{long}{short}]"))
+        return out
 
-@F.pandas_udf(T.BooleanType())
-def lenient_accepts(query: pd.Series, surface: pd.Series) -> pd.Series:
-    return pd.Series([accepts(q, s) for q, s in zip(query, surface)], dtype=bool)
+    s = F.col(surface)
+    forms = [s, *(F.when(s.startswith(c), F.regexp_replace(s, f"^{c}", a)) for c, a in INITIAL)]
+    forms += [F.when(f.endswith(c), F.regexp_replace(f, f"{c}$", a)) for f in list(forms) for c, a in FINAL]
+    fits = F.exists(F.transform(F.array_compact(F.array(*forms)), pattern), lambda p: F.regexp_like(F.col(query), F.concat(F.lit("^"), p, F.lit(r"\z"))))
+    return F.coalesce(fits, F.lit(False))
 
 
 def _readings(hits: DataFrame, form: str, name: str) -> DataFrame:
@@ -125,7 +141,7 @@ def cascade(types: DataFrame, analyses: DataFrame, lenient: bool = False, form:
     if lenient:
         both = types.select(form, F.posexplode(F.array(F.lower(form), titlecase(form))).alias("stage", "probe")).withColumn("key", lenient_key("probe"))
         folded = analyses.withColumn("key", lenient_key("surface"))
-        near = both.join(folded, "key").where(lenient_accepts("probe", "surface"))
+        near = both.join(folded, "key").where((F.col("probe") == F.col("surface")) | lenient_accepts("probe", "surface"))
         more = near.groupBy(form, (F.col("stage") + len(keys)).alias("stage")).agg(F.array_sort(F.collect_set(F.struct("lemma", "tags"))).alias("readings"))
         hits = hits.select(form, "stage", "readings").unionByName(more)
     best = hits.groupBy(form).agg(F.min_by(F.struct("stage", "readings"), "stage").alias("hit"))
@@ -139,7 +155,7 @@ def resolve_forms(forms: DataFrame, analyses: DataFrame, form: str = "form") ->
     probes = forms.select(form).distinct().where(in_alphabet(form)).select(form, F.posexplode(case_variants(form)).alias("k", "probe"))
     direct = probes.join(analyses, F.col("probe") == F.col("surface")).select(form, F.when(F.col("k") == 0, 0).otherwise(1).alias("stage"), "lemma", "tags")
     macron = probes.withColumn("key", macron_fold("probe")).join(analyses.withColumn("key", macron_fold("surface")), "key").where(macron_accepts("probe", "surface")).select(form, F.lit(2).alias("stage"), "lemma", "tags")
-    near = probes.withColumn("key", lenient_key("probe")).join(analyses.withColumn("key", lenient_key("surface")), "key").where(lenient_accepts("probe", "surface")).select(form, F.lit(3).alias("stage"), "lemma", "tags")
+    near = probes.withColumn("key", lenient_key("probe")).join(analyses.withColumn("key", lenient_key("surface")), "key").where((F.col("probe") == F.col("surface")) | lenient_accepts("probe", "surface")).select(form, F.lit(3).alias("stage"), "lemma", "tags")
     by = direct.union(macron).union(near).groupBy(form, "stage").agg(F.array_sort(F.collect_set("lemma")).alias("lemmas"), F.array_sort(F.collect_set(F.concat_ws("+", "tags"))).alias("tags"))
     best = by.groupBy(form).agg(F.min_by(F.struct("stage", "lemmas", "tags"), "stage").alias("b"))
     methods = F.array(*map(F.lit, ("exact", "case", "macron", "lenient")))

@@ -222,6 +222,59 @@ def resolve(pos: str, paradigm: str, lemma: str = "") -> str:
     return label
 
 
+def strip_of(kind: str, paradigm: str) -> list[str]:
+    """The lemma endings that a noun's or an adjective's paradigm cuts, in order."""
+    return [e for e in _STRIP.get((kind, paradigm), []) if e != "-"]
+
+
+def suffix_of(kind: str, paradigm: str) -> str:
+    """The suffix of an adjective's comparative."""
+    return _SUFFIX.get(paradigm, "").replace("-", "") if kind == "adj" else ""
+
+
+def theme_of(kind: str, paradigm: str) -> list[str]:
+    """The theme endings that a verb's present stem drops."""
+    return _THEME.get(paradigm, []) if kind == "verb" else []
+
+
+def atom_name(pos: str, paradigm: str, role: str, lemma: str = "") -> str:
+    """The label of a role's ending table: gen-family-paradigm, and the role where a paradigm has several; KeyError if there is none."""
+    kind, label = family(pos), resolve(pos, paradigm, lemma)
+    roles = SPEC[kind, label]
+    if role not in roles:
+        raise KeyError(f"{pos} {paradigm} has no role {role}: known are {', '.join(sorted(roles))}")
+    return "-".join(["gen", kind, label, *([role] if len(roles) > 1 else [])])
+
+
+def atoms(pos: str | None = None) -> list[tuple[str, str, str, str]]:
+    """(pos, paradigm, role, name) of all roles, sorted."""
+    return sorted((k, p, r, atom_name(k, p, r)) for (k, p), roles in SPEC.items() for r in roles if pos in (None, k))
+
+
+def table_faults() -> list[str]:
+    """What is wrong with the tables; should be empty: slots in two roles of a paradigm, slots without a tag, endings with characters
+    that no stem may have, roles without slots."""
+    out = []
+    for (kind, p), roles in SPEC.items():
+        seen: set[str] = set()
+        for role, slots in roles.items():
+            out += [f"{kind} {p} {role}: no slots"] if not slots else []
+            out += [f"{kind} {p}: {s} is in two roles" for s in slots if s in seen]
+            seen |= set(slots)
+            for s, e in slots.items():
+                out += [f"{kind} {p} {role} {s}: {c} in the ending" for c in set(e) - STEM_ALPHABET]
+                try:
+                    slot_tag(s)
+                except ValueError as wrong:
+                    out.append(str(wrong))
+    return out
+
+
+def slot_class(pos: str, slot: str) -> str:
+    """The class of a cell in reports: participles of verbs apart from finite forms."""
+    return "participle" if pos == "verb" and slot.startswith("part.") else pos
+
+
 def cut(text: str, endings) -> str:
     """Without the first of the endings that fits."""
     for e in endings:

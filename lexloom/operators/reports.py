@@ -10,15 +10,72 @@ def _unknown(c):
     return F.exists(c["readings"], lambda r: F.array_contains(r["tags"], "Unk"))
 
 
-def ambiguous_sentences(sentences: DataFrame, position: str = "sent_id", n: int = 20) -> DataFrame:
-    """sent_id, text, n_ambiguous, n_unknown, n_collapsed of the n sentences with most ambiguous and collapsed cohorts."""
+def ambiguous_sentences(sentences: DataFrame, before: DataFrame | None = None, position: str = "sent_id", n: int = 20) -> DataFrame:
+    """sent_id, text, frequency, n_ambiguous, n_unknown, n_collapsed, details of the n sentences with most ambiguous and collapsed
+    cohorts; sentences without any are left out. Details are those cohorts: form, readings left, and, where the analysis ``before``
+    the rules is given, the readings that there were. Without a column frequency each sentence counts once."""
     words = F.filter("cohorts", is_word)
-    count = lambda test: F.size(F.filter(words, test))
+    several = lambda c: (F.size(c["readings"]) > 1) & ~_unknown(c)
+    gone = lambda c: F.size(c["readings"]) == 0
+    shown = lambda c: F.transform(c["readings"], lambda r: F.array_join(F.concat(F.array(r["lemma"]), r["tags"]), "+"))
+    count = lambda cs, test: F.size(F.filter(cs, test))
+    listed = F.filter(F.transform("cohorts", lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda x: gone(x["c"]) | several(x["c"]))
     rows = sentences.select(
-        "sent_id", "text", count(lambda c: (F.size(c["readings"]) > 1) & ~_unknown(c)).alias("n_ambiguous"), count(_unknown).alias("n_unknown"),
-        F.size(F.filter("cohorts", lambda c: F.size(c["readings"]) == 0)).alias("n_collapsed"),
+        *{"sent_id", position}, "text", F.col("frequency") if "frequency" in sentences.columns else F.lit(1).cast("long").alias("frequency"), count(words, several).alias("n_ambiguous"), count(words, _unknown).alias("n_unknown"),
+        count(F.col("cohorts"), gone).alias("n_collapsed"), F.transform(listed, lambda x: F.struct(x["i"].alias("i"), x["c"]["form"].alias("form"), shown(x["c"]).alias("readings"))).alias("details"),
     )
-    return rows.orderBy((F.col("n_ambiguous") + F.col("n_collapsed")).desc(), position).limit(n)
+    top = rows.where("n_ambiguous + n_collapsed > 0").orderBy((F.col("n_ambiguous") + F.col("n_collapsed")).desc(), position).limit(n)
+    if before is not None:
+        old = before.select("sent_id", F.col("cohorts").alias("old"))
+        top = top.join(old, "sent_id").withColumn("details", F.transform("details", lambda d: F.struct(d["i"].alias("i"), d["form"].alias("form"), d["readings"].alias("readings"), shown(F.get("old", d["i"])).alias("before")))).orderBy((F.col("n_ambiguous") + F.col("n_collapsed")).desc(), position)
+    return top.select("sent_id", "text", "frequency", "n_ambiguous", "n_unknown", "n_collapsed", "details")
+
+
+def ambiguous_text(top: DataFrame, n: int = 10) -> str:
+    """The first n rows of ``ambiguous_sentences`` as text."""
+    lines = []
+    for i, r in enumerate(top.limit(n).collect(), 1):
+        lines += [f"#{i}: {r['n_ambiguous'] + r['n_collapsed']} open, frequency {r['frequency']}", f"  {r['text']}"]
+        for d in r["details"]:
+            was = f" (of {len(d['before'])})" if "before" in d else ""
+            lines.append(f"  {d['form']}: " + (" | ".join(d["readings"]) if d["readings"] else "no reading left") + was)
+    return "\n".join(lines)
+
+
+def errors_text(errors: DataFrame, n: int = 50) -> str:
+    """The first n rows of ``validation.detected_errors`` as text."""
+    total, rows = errors.count(), errors.orderBy("sent_id", "index", "kind").limit(n).collect()
+    return "\n".join([f"{total} errors" if total else "no errors", *(f"  {r['sent_id']} {r['index']} {r['form']}: {r['kind']}" + (f" ({r['n_before']} readings before)" if r["kind"] == "collapsed" else "") for r in rows)])
+
+
+def verdicts_text(results: DataFrame, counts: DataFrame, n: int = 50) -> str:
+    """The counts of ``validation.summary`` and the first n sentences with violations as text."""
+    lines = [f"{r['kind']} {r['value']}: {r['n']}" for r in counts.orderBy("kind", F.desc("n"), "value").collect()]  # a row a status, reason and rule
+    for r in results.where("size(violations) > 0").orderBy("sent_id").limit(n).collect():
+        lines.append(f"  {r['text']}")
+        lines += [f"    {v['rule']} ({v['severity']}) at {v['index']} {v['form']}: {v['message']}" for v in r["violations"]]
+    return "\n".join(lines)
+
+
+def compression_text(tables: dict[str, DataFrame], title: str = "Compression") -> str:
+    """The five tables of ``compression.report`` as text."""
+    def rows(name, *order):
+        return tables[name].orderBy(*order).collect()  # a row a part of speech, class or paradigm
+
+    lines = [title, "-" * len(title), "Cells of entries that can be generated"]
+    by_pos = rows("by_pos", "pos")
+    for r in by_pos:
+        total = r["cells"] - r["blocked_cells"]
+        lines.append(f"  {r['pos']}: {r['entries'] - r['blocked']} entries, {total} cells, by rule {percent(r['by_rule'], total)}, by stem {percent(r['by_stem'], total)}, {total - r['by_stem']} left over")
+    lines.append("All cells")
+    lines += [f"  {r['pos']}: {r['entries']} entries, {r['cells']} cells, by rule {percent(r['by_rule'], r['cells'])}, by stem {percent(r['by_stem'], r['cells'])}" for r in by_pos]
+    lines.append("Classes of cells")
+    lines += [f"  {r['pos']} {r['class']}: {r['cells']} cells, by rule {percent(r['by_rule'], r['cells'])}, by stem {percent(r['by_stem'], r['cells'])}" for r in rows("by_class", "pos", "class")]
+    lines.append("Paradigms")
+    lines += [f"  {r['pos']} {r['paradigm']}: {r['entries']} entries, {r['complete']} by rule alone, {r['with_stems']} with stems ({', '.join(f'{k}={v}' for k, v in sorted((r['roles'] or {}).items()))}), {r['overrides']} overrides" for r in rows("by_paradigm", "pos", "paradigm")]
+    lines.append("Findings")
+    lines += [f"  {r['finding']}: {r['n']}" for r in rows("findings", "finding")]
+    return "\n".join(lines)
 
 
 def export_counts(sentences: DataFrame) -> DataFrame:

@@ -9,6 +9,15 @@ from ..functions.text import without_attestations
 CASES = {"acc": "Acc", "akk": "Acc", "dat": "Dat", "gen": "Gen"}
 
 
+# Lemmas that the lists have whatever the entries say.
+CURATED = {
+    "GenVerb": ("bijātun", "klausītun", "kwaitītun"),
+    "AkkVerb": ("turītun", "waīstun", "billītun", "widātun", "gaūtun", "milītun", "pazinātun"),
+    "DatPrep": ("dīnkun",),
+    "DatAnyPrep": ("dīnkun",),
+}
+
+
 def _cases(text) -> Column:
     table = F.create_map(*[F.lit(x) for kv in CASES.items() for x in kv])
     found = F.regexp_extract_all(F.lower(text), F.lit(r"\b(acc|akk|dat|gen)\b"), F.lit(1))
@@ -33,8 +42,8 @@ def valence(entries: DataFrame) -> DataFrame:
     return out.where((F.col("kind") != "verb") | some).drop("gram", "finite")
 
 
-def government_lists(table: DataFrame) -> DataFrame:
-    """name, lemmas (sorted): which adpositions govern a case only, or also, and which verbs take it."""
+def government_lists(table: DataFrame, curated: dict[str, tuple[str, ...]] = CURATED) -> DataFrame:
+    """name, lemmas (sorted): which adpositions govern a case only, or also, and which verbs take it; with the ``curated`` ones."""
     only = lambda c: (F.size("cases") == 1) & F.array_contains("cases", c)
     lists = {
         "AkkPrep": (F.col("kind") == "prep") & only("Acc"), "DatPrep": (F.col("kind") == "prep") & only("Dat"),
@@ -44,10 +53,17 @@ def government_lists(table: DataFrame) -> DataFrame:
         "GovAdp": (F.col("kind") != "verb") & (F.size("cases") > 0), "GenVerb": (F.col("kind") == "verb") & F.array_contains("cases", "Gen"), "AkkVerb": (F.col("kind") == "verb") & F.array_contains("cases", "Acc"),
     }
     rows = table.select("lemma", F.explode(F.array_compact(F.array(*(F.when(test, F.lit(n)) for n, test in lists.items())))).alias("name"))
+    rows = rows.union(table.sparkSession.createDataFrame([(x, n) for n, xs in curated.items() for x in xs], "lemma string, name string"))
     names = table.sparkSession.createDataFrame([(n,) for n in lists], "name string")
     return names.join(rows.groupBy("name").agg(F.array_sort(F.collect_set("lemma")).alias("lemmas")), "name", "left").withColumn("lemmas", F.coalesce("lemmas", F.array(F.lit("__none__"))))
 
 
+def governed_case(table: DataFrame, curated: dict[str, tuple[str, ...]] = CURATED) -> dict[str, str]:
+    """The case of each preposition that governs one case only, as the export takes it."""
+    rows = government_lists(table, curated).where("name in ('AkkPrep', 'DatPrep')").collect()  # two lists of prepositions
+    return {x: case for r in rows for name, case in (("AkkPrep", "Acc"), ("DatPrep", "Dat")) if r["name"] == name for x in r["lemmas"] if x != "__none__"}
+
+
 def list_line(name: str, lemmas: list[str]) -> str:
     """One list in grammar notation."""
     return f"LIST {name} = " + " ".join(f'"{x}"' for x in lemmas or ["__none__"]) + " ;"

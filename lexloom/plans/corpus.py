@@ -78,10 +78,10 @@ _SHORT = "CASE lower(token) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SH
 
 
 @query(f"""
-WITH t AS ({_TYPES}), r AS ({_READINGS}),
+WITH t AS MATERIALIZED ({_TYPES}), r AS MATERIALIZED (SELECT token, len(readings) AS n_readings FROM ({_READINGS})),
 p AS (SELECT token, n, 0 AS k, token AS probe FROM t UNION ALL SELECT token, n, 1, lower(token) FROM t
   UNION ALL SELECT token, n, 2, upper(token[1]) || token[2:] FROM t UNION ALL SELECT token, n, 3, {_SHORT} FROM t),
-h AS (SELECT p.token, min(k) AS k, min_by(len(readings), k) AS n_readings FROM p JOIN r ON probe = r.token GROUP BY p.token)
+h AS MATERIALIZED (SELECT p.token, min(k) AS k, min_by(n_readings, k) AS n_readings FROM p JOIN r ON probe = r.token GROUP BY p.token)
 SELECT t.token, n, (['surface', 'lower', 'title', 'preposition'])[k + 1] AS stage, coalesce(n_readings, 0)::BIGINT AS n_readings FROM t LEFT JOIN h USING (token)
 """)
 def lookup_cascade(spark, d):
@@ -89,14 +89,17 @@ def lookup_cascade(spark, d):
     return found.select("token", "n", "stage", F.size("readings").cast("long").alias("n_readings"))
 
 
-_ASKED = ["as+Pron+P1+Sg+Dat", "tāns+Pron+P3+Sg+Acc+Msc", "as+Pron+P1+Encl+Sg+Acc", "tāns+Pron+P3+Msc+Sg+Acc", "ei+CC"]
+_ASKED = ["+Pron+P1+Sg+Dat", "+Pron+P3+Sg+Acc+Msc", "+Pron+P1+Encl+Sg+Acc", "+Pron+P3+Msc+Sg+Acc", "+CC", "+Pcle"]
 
 
-@query(
-    f"WITH q AS (SELECT unnest({_ASKED!r}) AS analysis) SELECT q.analysis, coalesce(string_agg(DISTINCT surface, '|' ORDER BY surface), '') AS surfaces FROM q LEFT JOIN ({_LEXICON}) l ON q.analysis = l.analysis GROUP BY ALL"
-)
+@query(f"""
+WITH q AS (SELECT DISTINCT lower(token) || tags AS analysis FROM ({_TYPES}) CROSS JOIN (SELECT unnest({_ASKED!r}) AS tags))
+SELECT q.analysis, coalesce(string_agg(DISTINCT surface, '|' ORDER BY surface), '') AS surfaces FROM q LEFT JOIN ({_LEXICON}) l ON q.analysis = l.analysis GROUP BY ALL
+""")
 def generate_lookup(spark, d):
-    asked = spark.createDataFrame([(x,) for x in _ASKED], "analysis string")
+    """Each word type of the documents as a lemma, with a few tag strings."""
+    types = lookup.word_types(_table(spark, d, "documents"))
+    asked = types.select(F.explode(F.array(*(F.concat(F.lower("token"), F.lit(t)) for t in _ASKED))).alias("analysis"))
     return lookup.surfaces_of(asked, analysis_table(spark)).select("analysis", F.concat_ws("|", "surfaces").alias("surfaces"))
 
 
@@ -175,7 +178,7 @@ def html_unescaped(spark, d):
     return _table(spark, d, "pages").select("page_id", tx.plain_description("html").alias("plain"))
 
 
-@query(r"SELECT doc_id, length(regexp_replace(regexp_replace(text, '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '(?i)https?://\S+|www\.\S+|\S+\.(?:jpe?g|png|gif|svg|webp)', ' ', 'g'))::BIGINT AS n_plain FROM documents")
+@query(rf"SELECT doc_id, length(regexp_replace(regexp_replace(text, '{tx.LINK}', '\1', 'g'), '{tx.ADDRESS}', ' ', 'g'))::BIGINT AS n_plain FROM documents")
 def markdown_clean(spark, d):
     return _table(spark, d, "documents").select("doc_id", F.length(tx.markdown_plain("text")).cast("long").alias("n_plain"))
 

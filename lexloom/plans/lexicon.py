@@ -12,12 +12,12 @@ from .corpus import _COUNTS, _READINGS, _TOKENS, _TYPES, _WORD, _table
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-# Attested cells of four lexemes (lexeme, part of speech, paradigm, cells).
+#: Attested cells of four made-up lexemes (lexeme, part of speech, paradigm, cells).
 LEXEMES = {
-    "Patals": ("noun", "32", "sg.nom Patals sg.gen Patallas sg.dat Patallu sg.acc Patallan pl.nom Patallai pl.gen Patallan pl.dat Patallamans pl.acc Patallans"),
-    "auktums": ("adj", "25", "msc.sg.nom auktums msc.sg.gen auktummas msc.pl.nom auktummai msc.pl.dat auktummans adv auktumai"),
-    "wilnis": ("adj", "27", "msc.sg.nom wilnis fem.sg.gen wilnjas fem.sg.dat wilnjai fem.pl.nom wilnjas adv wilnjai"),
-    "rusītwei": ("verb", "134", "prs.sg1 rusēi prs.sp3 rusēi prs.pl1 rusēimai prt.sg1 rusēi subj.sg1 rusīlai subj.sp3 rusīlai opt rusīsei imprt.sg2 rusēis"),
+    "Kadols": ("noun", "32", "sg.nom Kadols sg.gen Kadollas sg.dat Kadollu sg.acc Kadollan pl.nom Kadollai pl.gen Kadollan pl.dat Kadollamans pl.acc Kadollans"),
+    "smilgums": ("adj", "25", "msc.sg.nom smilgums msc.sg.gen smilgummas msc.pl.nom smilgummai msc.pl.dat smilgummans adv smilgumai"),
+    "dargnis": ("adj", "27", "msc.sg.nom dargnis fem.sg.gen dargnjas fem.sg.dat dargnjai fem.pl.nom dargnjas adv dargnjai"),
+    "lapītwei": ("verb", "134", "prs.sg1 lapēi prs.sp3 lapēi prs.pl1 lapēimai prt.sg1 lapēi subj.sg1 lapīlai subj.sp3 lapīlai opt lapīsei imprt.sg2 lapēis"),
 }
 CELLS = [(x, *pair) for x, (_, _, cells) in LEXEMES.items() for pair in zip(cells.split()[::2], cells.split()[1::2])]
 
@@ -50,19 +50,6 @@ def query(sql: str | None = None):
     return keep
 
 
-def _rows(values) -> str:
-    quoted = lambda v: "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
-    return ", ".join("(" + ", ".join(quoted(v) for v in r) + ")" for r in values)
-
-
-def _lexemes(spark):
-    return spark.createDataFrame([(x, pos, par, x, None) for x, (pos, par, _) in LEXEMES.items()], "lexeme string, pos string, paradigm string, lemma string, stems map<string,string>")
-
-
-def _attested(spark):
-    return spark.createDataFrame(CELLS, "lexeme string, slot string, surface string")
-
-
 _SINGLE = "translate(token, 'āēīōū', 'aeiou')"
 for _c in generation.DOUBLE:
     _SINGLE = f"replace({_SINGLE}, '{_c * 2}', '{_c}')"
@@ -81,46 +68,66 @@ def paradigm_expand(spark, d):
     return generation.generate(lexemes).select(F.col("lexeme").alias("token"), "slot", F.array_join("surfaces", "|").alias("surface"))
 
 
-_ROLES = [(p, q, r, s, e, generation.accented(generation.SENTINEL + e).removeprefix(generation.SENTINEL)) for p, q, r, s, e in P.ROLES if (p, q) in {v[:2] for v in LEXEMES.values()}]
-_DEFAULTS = [(x, pos, par, r, s) for x, (pos, par, _) in LEXEMES.items() for r, s in P.default_stems(pos, par, x).items()]
+# Every word type of plain letters is a lexeme of one noun paradigm: its nominative follows the lemma, up to three other cells follow
+# a shorter stem, so that rules, stems and overrides all have a part.
+_PLAIN = f"SELECT token AS t, left(token, length(token) - 1) AS u, length(token) % 4 AS k FROM ({_TYPES}) WHERE regexp_full_match(token, '[abcdefghijklmnoprstuvwyz]{{4,}}') AND token[-1] <> token[-2] AND token[-2] <> token[-3]"
+_SHORT_CELLS = (("sg.gen", "as"), ("sg.dat", "u"), ("sg.acc", "an"))
 
 
-@query(f"""
-WITH roles(pos, paradigm, role, slot, ending, measured) AS (VALUES {_rows(_ROLES)}), defaults(lexeme, pos, paradigm, role, stem0) AS (VALUES {_rows(_DEFAULTS)}), cells(lexeme, slot, surface) AS (VALUES {_rows(CELLS)})
-SELECT DISTINCT lexeme, role, left(surface, length(surface) - length(measured)) AS stem FROM cells JOIN defaults USING (lexeme) JOIN roles USING (pos, paradigm, role, slot)
-WHERE ends_with(surface, measured) AND left(surface, length(surface) - length(measured)) NOT IN ('', stem0)
-""")
+def _type_cells(spark, d):
+    """(lexemes, attested cells) of the word types."""
+    t = lookup.word_types(_table(spark, d, "documents")).where("token rlike '^[abcdefghijklmnoprstuvwyz]{4,}$'")
+    t = t.where((F.substring("token", -1, 1) != F.substring("token", -2, 1)) & (F.substring("token", -2, 1) != F.substring("token", -3, 1)))
+    u, k = F.expr("left(token, length(token) - 1)"), F.length("token") % 4
+    lexemes = t.select(F.col("token").alias("lexeme"), F.lit("noun").alias("pos"), F.lit("32").alias("paradigm"), F.concat("token", F.lit("s")).alias("lemma"), F.lit(None).cast("map<string,string>").alias("stems"))
+    cell = lambda slot, surface: F.struct(F.lit(slot).alias("slot"), surface.alias("surface"))
+    cells = F.array(cell("sg.nom", F.concat("token", F.lit("s"))), *(F.when(k > i, cell(s, F.concat(u, F.lit(e)))) for i, (s, e) in enumerate(_SHORT_CELLS)))
+    return lexemes, t.select(F.col("token").alias("lexeme"), F.explode(F.array_compact(cells)).alias("c")).select("lexeme", "c.slot", "c.surface")
+
+
+@query(f"SELECT t AS lexeme, 'obl' AS role, u AS stem FROM ({_PLAIN}) WHERE k > 0")
 def stem_candidates(spark, d):
-    return compression.candidates(_lexemes(spark), _attested(spark)).select("lexeme", "role", "stem")
+    return compression.candidates(*_type_cells(spark, d)).select("lexeme", "role", "stem")
 
 
-@query()
+@query(f"SELECT t AS lexeme, 'obl' AS role, u AS stem, (k - 1)::BIGINT AS gain FROM ({_PLAIN}) WHERE k > 1")
 def greedy_stem(spark, d):
-    return compression.best_stems(_lexemes(spark), _attested(spark))
+    return compression.best_stems(*_type_cells(spark, d))
 
 
-@query()
+@query(f"SELECT t AS lexeme, CASE WHEN k = 1 THEN 'sg.gen' ELSE 'sg.nom' END AS slot, CASE WHEN k = 1 THEN u || 'as' ELSE t || 's' END AS surfaces FROM ({_PLAIN}) WHERE k > 0")
 def compressed_overrides(spark, d):
-    _, replaced = compression.compress(_lexemes(spark), _attested(spark))
+    _, replaced = compression.compress(*_type_cells(spark, d))
     return replaced.select("lexeme", "slot", F.array_join("attested", "|").alias("surfaces"))
 
 
-@query()
+@query(f"""
+WITH s AS (SELECT sum(1 + k)::BIGINT AS cells, count(*) AS by_rule, sum(CASE WHEN k > 1 THEN k ELSE 1 END)::BIGINT AS by_stem FROM ({_PLAIN}))
+SELECT 'noun' AS pos, '32' AS paradigm, * FROM s UNION ALL SELECT 'noun', NULL, * FROM s UNION ALL SELECT NULL, NULL, * FROM s
+""")
 def compression_coverage(spark, d):
-    return compression.coverage(_lexemes(spark), _attested(spark))
+    return compression.coverage(*_type_cells(spark, d))
 
 
-_GENERATED, _REPLACED = [("a", "sg.nom", "x"), ("a", "sg.gen", "y"), ("b", "opt", "kalbīsei")], [("b", "opt", "kalbisei"), ("c", "adv", "z")]
+@query(f"""
+SELECT t AS lexeme, 'ok' AS status, CASE WHEN k > 1 THEN 'obl=' || u ELSE '' END AS stems, CASE WHEN k = 0 THEN '' WHEN k = 1 THEN 'sg.gen=' || u || 'as' ELSE 'sg.nom=' || t || 's' END AS overrides,
+  (1 + k)::BIGINT AS cells, 1::BIGINT AS by_rule, (CASE WHEN k > 1 THEN k ELSE 1 END)::BIGINT AS by_stem, 2 AS rounds, false AS unstable FROM ({_PLAIN})
+""")
+def derived_entries(spark, d):
+    """The whole derivation of each lexeme."""
+    found = compression.derive(*_type_cells(spark, d))
+    joined = lambda c, v: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), v(e["value"])))), " ")
+    return found.select("lexeme", "status", joined("stems", lambda v: v).alias("stems"), joined("overrides", lambda v: F.array_join(v, "|")).alias("overrides"), "cells", "by_rule", "by_stem", "rounds", "unstable")
 
 
 @query(f"""
-WITH g(lexeme, slot, surface) AS (VALUES {_rows(_GENERATED)}), o(lexeme, slot, surface) AS (VALUES {_rows(_REPLACED)})
-SELECT coalesce(g.lexeme, o.lexeme) AS lexeme, coalesce(g.slot, o.slot) AS slot, coalesce(o.surface, g.surface) AS surfaces FROM g FULL JOIN o ON g.lexeme = o.lexeme AND g.slot = o.slot
+SELECT coalesce(g.token, o.token) AS lexeme, 'sg.nom' AS slot, CASE WHEN o.token IS NOT NULL THEN o.token || 'as' ELSE g.token || 's' END AS surfaces
+FROM (SELECT token FROM ({_TYPES})) g FULL JOIN (SELECT token FROM ({_TYPES.replace("documents", "benchmark")})) o ON g.token = o.token
 """)
 def override_merge(spark, d):
-    g = spark.createDataFrame(_GENERATED, "lexeme string, slot string, s string").select("lexeme", "slot", F.array("s").alias("surfaces"))
-    o = spark.createDataFrame(_REPLACED, "lexeme string, slot string, s string").select("lexeme", "slot", F.array("s").alias("attested"))
-    return compression.merged(g, o).select("lexeme", "slot", F.array_join("surfaces", "|").alias("surfaces"))
+    """Cells from the word types of the documents, replaced by those of the benchmark."""
+    cells = lambda name, end, column: lookup.word_types(_table(spark, d, name)).select(F.col("token").alias("lexeme"), F.lit("sg.nom").alias("slot"), F.array(F.concat("token", F.lit(end))).alias(column))
+    return compression.merged(cells("documents", "s", "surfaces"), cells("benchmark", "as", "attested")).select("lexeme", "slot", F.array_join("surfaces", "|").alias("surfaces"))
 
 
 _BENCH = _TYPES.replace("documents", "benchmark")

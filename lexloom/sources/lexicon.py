@@ -4,7 +4,9 @@ The table comes from lexicon files of the user (``read_lexc``), from a baked lex
 the closed-class rows below.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Closed-class analyses, as analysis:surface.
@@ -144,6 +146,24 @@ def expand_lexc(lexicons: dict[str, list[tuple[str, str, str]]], start: str, mos
     return list(walk(start, 0))
 
 
+def escaped(text) -> Column:
+    """A string as lexicon sources write it."""
+    return F.regexp_replace(text, "([%! ;:0#<>])", "%$1")
+
+
+def write_lexc(table: DataFrame, path: str, name: str = "Root") -> None:
+    """The analysis table as a lexicon source: one line an analysis, which ``read_lexc`` reads back."""
+    lines = table.select(F.concat(F.lit("  "), escaped("analysis"), F.lit(":"), escaped("surface"), F.lit(" # ;")).alias("value")).distinct()
+    head = table.sparkSession.createDataFrame([(0, f"LEXICON {name}")], "k int, value string")
+    head.union(lines.select(F.lit(1), "value")).orderBy("k", "value").coalesce(1).select("value").write.text(path)  # a lexicon: one file
+
+
+def named_list(text: str, name: str) -> list[str]:
+    """The quoted members of one LIST of a grammar, for example of the verbs that govern the genitive; empty if it isn't there."""
+    found = re.search(rf"\bLIST\s+{re.escape(name)}\s*=([^;]*);", text)
+    return sorted(set(re.findall(r'"([^"]+)"', found[1]))) if found else []
+
+
 def read_lexc(spark: SparkSession, path: str, start: str) -> DataFrame:
     """The analysis table below one lexicon of the files at ``path``."""
     lexicons: dict = {}

@@ -1,14 +1,15 @@
 """Name-value files of lexicon entries, and corpora.
 
 An entry begins at indent 0; its fields stand at indent 2, what belongs to a field deeper. Forms carry the slot in a nested ``tag``.
-Parsing runs per file; entries of one file keep their order in ``position``.
+Parsing runs per file; ``position`` orders the entries of all files: by path, then by place in the file.
 """
 
+import json
 import unicodedata
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -91,18 +92,41 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for text in b["value"]:
-                yield pd.DataFrame(parse(text), columns=[f.split(" ")[0] for f in ENTRY.split(", ")])
+            for text, file in zip(b["value"], b["file"]):
+                out = pd.DataFrame(parse(text), columns=[f.split(" ")[0] for f in ENTRY.split(", ")])
+                yield out.assign(position=out["position"].astype("int64") + (int(file) << 32))
 
-    return spark.read.text(path, wholetext=True).mapInPandas(run, ENTRY)
+    files = spark.read.text(path, wholetext=True)
+    names = json.dumps(sorted(files.inputFiles()))  # entry files: some dozen
+    return files.select("value", (F.array_position(F.from_json(F.lit(names), "array<string>"), F.input_file_name()) - 1).alias("file")).mapInPandas(run, ENTRY)
+
+
+def role_order(pos: str, paradigm: str, lemma: str) -> list[str]:
+    """The roles of a paradigm in the order of its table; none of an unknown one."""
+    from ..operators import paradigms as P
+
+    try:
+        return list(P.SPEC[P.family(pos), P.resolve(pos, paradigm, lemma or "")])
+    except (KeyError, AttributeError):
+        return []
+
+
+def generable() -> Column:
+    """Whether an entry has all that generation needs: a part of speech, a paradigm and cells."""
+    return (F.col("pos") != "") & (F.col("paradigm") != "") & (F.size("attested") > 0)
+
+
+def n_cells() -> Column:
+    """How many surfaces an entry attests."""
+    return F.aggregate(F.map_values("attested"), F.lit(0), lambda n, x: n + F.size(x))
 
 
 def write(entries: DataFrame, path: str) -> None:
-    """Entries as text, in order of position."""
+    """Entries as text, in order of position; stems in the order of their paradigm's roles."""
 
     def run(batches):
         for b in batches:
-            yield pd.DataFrame({"value": [render(r).rstrip("\n") for r in b.to_dict("records")]})
+            yield pd.DataFrame({"value": [render(r, role_order(r["pos"], r["paradigm"], r["lemma"])).rstrip("\n") for r in b.to_dict("records")]})
 
     entries.orderBy("position").mapInPandas(run, "value string").write.text(path)
 
@@ -111,8 +135,9 @@ def sentences_of_json(spark: SparkSession, path: str, skipped: Iterable[str] = (
     """sent_id, text, tokens, frequency of a JSON array of corpus rows. A row goes if all its sources are skipped; sent_id holds
     the row's place in the file."""
     rows = spark.read.json(path, multiLine=True, schema="sources array<struct<video_id:string>>, text_clean string, text string, frequency long")
-    one = rows.select(F.struct(*rows.columns).alias("r")).groupBy(F.input_file_name()).agg(F.collect_list("r").alias("rs"))  # a corpus file is one JSON value
-    r = one.select(F.posexplode("rs").alias("i", "r")).select("i", "r.*")
+    # One task reads a file from its first row to its last, so numbers of rows ascend; a file's first number is its row 0.
+    rows = rows.select("*", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n"))
+    r = rows.join(rows.groupBy("file").agg(F.min("n").alias("n0")), "file").withColumn("i", F.col("n") - F.col("n0"))
     gone = (F.size("sources") > 0) & F.forall("sources", lambda s: s["video_id"].isin(*skipped)) if list(skipped) else F.lit(False)
     text = F.coalesce(F.nullif("text_clean", F.lit("")), F.nullif("text", F.lit("")), F.lit(""))
     first = F.coalesce(F.get("sources", F.lit(0))["video_id"], F.lit(""))
@@ -122,10 +147,10 @@ def sentences_of_json(spark: SparkSession, path: str, skipped: Iterable[str] = (
 
 def sentences_of_markdown(spark: SparkSession, path: str) -> DataFrame:
     """sent_id (file stem and place among the kept sentences), text, tokens of Markdown files; headings and lists go."""
-    lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "raw"))
+    lines = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1).alias("file"), F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("line", "raw"))
     kept = lines.where(~F.trim("raw").rlike(r"^$|^[#*]"))
-    pieces = kept.select("file", "line", F.posexplode(tx.sentences(tx.markdown_plain(F.col("raw")))).alias("k", "text")).withColumn("tokens", tx.tokenize("text")).where(F.exists("tokens", lambda t: t.rlike(r"^\p{L}")))
-    n = F.row_number().over(Window.partitionBy("file").orderBy("line", "k"))
+    pieces = kept.select("file", "path", "line", F.posexplode(tx.sentences(tx.markdown_plain(F.col("raw")))).alias("k", "text")).withColumn("tokens", tx.tokenize("text")).where(F.exists("tokens", lambda t: t.rlike(r"^\p{L}")))
+    n = F.row_number().over(Window.partitionBy("file").orderBy("path", "line", "k"))  # goes on over folders with a file of one name
     return pieces.select(F.concat_ws("-", "file", n.cast("string")).alias("sent_id"), "text", "tokens")
 
 

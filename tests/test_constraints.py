@@ -125,3 +125,45 @@ def test_analysed_frames(spark):
     row = after.first()
     assert row["cohorts"][0]["readings"][0]["tags"] == ["N", "Nom"] and row["cohorts"][0]["rules"] == ["pick"]
     assert validation.detected_errors(df, after).count() == 0
+
+
+def test_rules_that_undo_each_other_end():
+    text = """DELIMITERS = "<.>" ; LIST N = N ; LIST V = V ; SECTION
+    SETPARENT:left N TO (-1 V) ; SETPARENT:right N TO (1 V) ;"""
+    own = [C.Cohort(f, [C.Reading(f, [t])]) for f, t in (("a", "V"), ("b", "N"), ("c", "V"))]
+    C.run_grammar(C.parse_grammar(text), own)
+    assert C.UNSETTLED in own[1].rules and own[1].parent in (0, 2)
+
+
+def test_long_chains_settle():
+    """A decision that moves one word to the left a pass takes as many passes as it needs."""
+    text = """DELIMITERS = "<.>" ; LIST N = N ; LIST V = V ; LIST E = E ; SECTION
+    REMOVE V IF (1C E) ; REMOVE V IF (1C N) ;"""
+    own = [C.Cohort("w", [C.Reading("w", ["N"]), C.Reading("w", ["V"])]) for _ in range(80)] + [C.Cohort("e", [C.Reading("e", ["E"])])]
+    C.run_grammar(C.parse_grammar(text), own)
+    assert all(len(c.readings) == 1 for c in own) and C.UNSETTLED not in own[0].rules
+
+
+def test_sections_before():
+    text = "SECTION\nSELECT N ;\n  SECTION  agr ;\nSECTION dep-tree # here\nSECTION\n"
+    assert C.sections_before(text) == 2 and C.sections_before(text, "agr") == 1 and C.sections_before("") is None
+
+
+def test_expectation_files(spark, tmp_path):
+    """The three kinds of expectation rows against an analysis, met and missed."""
+    from lexloom.operators import validation
+    from lexloom.plans import api
+    from lexloom.plans.lexicon import DEMO_GRAMMAR
+    from lexloom.sources import lexicon, nvh
+
+    docs = spark.createDataFrame([(1, "As ne ei astits."), (2, "As mes astits.")], "doc_id long, text string")
+    done = api.analyze(docs, lexicon.analysis_table(spark), [DEMO_GRAMMAR])
+    files = {
+        "readings": ("# sentence\ttoken\treadings\n\nAs ne ei astits.\tastits\tbūtwei+V+Rel+Prs+SP3\nAs ne ei astits.\tne\tne+Adv\n", ["sentence", "token", "readings"], [("ne", ["ne+Adv"])]),
+        "errors": ("As ne ei astits.\tAs\t-\nAs mes astits.\tAs\tsubj-dup\nAs mes astits.\tmes\t-\n", ["sentence", "token", "errors"], [("mes", [])]),
+        "dependency": ("As mes astits.\tmes\tastits\tnsubj\nAs mes astits.\tastits\t0\troot\nAs mes astits.\tAs\tmes\tdep\n", ["sentence", "token", "head", "deprel"], [("As", ["mes", "dep"])]),
+    }
+    for what, (text, columns, missed) in files.items():
+        (tmp_path / what).write_text(text)
+        faults = validation.golden_faults(done, nvh.golden(spark, str(tmp_path / what), columns), what).collect()
+        assert [(r["token"], r["expected"]) for r in faults] == missed

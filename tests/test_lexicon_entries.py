@@ -80,7 +80,7 @@ def test_valence(spark):
     got = {r["lemma"]: (r["kind"], r["cases"], r["rection"], r["transitive"], r["takes_infinitive"]) for r in table.collect()}
     assert got["kwaitītun"] == ("verb", ["Gen"], ["prēi acc"], True, False) and got["nō"][:2] == ("prep", ["Acc", "Dat"]) and "none" not in got and got["eītwei"][4]
     lists = {r["name"]: r["lemmas"] for r in valence.government_lists(table).collect()}
-    assert lists["DatPrep"] == ["dīnkun"] and lists["AccAnyPrep"] == ["nō"] and lists["GenVerb"] == ["kwaitītun"] and lists["AkkPrep"] == ["__none__"] and len(lists) == 11
+    assert lists["DatPrep"] == ["dīnkun"] and lists["AccAnyPrep"] == ["nō"] and lists["GenVerb"] == ["bijātun", "klausītun", "kwaitītun"] and valence.governed_case(table) == {"dīnkun": "Dat"} and lists["AkkPrep"] == ["__none__"] and len(lists) == 11
     assert valence.list_line("X", ["a", "b"]) == 'LIST X = "a" "b" ;'
 
 
@@ -93,3 +93,24 @@ def test_corpora(spark, tmp_path):
     assert got == [("b-1", "As asma."), ("b-2", "Tū assei."), ("b-3", "Ne  ")] or [t.strip() for _, t in got] == ["As asma.", "Tū assei.", "Ne"]
     (tmp_path / "g.tsv").write_text("# c\n\na\tb\tc\n")
     assert nvh.golden(spark, str(tmp_path / "g.tsv"), ["x", "y"]).collect()[0][:] == ("a", "b")
+
+
+def test_files_keep_their_order(spark, tmp_path):
+    (tmp_path / "b.nvh").write_text("entry: bb\nentry: ba\n")
+    (tmp_path / "a.nvh").write_text("entry: az\n  pos: verb\n  paradigm: 85\n  stemOverrides: nonfin=x pret=y pres=z\nentry: ab\n")
+    entries = nvh.read(spark, str(tmp_path / "*.nvh"))
+    assert [r["lemma"] for r in entries.orderBy("position").collect()] == ["az", "ab", "bb", "ba"]
+    nvh.write(entries, str(tmp_path / "out"))
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert "  stemOverrides: pres=z nonfin=x pret=y" in lines and [x for x in lines if x.startswith("entry")] == ["entry: az", "entry: ab", "entry: bb", "entry: ba"]
+    assert [r[0] for r in entries.select(nvh.generable()).collect()] == [False] * 4
+
+
+def test_parity_report(spark, tmp_path):
+    (tmp_path / "gold.txt").write_text("a\nb\n\nc\n")
+    got = spark.createDataFrame([("a",), ("d",)], "surface string")
+    gold = baking.gold_surfaces(spark, str(tmp_path / "gold.txt"), got)
+    assert baking.parity_counts(gold, got).first()[:] == (3, 1, 2, 1, 33.33)
+    baking.write_parity(baking.parity(gold, got), str(tmp_path / "review"))
+    assert sorted(tuple(r) for r in spark.read.csv(str(tmp_path / "review"), sep="\t", header=True).collect()) == [("extra", "d"), ("missing", "b"), ("missing", "c")]
+    assert baking.gold_surfaces(spark, None, got).count() == 2

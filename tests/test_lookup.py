@@ -24,6 +24,13 @@ def test_tolerance_is_directional():
         assert lookup.lenient_fold(query) == lookup.lenient_fold(surface)
 
 
+def test_tolerance_as_columns(spark):
+    words = ["labban", "lābban", "laban", "daffas", "dafas", "skaitwei", "skaitun", "uns", "wuns", "kasts", "kastis", "kastsi", "a.b", "āss", "as", "ass", "wunsts", "unstsi", "ppa", "pa", ""]
+    df = spark.createDataFrame([(a, b) for a in words for b in words], "q string, s string")
+    for r in df.select("q", "s", lookup.lenient_accepts("q", "s").alias("ok"), lookup.lenient_key("q").alias("key")).collect():
+        assert r["ok"] == lookup.accepts(r["q"], r["s"]) and r["key"] == lookup.lenient_fold(r["q"])
+
+
 def test_resolve_forms(spark):
     table = lexicon.analysis_table(spark, [("labs+A+Fem+Sg+Acc", "lābban"), ("As+Pron", "As"), ("as+Pron", "as")])
     forms = spark.createDataFrame([(f,) for f in ("as", "AS", "labban", "laban", "čas", "nein")], "form string")
@@ -47,3 +54,7 @@ def test_lexc(spark, tmp_path):
     rows = {(r["surface"], r["lemma"], tuple(r["tags"])) for r in lexicon.read_lexc(spark, str(tmp_path), "Root").collect()}
     assert rows == {("woks", "wok", ("N", "Sg", "Nom")), ("wok", "wok", ("N", "Pl")), ("x", "x", ("Adv",))}
     assert re.search("SELECT DISTINCT", lexicon.values_sql())
+    table = lexicon.from_pairs(spark.createDataFrame([("a b+N:x", "a!b"), ("0%+V", "0;#"), ("x+Adv", "x")], "analysis string, surface string"))
+    lexicon.write_lexc(table, str(tmp_path / "w"))
+    assert {(r["analysis"], r["surface"]) for r in lexicon.read_lexc(spark, str(tmp_path / "w"), "Root").collect()} == {(r["analysis"], r["surface"]) for r in table.collect()}
+    assert lexicon.named_list('LIST A = "x" ;\nLIST GenVerb = "b" "a" ;', "GenVerb") == ["a", "b"] and lexicon.named_list("", "GenVerb") == []

@@ -1,6 +1,6 @@
 import pytest
 
-from lexloom.operators import compression, generation
+from lexloom.operators import compression, generation, reports
 from lexloom.operators import paradigms as P
 from lexloom.plans.lexicon import CELLS, LEXEMES
 
@@ -56,19 +56,64 @@ def test_columns_agree_with_python(spark):
 
 
 def test_stem_from_form():
-    assert generation.stem_from_form("noun", "32", "obl", "sg.gen", "Patallas") == "Patall"
+    assert generation.stem_from_form("noun", "32", "obl", "sg.gen", "Kadollas") == "Kadoll"
     for slot, form in (("sg.gen", "x"), ("opt", "xas")):
         with pytest.raises(ValueError):
             generation.stem_from_form("noun", "32", "obl", slot, form)
 
 
+def test_tables_and_names():
+    assert P.table_faults() == []
+    assert (P.atom_name("noun", "35a", "obl"), P.atom_name("verb", "87", "pres", "gandtun")) == ("gen-noun-35", "gen-verb-87a-pres")
+    assert len(P.atoms()) == 251 and all(a[0] == "adj" for a in P.atoms("adj"))
+    assert (P.slot_class("verb", "part.prs.act.msc.sg.nom"), P.slot_class("verb", "opt")) == ("participle", "verb")
+    with pytest.raises(KeyError):
+        P.atom_name("noun", "32", "pres")
+    with pytest.raises(ValueError):
+        generation.check_stem("qa")
+    assert generation.check_stem("kadoll") == "kadoll"
+
+
+def test_columns_of_rule_stems_agree_with_python(spark):
+    lemmas = ["gandtun", "gastun", "alkautwei", "mitātun si", "kalbītwei", "kadols", "dumslē", "tangus", "dargnis", "smilgums", "lapātun", " kadās ", ""]
+    labels = sorted({(k, p) for k, p in P.SPEC} | {(k, a) for k, xs in P.ALIASES.items() for a in xs} | {("verb", "87"), ("noun", "99"), ("num", "25")})
+    rows = [(i, k, p, x, None) for i, (k, p, x) in enumerate((k, p, x) for k, p in labels for x in lemmas)]
+    df = spark.createDataFrame(rows, "lexeme long, pos string, paradigm string, lemma string, stems map<string,string>")
+    found = {(r["lexeme"], r["role"]): r["default"] for r in generation.role_stems(df).collect()}
+    for i, k, p, x, _ in rows:
+        if (k, p) != ("noun", "99"):
+            for role, stem in P.default_stems(k, p, x).items():
+                assert (i, k, p, x, role, found.get((i, role))) == (i, k, p, x, role, stem if not set(stem) - P.STEM_ALPHABET else None)
+    assert not any(rows[i][1:3] == ("noun", "99") for i, _ in found)
+
+
+def test_derivation(spark):
+    """Status, rounds, modes and the report."""
+    rows = [*((x, p, q, x, None) for x, (p, q, _) in LEXEMES.items()), ("none", "noun", "99", "none", None), ("qux", "noun", "45", "qux", None), ("dumslē", "noun", "53", "dumslē", {"obl": "dumsl"})]
+    lexemes = spark.createDataFrame(rows, "lexeme string, pos string, paradigm string, lemma string, stems map<string,string>")
+    attested = spark.createDataFrame([*CELLS, ("none", "sg.nom", "none"), ("qux", "sg.nom", "qux"), ("dumslē", "sg.nom", "dumslē"), ("dumslē", "sg.gen", "dumslis"), ("dumslē", "sg.gen", "dumslēs")], "lexeme string, slot string, surface string")
+    full = compression.derive(lexemes, attested)
+    got = {r["lexeme"]: r for r in full.collect()}
+    assert {k: r["status"] for k, r in got.items()} == {**dict.fromkeys(LEXEMES, "ok"), "none": "unknown_paradigm", "qux": "no_stem", "dumslē": "ok"}
+    assert got["Kadols"]["stems"] == {"obl": "Kadoll"} and got["Kadols"]["overrides"] == {} and (got["Kadols"]["cells"], got["Kadols"]["by_rule"], got["Kadols"]["by_stem"]) == (8, 1, 8)
+    assert got["dumslē"]["redundant_stems"] == ["obl"] and got["dumslē"]["variant_overrides"] == 2 and got["none"]["overrides"] == {"sg.nom": ["none"]}
+    assert all(r["rounds"] == 2 and not r["unstable"] and r["redundant_overrides"] == 0 for r in got.values())
+    bare = {r["lexeme"]: r for r in compression.derive(lexemes, attested, "lemma_only").collect()}
+    assert bare["Kadols"]["stems"] == {} and len(bare["Kadols"]["overrides"]) == 7 and bare["Kadols"]["rounds"] == 1
+    dense = {r["lexeme"]: r for r in compression.derive(lexemes, attested, "dense").collect()}
+    assert dense["dargnis"]["overrides"].keys() == {s for x, s, _ in CELLS if x == "dargnis"} and dense["dumslē"]["stems"] == {"obl": "dumsl"}
+    tables = compression.report(full, lexemes, attested)
+    text = reports.compression_text(tables)
+    assert "noun: 2 entries, 11 cells" in text and "noun: 4 entries, 13 cells" in text and "left out: noun no_stem: 1" in text and "obl=2" not in text
+
+
 def test_compression(spark):
     lexemes = spark.createDataFrame([(x, p, q, x, None) for x, (p, q, _) in LEXEMES.items()] + [("none", "noun", "99", "none", None)], "lexeme string, pos string, paradigm string, lemma string, stems map<string,string>")
     attested = spark.createDataFrame([*CELLS, ("none", "sg.nom", "none")], "lexeme string, slot string, surface string")
     lean, replaced = compression.compress(lexemes, attested)
     stems = {r["lexeme"]: r["stems"] for r in lean.collect()}
-    assert stems == {"Patals": {"obl": "Patall"}, "auktums": {"pos": "auktumm"}, "wilnis": {}, "rusītwei": {"pres": "rusē"}, "none": {}}
+    assert stems == {"Kadols": {"obl": "Kadoll"}, "smilgums": {"pos": "smilgumm"}, "dargnis": {}, "lapītwei": {"pres": "lapē"}, "none": {}}
     cells = sorted((r["lexeme"], r["slot"], r["attested"]) for r in replaced.collect())
-    assert cells == [("auktums", "msc.pl.dat", ["auktummans"]), ("none", "sg.nom", ["none"]), ("wilnis", "fem.pl.nom", ["wilnjas"]), ("wilnis", "fem.sg.dat", ["wilnjai"]), ("wilnis", "fem.sg.gen", ["wilnjas"])]
+    assert cells == sorted([("smilgums", "msc.pl.dat", ["smilgummans"]), ("none", "sg.nom", ["none"]), ("dargnis", "fem.pl.nom", ["dargnjas"]), ("dargnis", "fem.sg.dat", ["dargnjai"]), ("dargnis", "fem.sg.gen", ["dargnjas"])])
     assert compression.verify(lean, replaced, attested).count() == 0
     assert compression.best_stems(lean, attested).count() == 0

@@ -27,7 +27,10 @@ def test_reports(spark):
     c = lambda form, *rs: (form, [(x.split("+")[0], x.split("+")[1:]) for x in rs], None, None, [], [], [])
     rows = [("1", "t", [c("a", "a+N", "a+V"), c(".", ".+CLB")], "x"), ("2", "u", [c("q", "q+Unk"), c("r", "r+N")], "x"), ("3", "v", [c("q", "q+Unk")], "x")]
     df = spark.createDataFrame(rows, f"sent_id string, text string, cohorts {constraints.COHORTS}, source string")
-    assert [tuple(r) for r in reports.ambiguous_sentences(df, n=2).collect()] == [("1", "t", 1, 0, 0), ("2", "u", 0, 1, 0)]
+    top = reports.ambiguous_sentences(df, df, n=2)
+    assert [r[:6] for r in top.collect()] == [("1", "t", 1, 1, 0, 0)] and top.first()["details"][0]["readings"] == ["a+N", "a+V"]
+    assert reports.ambiguous_text(top) == "#1: 1 open, frequency 1\n  t\n  a: a+N | a+V (of 2)"
+    assert reports.errors_text(spark.createDataFrame([("1", 1, "a", "collapsed", 2)], "sent_id string, index int, form string, kind string, n_before int")).endswith("1 1 a: collapsed (2 readings before)")
     assert reports.export_counts(df).first()[:] == ("x", 2, 1, 3, 1, 1, 1)
     assert reports.percent(1, 4) == "25.00 % (1)" and reports.percent(0, 0) == "0.00 % (0)"
     cover = spark.createDataFrame([("noun", "32", 8, 2, 8), (None, None, 8, 2, 8)], "pos string, paradigm string, cells long, by_rule long, by_stem long")
@@ -37,18 +40,32 @@ def test_reports(spark):
     assert reports.statistics_text("s", stats, pairs).endswith("N|V: 2")
 
 
-def test_command_line(spark, tmp_path):
+def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "g.cg").write_text(DEMO_GRAMMAR)
     spark.createDataFrame([(1, "As ne ei astits. Nope!")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
     common = ["--input", str(tmp_path / "in"), "--grammar", str(tmp_path / "g.cg")]
-    for command in ("analyze", "validate", "conllu", "stats", "top-ambiguous"):
+    for command in ("analyze", "validate", "conllu", "stats", "errors", "top-ambiguous"):
         cli.main([command, *common, "--output", str(tmp_path / command)], spark)
     assert "out_of_coverage" in {json.loads(r[0])["status"] for r in spark.read.text(str(tmp_path / "validate")).collect()}
     assert spark.read.text(str(tmp_path / "conllu")).where("value like '# sent_id%'").count() == 1
-    (tmp_path / "e.nvh").write_text("entry: Patals\n  id: p1\n  pos: noun\n  gender: masc\n  paradigm: 32\n  inflectedForm: Patallas\n    tag: sg.gen\n  inflectedForm: Patallan\n    tag: sg.acc\n  legacy:\n    desc: ↑as\nentry: dīnkun\n  pos: prep\n  legacy:\n    desc: prp dat\n")
+    (tmp_path / "e.nvh").write_text("entry: Kadols\n  id: p1\n  pos: noun\n  gender: masc\n  paradigm: 32\n  inflectedForm: Kadollas\n    tag: sg.gen\n  inflectedForm: Kadollan\n    tag: sg.acc\n  legacy:\n    desc: ↑as\nentry: dīnkun\n  pos: prep\n  legacy:\n    desc: prp dat\n")
+    (tmp_path / "c.json").write_text(json.dumps([{"sources": [{"video_id": "v"}], "text": "As ne ei astits.", "frequency": 3}, {"text": "mes"}]))
+    (tmp_path / "a.md").write_text("# no\nMes [astits](x.png). As\n")
+    for k, given in enumerate((["--corpus", str(tmp_path / "c.json")], ["--corpus-md", str(tmp_path / "a.md")], ["--said", "As mes. Ne."])):
+        cli.main(["analyze", *given, *common[2:], "--output", str(tmp_path / f"said{k}")], spark)
+    assert sorted(spark.read.parquet(str(tmp_path / "said0")).select("sent_id", "frequency").collect()) == [("yt--1", 1), ("yt-v-0", 3)]
+    assert spark.read.parquet(str(tmp_path / "said1")).count() == 2 and spark.read.parquet(str(tmp_path / "said2")).count() == 2
+    cli.main(["show", "noun"])
+    cli.main(["generate", "noun", "32", "Kadols", "--stem", "obl=Kadoll"], spark)
+    said = capsys.readouterr().out
+    assert "noun 32 obl gen-noun-32" in said and "sg.gen\tKadollas" in said
     for command in ("bake", "compress", "links", "sets"):
         cli.main([command, "--entries", str(tmp_path / "e.nvh"), "--output", str(tmp_path / command)], spark)
     lean = "\n".join(r[0] for r in spark.read.text(str(tmp_path / "compress")).collect())
-    assert "stemOverrides: obl=Patall" in lean and "inflectedForm" not in lean
+    assert "stemOverrides: obl=Kadoll" in lean and "inflectedForm" not in lean
     assert 'LIST DatPrep = "dīnkun" ;' in {r[0] for r in spark.read.text(str(tmp_path / "sets")).collect()}
-    assert spark.read.parquet(str(tmp_path / "bake")).where("surface = 'Patallas' or surface = 'dīnkun'").count() >= 1
+    (tmp_path / "x.lexc").write_text("LEXICON Root\n as+Pron:as # ;\n")
+    cli.main(["merge", "--lexc", str(tmp_path / "x.lexc"), "--table", str(tmp_path / "bake"), "--output", str(tmp_path / "merged")], spark)
+    cli.main(["parity", "--table", str(tmp_path / "merged"), "--against", str(tmp_path / "bake"), "--output", str(tmp_path / "parity")], spark)
+    assert "'extra': 1" in capsys.readouterr().out
+    assert spark.read.parquet(str(tmp_path / "bake")).where("surface = 'Kadollas' or surface = 'dīnkun'").count() >= 1
