@@ -7,8 +7,8 @@ p = c * size, with c such that the expected words are the rest; documents whose
 solved for the others. The others rank by random odds u / (1 - u) divided by their odds p / (1 - p). Down that order each document
 that still fits is taken, so a long document doesn't keep the ones after it out, and what stays open is less than any document left.
 
-No source is gathered in one task. c follows from the words by distinct size. The order is cut by a histogram of ranks: whole buckets
-are summed, the bucket that holds the cut is split once more, and only the rows of that small bucket are sorted.
+No source is gathered in one task. c follows from the words by distinct size. The order is cut by a histogram of log ranks: whole
+buckets are summed, and only the rows of the bucket that holds the cut are sorted.
 
 Null texts and texts without words have size 0 and no copies; a null source is a source of its own; rows that repeat a doc_id, and rows
 without one, count each for themselves; other columns are kept out of the result unless asked for; an empty table gives an empty
@@ -17,14 +17,14 @@ result.
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import drop, staged
 
 WEIGHTS = (5, 2, 1)
 SIZE = r"coalesce(regexp_count(text, '[^\\x20\\x09-\\x0D]+'), 0)"
-BUCKETS, MOST_SOURCES = 4096, 50_000
+BUCKETS, MOST_SOURCES = 1 << 16, 50_000
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, cap: float = 3.0) -> DataFrame:
@@ -54,11 +54,16 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     )
 
 
-def _per_source(rows: DataFrame, table: DataFrame, n_sources: int) -> DataFrame:
-    """``rows`` with the columns of a table of one row a source, which is broadcast up to ``MOST_SOURCES`` (some 5 MB)."""
+def _small(table: DataFrame, n_sources: int) -> DataFrame:
+    """A table of at most one row a source, worked out: up to ``MOST_SOURCES`` rows (some 5 MB) by the driver, more in files."""
+    return table.sparkSession.createDataFrame(table.collect(), table.schema) if n_sources <= MOST_SOURCES else staged(table, "sources")
+
+
+def _per_source(rows: DataFrame, table: DataFrame, n_sources: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of a table of one row a source, which is broadcast up to ``MOST_SOURCES``."""
     t = table.withColumnRenamed("source", "its_source")
     t = F.broadcast(t) if n_sources <= MOST_SOURCES else t
-    return rows.join(t, rows["source"].eqNullSafe(t["its_source"])).drop("its_source")
+    return rows.join(t, rows["source"].eqNullSafe(t["its_source"]), how).drop("its_source")
 
 
 def _rates(sized: DataFrame, goal: DataFrame, n_sources: int) -> DataFrame:
@@ -83,8 +88,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     goal = targets(sized, weights, share, cap).withColumn("certain", F.floor(ratio).cast("long")).withColumn("rest", (ratio - F.floor(ratio)) * F.col("source_size"))
     goal = staged(goal, "targets")
     n_sources = goal.count()
-    rates = staged(_rates(sized, goal.select("source", "rest"), n_sources), "rates")
-    goal = staged(goal.join(rates.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), "goals")
+    goal = _small(_per_source(goal, _small(_rates(sized, goal.select("source", "rest"), n_sources), n_sources), n_sources, "left"), n_sources)
     unit = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), F.col("size").cast("string"))), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(16**13))
     p = F.col("rate") * F.col("size")
     may = (F.col("size") > 0) & (F.col("rest") > 0)
@@ -117,52 +121,30 @@ def _down(pool: DataFrame, state: DataFrame, n_sources: int) -> list[DataFrame]:
     while not pool.isEmpty():
         more = staged(_before_cut(pool, n_sources), "more")
         taken.append(more)
-        sums = more.groupBy("source").agg(F.sum("size").alias("words")).withColumnRenamed("source", "s")
-        state = staged(state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").select("source", (F.col("gap") - F.coalesce("words", F.lit(0))).alias("gap")), "state")
+        state = _per_source(state, more.groupBy("source").agg(F.sum("size").alias("words")), n_sources, "left")
+        state = _small(state.select("source", (F.col("gap") - F.coalesce("words", F.lit(0))).alias("gap")), n_sources)
         rest = pool.drop("gap").join(more.select("row"), "row", "left_anti")
         rest = staged(_per_source(rest, state, n_sources).where("size <= gap"), "pool")
         drop(pool.sparkSession, pool)
         pool = rest
+    drop(pool.sparkSession, pool)
     return taken
 
 
-def _bucket(order: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(BUCKETS - 1.0), F.floor((order + 128) * (BUCKETS // 256)).cast("double"))).cast("int")
-
-
-def _finer(order: Column) -> Column:
-    scaled = (order + 128) * (BUCKETS // 256)
-    return F.floor((scaled - F.floor(scaled)) * BUCKETS).cast("int")
-
-
 def _before_cut(pool: DataFrame, n_sources: int) -> DataFrame:
     """row, source, size of the documents in order whose words, summed from the first, stay within the gap."""
-    rows = pool.withColumn("b", _bucket(F.col("order"))).withColumn("f", _finer(F.col("order")))
-
-    def cut(rows: DataFrame, part: str, base: Column) -> DataFrame:
-        """source, the part that holds the cut, and the words before it; without a cut the part after all."""
-        sums = rows.groupBy("source", part).agg(F.sum("size").alias("words"), F.first("gap").alias("gap"), F.first(base).alias("base"))
-        w = Window.partitionBy("source").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-        at = sums.withColumn("before", F.col("base") + F.coalesce(F.sum("words").over(w), F.lit(0)))
-        return at.where(F.col("before") + F.col("words") > F.col("gap")).groupBy("source").agg(F.min(F.struct(part, "before")).alias("x")).select("source", F.col("x")[part].alias(f"cut_{part}"), F.col("x.before").alias(f"before_{part}"))
-
-    first = cut(rows, "b", F.lit(0).cast("long"))
-    some = _left_per_source(rows, first, n_sources)
-    inside = some.where("b = cut_b")
-    second = cut(inside, "f", F.col("before_b"))
-    both = _left_per_source(some, second, n_sources)
-    early = both.where("cut_b is null or b < cut_b or (b = cut_b and (cut_f is null or f < cut_f))").select("row", "source", "size")
-    w = Window.partitionBy("source").orderBy("rank_value", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = both.where("b = cut_b and f = cut_f").withColumn("upto", F.col("before_f") + F.sum("size").over(w)).where("upto <= gap").select("row", "source", "size")
+    b = F.floor((F.greatest(F.lit(-127.0), F.least(F.col("order"), F.lit(127.0))) + 128) * (BUCKETS // 256)).cast("int")
+    rows = pool.withColumn("b", b)
+    sums = rows.groupBy("source", "b").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
+    w = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    over = sums.withColumn("upto", F.sum("words").over(w)).where("upto > gap").groupBy("source").agg(F.min("b").alias("cut"), F.min(F.col("upto") - F.col("words")).alias("before"))  # words before a bucket ascend
+    both = _per_source(rows, _small(over, n_sources), n_sources, "left")
+    early = both.where("cut is null or b < cut").select("row", "source", "size")
+    inside = Window.partitionBy("source").orderBy("rank_value", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = both.where("b = cut").withColumn("upto", F.col("before") + F.sum("size").over(inside)).where("upto <= gap").select("row", "source", "size")
     return early.union(last)
 
 
-def _left_per_source(rows: DataFrame, table: DataFrame, n_sources: int) -> DataFrame:
-    t = table.withColumnRenamed("source", "its_source")
-    t = F.broadcast(t) if n_sources <= MOST_SOURCES else t
-    return rows.join(t, rows["source"].eqNullSafe(t["its_source"]), "left").drop("its_source")
-
-
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
