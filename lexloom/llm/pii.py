@@ -313,6 +313,6 @@ def session_key(spark) -> bytes:
 def op3(spark, sf_dir: str) -> DataFrame:
     """Also n_collisions, over all documents: entities that share a surrogate or have several. It is 0 unless a rule is at fault."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    done = staged(with_surrogates(docs.select("doc_id", "text"), session_key(spark)), "surrogates")
+    done = staged(with_surrogates(docs.select("doc_id", "text"), session_key(spark)).drop("text"), "surrogates")
     n = collisions(done).count()
     return done.select("doc_id", F.size("entities").cast("long").alias("n_entities"), F.array_distinct("entities.kind").alias("kinds"), F.col("surrogate_text").alias("text"), F.lit(n).cast("long").alias("n_collisions"))
