@@ -315,7 +315,8 @@ def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFram
     rest = x.join(y, met[0] & met[1] & met[2] & (F.col("x.component") != F.col("y.component")) & once & may_link("x", "y")).select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
     rest = staged(rest.join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti"), "rest")
     more = linked(rest, firsts, docs, n, percent)
-    final = staged(components(found.union(more)), "final")
+    # The components of the first round stand for its links.
+    final = staged(components(more.union(home.select("n", "component"))), "final")
     drop(spark, grouped, each, stars, placed, open_, rest, found, more)
     named = firsts.select("node", "ha", "hb", "n_shingles", "least").join(final, "node", "left").withColumn("class", F.coalesce("component", "node"))
     names = named.where("component is not null").groupBy("component").agg(F.min("least").alias("name"))
