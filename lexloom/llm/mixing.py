@@ -8,15 +8,14 @@ solved for the others. The others rank by random odds u / (1 - u) divided by the
 that still fits is taken, so a long document doesn't keep the ones after it out, and what stays open is less than any document left.
 
 No source is gathered in one task. c follows from the words by distinct size. The order is cut by a histogram of log ranks: whole
-buckets are summed, and only the rows of the bucket that holds the cut are sorted.
+buckets are summed, and only the rows of the bucket that holds the cut are sorted. What a walk takes is kept as places in the order,
+a few for each source, and one filter at the end says which documents those are.
 
 Null texts and texts without words have size 0 and no copies; a null source is a source of its own; rows that repeat a doc_id, and rows
 without one, count each for themselves; other columns are kept out of the result unless asked for; an empty table gives an empty
 result.
 """
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,52 +96,66 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
         .withColumn("whole", may & ((F.col("size") > F.col("longest")) | F.col("longest").isNull()) & (F.col("size") <= F.col("rest")))
         .withColumn("rank_value", F.when(may & (F.col("size") <= F.col("longest")), (F.col("unit") / (1 - F.col("unit"))) / (p / (1 - p))))
     )
-    ranked = staged(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "source", *keep, "size", "source_size", "target", "certain", "rest", "whole", "rank_value"), "ranked")
     # Documents taken for certain come first, in descending size, then the order of ranks.
     order = F.when(F.col("whole"), -100 - F.log("size") / 16).otherwise(F.log("rank_value"))
-    pool = ranked.where("whole or rank_value is not null").select("row", "source", "size", "doc_id", order.alias("order"), F.coalesce("rank_value", -F.col("size").cast("double")).alias("rank_value"), F.col("rest").alias("gap"))
-    taken = _down(pool, goal.select("source", F.col("rest").alias("gap")), n_sources)
-    drawn = staged(reduce(DataFrame.union, (t.select("row") for t in taken), ranked.where("false").select("row")).select("row", F.lit(1).alias("drawn")), "drawn")
-    drop(spark, *taken, sized)
-    copies = F.when(F.col("size") > 0, F.col("certain") + F.coalesce("drawn", F.lit(0))).otherwise(0).cast("long")
+    bucket = F.floor((F.greatest(F.lit(-127.0), F.least(order, F.lit(127.0))) + 128) * (BUCKETS // 256)).cast("int")
+    place = F.struct(F.coalesce("rank_value", -F.col("size").cast("double")).alias("value"), F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("doc"), "size", "row")
+    in_order = F.col("whole") | F.col("rank_value").isNotNull()
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("bucket", F.when(in_order, bucket)).withColumn("place", F.when(in_order, place))
+    ranked = staged(rows.select("doc_id", "source", *keep, "size", "source_size", "target", "certain", "bucket", "place"), "ranked")
+    drop(spark, sized)
+    turns = _down(ranked.where("place is not null").select("source", "size", "bucket", "place"), goal.select("source", F.col("rest").alias("gap")), n_sources)
+    taken = F.exists("turns", lambda t: (t["after"].isNull() | (F.col("place") > t["after"])) & (t["before"].isNull() | (F.col("place") < t["before"])) & (F.col("size") <= t["gap"]))
+    drawn = F.when(F.col("place").isNotNull() & taken, 1).otherwise(0)
+    copies = F.when(F.col("size") > 0, F.col("certain") + drawn).otherwise(0).cast("long")
     return (
-        ranked.join(drawn, "row", "left").withColumn("copies", copies)
+        _per_source(ranked, turns, n_sources, "left").withColumn("copies", copies)
         .select("doc_id", "source", *keep, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
-def _down(pool: DataFrame, state: DataFrame, n_sources: int) -> list[DataFrame]:
-    """Down the order of ``pool`` (row, source, size, doc_id, order, rank_value, gap): tables of the rows taken.
+def _down(pool: DataFrame, state: DataFrame, n_sources: int) -> DataFrame:
+    """Down the order of ``pool`` (source, size, bucket, place): source, turns.
 
-    Each turn takes all documents before the first that does not fit, and goes on with those after it that do, until none is left.
+    Each turn takes all documents before the first that does not fit, and goes on with those after it that do, until none is left:
+    it takes the places between ``after`` and ``before`` with sizes up to its ``gap``. No row is written or shuffled for that but
+    the sums by bucket and the rows of the bucket that holds the cut.
     """
-    taken: list[DataFrame] = []
-    pool = staged(pool, "pool")
-    while not pool.isEmpty():
-        more = staged(_before_cut(pool, n_sources), "more")
-        taken.append(more)
-        state = _per_source(state, more.groupBy("source").agg(F.sum("size").alias("words")), n_sources, "left")
-        state = _small(state.select("source", (F.col("gap") - F.coalesce("words", F.lit(0))).alias("gap")), n_sources)
-        rest = pool.drop("gap").join(more.select("row"), "row", "left_anti")
-        rest = staged(_per_source(rest, state, n_sources).where("size <= gap"), "pool")
-        drop(pool.sparkSession, pool)
-        pool = rest
-    drop(pool.sparkSession, pool)
-    return taken
-
-
-def _before_cut(pool: DataFrame, n_sources: int) -> DataFrame:
-    """row, source, size of the documents in order whose words, summed from the first, stay within the gap."""
-    b = F.floor((F.greatest(F.lit(-127.0), F.least(F.col("order"), F.lit(127.0))) + 128) * (BUCKETS // 256)).cast("int")
-    rows = pool.withColumn("b", b)
-    sums = rows.groupBy("source", "b").agg(F.sum("size").alias("words"), F.first("gap").alias("gap"))
-    w = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    over = sums.withColumn("upto", F.sum("words").over(w)).where("upto > gap").groupBy("source").agg(F.min("b").alias("cut"), F.min(F.col("upto") - F.col("words")).alias("before"))  # words before a bucket ascend
-    both = _per_source(rows, _small(over, n_sources), n_sources, "left")
-    early = both.where("cut is null or b < cut").select("row", "source", "size")
-    inside = Window.partitionBy("source").orderBy("rank_value", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = both.where("b = cut").withColumn("upto", F.col("before") + F.sum("size").over(inside)).where("upto <= gap").select("row", "source", "size")
-    return early.union(last)
+    place = pool.schema["place"].dataType.simpleString()
+    state = state.select("source", "gap", F.lit(None).cast(place).alias("after"), F.lit(True).alias("open"), F.array().cast(f"array<struct<after:{place},before:{place},gap:double>>").alias("turns"))
+    state, going = _small_state(state, n_sources)
+    while going:
+        found = _cuts(pool, state.where("open").select("source", "gap", "after"), n_sources)
+        both = _per_source(state, found, n_sources, "left")
+        turn = F.struct("after", F.col("before").alias("before"), F.col("gap").cast("double").alias("gap"))
+        left = F.col("gap") - F.coalesce("words", F.lit(0))
+        both = both.select(
+            "source", F.when(F.col("open"), left).otherwise(F.col("gap")).alias("gap"), F.coalesce("before", "after").alias("after"),
+            (F.col("open") & F.col("before").isNotNull() & (left >= 1)).alias("open"), F.when(F.col("open"), F.concat("turns", F.array(turn))).otherwise(F.col("turns")).alias("turns"),
+        )
+        state, going = _small_state(both, n_sources)
+    return state.select("source", "turns")
+
+
+def _small_state(table: DataFrame, n_sources: int) -> tuple[DataFrame, bool]:
+    """A table of one row a source, worked out, and whether one of them is open."""
+    if n_sources > MOST_SOURCES:
+        out = staged(table, "state")
+        return out, not out.where("open").isEmpty()
+    rows = table.collect()
+    return table.sparkSession.createDataFrame(rows, table.schema), any(r["open"] for r in rows)
+
+
+def _cuts(pool: DataFrame, state: DataFrame, n_sources: int) -> DataFrame:
+    """source, before, words: the place of the first document that does not fit, and the words of those before it. Sources in which
+    all fit have no row."""
+    rows = _per_source(pool, state, n_sources).where("size <= gap and (after is null or place > after)")
+    w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("gap").alias("gap")).withColumn("upto", F.sum("words").over(w))
+    over = sums.where("upto > gap").groupBy("source").agg(F.min("bucket").alias("cut"), F.min(F.col("upto") - F.col("words")).alias("earlier"))  # words before a bucket ascend
+    inside = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = _per_source(rows, over, n_sources).where("bucket = cut").withColumn("upto", F.col("earlier") + F.sum("size").over(inside)).where("upto > gap")
+    return last.groupBy("source").agg(F.min(F.struct("place", (F.col("upto") - F.col("size")).alias("words"))).alias("x")).select("source", F.col("x.place").alias("before"), F.col("x.words").alias("words"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
