@@ -70,6 +70,14 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, ours)
 
 
+def arrow_schema(ddl: str):
+    """The Arrow schema of a DDL; made on the driver, and sent with a task's function."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def map_texts(df: DataFrame, kept: list[str], added: str, work, arrow: bool = False) -> DataFrame:
     """``kept`` columns of ``df`` as they are, and the columns of the DDL ``added`` that ``work`` makes of its texts.
 

@@ -1,6 +1,6 @@
 """Queries and oracle SQL of the corpus operators."""
 
-from . import chat, decontaminate, fingerprints, jaccard, mixing, pii, quality, substrings, tokens
+from . import chat, decontaminate, fingerprints, jaccard, mixing, nearest, periods, pii, quality, repair, substrings, tokens
 
 
 def queries() -> dict:
@@ -15,8 +15,11 @@ def queries() -> dict:
         "op8_token_ids": tokens.op8,
         "op9_chat_format": chat.op9,
         "op10_quality": quality.op10,
+        "op11_conversation_repair": repair.op11,
+        "op12_periodic_runs": periods.op12,
+        "op13_nearest": nearest.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_pareto_mix": mixing.ORACLE, "op9_chat_format": chat.ORACLE}
+    return {"op5_pareto_mix": mixing.ORACLE, "op9_chat_format": chat.ORACLE, "op11_conversation_repair": repair.ORACLE}
