@@ -9,7 +9,8 @@ The model is fitted on a bounded sample of about ``SAMPLE`` vectors, chosen by a
 looks into is measured on the sample: so many that ``SHARE`` of the true neighbours of sample queries lie in them.
 
 Search: leaves are cut into blocks of candidates, queries meet the blocks of their leaves as a stream, byte tables of the query's
-inner products add up to approximate scores, the ``RERANK`` best of a block (ties to smaller vec_id) are scored exactly in double
+inner products add up to approximate scores, the ``RERANK`` best of a block, and all within twice the usual error of its k-th best, so
+that vectors too alike for their codes are told apart however many there are, are scored exactly in double
 precision, and its k best go on, of those below the query's k-th best score in the sample only as many as it takes to have k in all.
 So a task holds one block and some queries, however large a leaf or the query set is.
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ._store import drop, small_batches, staged
 
-SAMPLE, THRESHOLD, SHARE, RERANK, QUERIES = 8192, 0.2, 0.985, 128, 64
+SAMPLE, THRESHOLD, SHARE, RERANK, QUERIES = 8192, 0.2, 0.985, 256, 64
 _FOUND = "query_row long, query_id long, vec_id long, score double"
 
 
@@ -115,7 +116,8 @@ def fit(vectors: DataFrame, k: int = 20, seed: int = 7) -> tuple[Model | None, i
     rng = np.random.default_rng(seed)
     if not len(x):  # a small table that the hash passed over
         x = np.array([r["embedding"] for r in usable(vectors, dim).limit(SAMPLE).collect()], np.float64)
-    x = x[np.lexsort(x.T[::-1])]  # whatever order it came in
+    every = x
+    x = np.unique(x, axis=0)  # in an order of its own, and copies don't outweigh the rest
     leaves = int(np.clip(int(n**0.5 / 8), 1, 1024))
     centres = _means(x, leaves, rng)
     own = _closest(x, centres)
@@ -129,7 +131,7 @@ def fit(vectors: DataFrame, k: int = 20, seed: int = 7) -> tuple[Model | None, i
     rank = np.argsort(np.argsort(-(x[ask] @ centres.T), 1), 1)
     needed = np.sort(np.take_along_axis(rank, own[near], 1).ravel())
     probes = int(needed[min(len(needed) - 1, int(SHARE * len(needed)))]) + 1
-    return Model(dim, centres.astype(np.float32), [b.astype(np.float32) for b in books], eta, probes, x.astype(np.float32)), n
+    return Model(dim, centres.astype(np.float32), [b.astype(np.float32) for b in books], eta, probes, every.astype(np.float32)), n
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -168,12 +170,24 @@ def _tables(q: np.ndarray, books: list) -> np.ndarray:
 
 
 class _Block:
-    """Candidates of a block in the order of vec_id."""
+    """Candidates of a block in the order of vec_id. Of equal vectors no result holds more than the first k, but for the query itself,
+    so k + 1 stay and leave the rest of the exact scoring to others."""
 
-    def __init__(self, parts: list, leaf: int, model: Model):
+    def __init__(self, parts: list, leaf: int, model: Model, k: int):
         row, ids, x, codes = (np.concatenate(p) for p in zip(*parts))
         order = np.lexsort((row, ids))
+        _, group = np.unique(x[order], axis=0, return_inverse=True)
+        by = np.argsort(group.ravel(), kind="stable")
+        sizes = np.bincount(group.ravel())
+        nth = np.arange(len(by)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = order[np.sort(by[nth <= k])]
         self.row, self.ids, self.x, self.codes, self.leaf, self.model = row[order], ids[order], x[order], np.ascontiguousarray(codes[order].T), leaf, model
+        # How far an approximate score is off, for a query of length 1: what the codes leave out, seen from a direction of its own.
+        values = np.concatenate([b[self._nibble(m)] for m, b in enumerate(model.books)], 1)
+        self.error = float(np.sqrt((((self.x - model.centres[leaf] - values) ** 2).sum(1)).mean() / model.dim))
+
+    def _nibble(self, m: int) -> np.ndarray:
+        return self.codes[m // 2] >> 4 if m % 2 else self.codes[m // 2] & 15
 
     def best(self, rows: np.ndarray, q: np.ndarray, floors: np.ndarray, least: np.ndarray, k: int):
         """(query, places, scores) of the k best of each query by exact score: those not below its floor, but ``least`` of them."""
@@ -187,9 +201,8 @@ class _Block:
             own, score = rough[i], q[i].astype(np.float64)
             rough[i, self.row == rows[i]] = -np.inf
             if n > RERANK:
-                last = np.partition(own, n - RERANK)[n - RERANK]
-                sure = np.flatnonzero(own > last)
-                picked = np.sort(np.concatenate([sure, np.flatnonzero(own == last)[: RERANK - len(sure)]]))
+                best = np.partition(own, [n - RERANK, n - k])
+                picked = np.flatnonzero(own >= min(best[n - RERANK], best[n - k] - 2 * self.error * np.linalg.norm(score)))
             else:
                 picked = np.arange(n)
             picked = picked[own[picked] > -np.inf]
@@ -257,7 +270,7 @@ def search(indexed: DataFrame, queries: DataFrame, model: Model, n: int, k: int
                     parts.append((row[a:z], ids[a:z], x[a:z], codes))
                     continue
                 if held is None:
-                    held = _Block(parts, own[0], m)
+                    held = _Block(parts, own[0], m, k)
                 for s in range(a, z, QUERIES):
                     e = min(s + QUERIES, z)
                     for i, places, scores in held.best(row[s:e], x[s:e], floors[s:e], least[s:e], k):
