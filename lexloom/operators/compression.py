@@ -35,13 +35,14 @@ def best_stems(lexemes: DataFrame, attested: DataFrame, source: DataFrame | None
         by = forms.groupBy(*keys, "slot").agg(F.array_sort(F.collect_set("surface")).alias("made"))
         return by.join(wanted, ["lexeme", "slot"]).where(F.col("made") == F.col("attested")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
-    before = met(forms_of(role_stems(lexemes)), ["lexeme", "role"]).withColumnRenamed("n", "before")
-    tried = candidates(lexemes, attested if source is None else source)
+    supplied = lexemes.where("stems is not null").select("lexeme", F.explode(F.map_keys("stems")).alias("role"))
+    tried = candidates(lexemes, attested if source is None else source).join(supplied, ["lexeme", "role"], "left_anti")
+    open_roles = tried.select("lexeme", "role").distinct()  # the others keep their stem, so what it gives needn't be known
+    before = met(forms_of(role_stems(lexemes).join(open_roles, ["lexeme", "role"], "left_semi")), ["lexeme", "role"]).withColumnRenamed("n", "before")
     after = met(forms_of(tried), ["lexeme", "role", "stem"])
     gains = tried.select("lexeme", "role", "stem").join(after, ["lexeme", "role", "stem"], "left").join(before, ["lexeme", "role"], "left")
     gains = gains.withColumn("gain", F.coalesce("n", F.lit(0)) - F.coalesce("before", F.lit(0))).where("gain > 0")
-    supplied = lexemes.where("stems is not null").select("lexeme", F.explode(F.map_keys("stems")).alias("role"))
-    best = gains.join(supplied, ["lexeme", "role"], "left_anti").groupBy("lexeme", "role").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "stem")).alias("b"))
+    best = gains.groupBy("lexeme", "role").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "stem")).alias("b"))
     return best.select("lexeme", "role", "b.stem", (-F.col("b.loss")).alias("gain"))
 
 
@@ -73,8 +74,9 @@ def derive(lexemes: DataFrame, attested: DataFrame, mode: str = "full", rounds:
     """The derivation of each lexeme: lexeme, pos, paradigm (as given), status, stems, overrides, cells, by_rule, by_stem,
     redundant_stems, variant_overrides, redundant_overrides, rounds, unstable.
 
-    ``mode``: full derives stems until another round, from the cells that are left over, changes nothing; a round that would not
-    restore all cells, or the last round, leaves the lexeme as it was, as unstable. lemma_only takes no new stems. dense takes the
+    ``mode``: full derives stems of each lexeme until another round, from the cells that are left over, changes nothing; a round that
+    would not restore all cells leaves the lexeme as it was, and one that still changes it in the last round is unstable, too. rounds
+    is the lexeme's own last round. lemma_only takes no new stems. dense takes the
     input for compressed already: its cells stay overrides and its stems stay.
 
     status: ok, unknown_paradigm (all cells are overrides), or no_stem (nothing usable to generate from). by_rule and by_stem count
@@ -89,19 +91,30 @@ def derive(lexemes: DataFrame, attested: DataFrame, mode: str = "full", rounds:
     state = lexemes.select("lexeme", F.lit(1).alias("rounds"), F.lit(False).alias("unstable"))
     if mode == "full":
         lean = settled(with_stems(lexemes, best_stems(lexemes, attested)))
-        open_ = settled(overrides(generate(lean), attested))
+        # Lexemes go on until a round changes nothing; those that the rules give in full, without a stem or an override, end at once.
+        left_over = settled(overrides(generate(lean), attested))
+        active = settled(lean.where(F.size("stems") > 0).select("lexeme").union(left_over.select("lexeme")).distinct())
         for n in range(2, rounds + 1):
-            more = settled(best_stems(lean, attested, open_.select("lexeme", "slot", F.explode("attested").alias("surface"))))
-            changed = more.select("lexeme").distinct()
-            if more.isEmpty():
-                state = state.withColumn("rounds", F.lit(n))
+            if active.isEmpty():
                 break
-            tried = with_stems(lean, more)
-            now = overrides(generate(tried), attested)
-            lossy = verify(tried, now, attested).select("lexeme").distinct().withColumn("lossy", F.lit(True))
-            state = settled(state.join(changed.withColumn("changed", F.lit(True)), "lexeme", "left").join(lossy, "lexeme", "left").select("lexeme", F.when(F.col("changed") & F.col("lossy").isNull(), n).otherwise(F.col("rounds")).alias("rounds"), (F.col("unstable") | F.coalesce("lossy", F.lit(False)) | (F.coalesce("changed", F.lit(False)) & F.lit(n == rounds))).alias("unstable")))
-            lean = settled(with_stems(lean, more.join(lossy, "lexeme", "left_anti")))
-            open_ = settled(overrides(generate(lean), attested))
+            own = lambda df: df.join(active, "lexeme", "left_semi")  # noqa: E731, B023
+            more = settled(best_stems(own(lean), own(attested), own(left_over).select("lexeme", "slot", F.explode("attested").alias("surface"))))
+            changed = more.select("lexeme").distinct()
+            tried = settled(with_stems(lean.join(changed, "lexeme", "left_semi"), more))
+            cells_of = attested.join(changed, "lexeme", "left_semi")
+            now = settled(overrides(generate(tried), cells_of))
+            lossy = verify(tried, now, cells_of).select("lexeme").distinct()
+            kept = settled(tried.join(lossy, "lexeme", "left_anti"))  # changed, and all cells can be restored
+            ids = kept.select("lexeme", F.lit(True).alias("goes_on"))
+            said = active.join(changed.withColumn("changed", F.lit(True)), "lexeme", "left").join(ids, "lexeme", "left")
+            said = said.select("lexeme", F.when(F.col("changed").isNull() | F.col("goes_on"), n).alias("n"), (F.col("changed").isNotNull() & (F.col("goes_on").isNull() | F.lit(n == rounds))).alias("ends_open"))
+            state = settled(state.join(said, "lexeme", "left").select("lexeme", F.coalesce("n", "rounds").alias("rounds"), (F.col("unstable") | F.coalesce("ends_open", F.lit(False))).alias("unstable")))
+            active = settled(kept.select("lexeme"))
+            if not active.isEmpty():
+                lean = settled(lean.join(active, "lexeme", "left_anti").unionByName(kept.select(*lean.columns)))
+                left_over = settled(left_over.join(active, "lexeme", "left_anti").union(now.join(active, "lexeme", "left_semi")))
+        if rounds < 2:
+            state = state.join(active.withColumn("goes_on", F.lit(True)), "lexeme", "left").select("lexeme", "rounds", F.coalesce("goes_on", F.lit(False)).alias("unstable"))
     made = settled(generate(lean))
     rule = generate(lexemes.withColumn("stems", F.lit(None).cast("map<string,string>")))
     left = overrides(made, attested) if left is None else left

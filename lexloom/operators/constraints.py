@@ -1,23 +1,27 @@
 """Ordered context rules over sentences: disambiguation, attachment, relations and error tags.
 
-A grammar is text of the user (Constraint Grammar notation). It is parsed once, sent to the tasks, and applied to one sentence at
-a time inside Arrow batches; running rules shuffles nothing. Constructs: DELIMITERS, LIST, SET (OR, +, -, tag lists, (*)), INCLUDE (given
+A grammar is text of the user (Constraint Grammar notation). It is parsed once and becomes an expression over the cohorts of a
+sentence (``rule_columns``), so running rules shuffles nothing and needs no Python; an interpreter of the same rules, one sentence at
+a time inside Arrow batches, is kept beside it. Constructs: DELIMITERS, LIST, SET (OR, +, -, tag lists, (*)), INCLUDE (given
 texts), BEFORE-SECTIONS, SECTION, SELECT, REMOVE, ADD, MAP, SETPARENT, SETCHILD, ADDRELATION with names, flags and contexts
 (offsets, scans with BARRIER, careful C, NOT, NEGATE, LINK, p c s, alternatives).
 """
 
 import re
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UNSETTLED = "(unsettled)"
+from . import matching, rule_columns
+from .matching import Test
+from .rule_columns import UNSETTLED
+
 COHORTS = "array<struct<form:string,readings:array<struct<lemma:string,tags:array<string>>>,parent:int,agr_parent:int,relations:array<struct<label:string,target:int>>,rules:array<string>,errors:array<string>>>"
 _LEXEMES = re.compile(r'"(?:[^"\\]|\\.)*"[ri]*|[();]|[^\s();]+')
 _POSITION = re.compile(r"(-?\d+|[pcs])(\*{0,2})(C?)$")
+COLUMN_RULES = 60
 _ACTIONS = ("SELECT", "REMOVE", "ADD", "MAP", "SETPARENT", "SETCHILD", "ADDRELATION")
 
 
@@ -38,9 +42,6 @@ class Cohort:
     rules: list = field(default_factory=list)
 
 
-Test = Callable[[Cohort, Reading, int], bool]  # the last is the place in the window
-
-
 @dataclass
 class Context:
     where: str
@@ -62,6 +63,8 @@ class Rule:
     contexts: list
     tags: list = field(default_factory=list)
     to: Context | None = None
+    section: int = 0  # 0: before the sections
+    label: str = ""  # its name, or its action and number
 
 
 @dataclass
@@ -70,14 +73,16 @@ class Grammar:
     before: list
     sections: list
     prefix: str = "@"
+    sets: dict = field(default_factory=dict)
 
 
 class _Parser:
     def __init__(self, text: str, includes: dict[str, str]):
         self.items, self.at, self.includes = self._lex(text), 0, includes
-        self.sets: dict[str, Test] = {"*": lambda c, r, i: True}
+        self.sets: dict[str, Test] = {"*": matching.Anything()}
         self.grammar = Grammar(frozenset(), [], [])
         self.into: list = self.grammar.before
+        self.count = 0
 
     @staticmethod
     def _lex(text: str) -> list[str]:
@@ -97,19 +102,6 @@ class _Parser:
         self.at += 1
         return got
 
-    def tag(self, text: str) -> Test:
-        if m := re.fullmatch(r'"<(.*)>"[ri]*', text):
-            return lambda c, r, i, v=m[1]: c.form == v
-        if m := re.fullmatch(r'"(.*)"([ri]*)', text):
-            if "r" in m[2]:
-                return lambda c, r, i, v=re.compile(m[1]): v.fullmatch(r.lemma) is not None
-            return lambda c, r, i, v=m[1]: r.lemma == v
-        if text == ">>>":
-            return lambda c, r, i: i == 0
-        if text == "*":
-            return lambda c, r, i: True
-        return lambda c, r, i, v=text: v in r.tags
-
     def tags(self) -> list[str]:
         """The tags in parentheses."""
         self.take("(")
@@ -120,8 +112,7 @@ class _Parser:
         return out
 
     def conjunction(self, tags: list[str]) -> Test:
-        tests = [self.tag(t) for t in tags]
-        return tests[0] if len(tests) == 1 else lambda c, r, i: all(t(c, r, i) for t in tests)
+        return matching.both([matching.tag(t) for t in tags])
 
     def operand(self) -> Test:
         if self.peek() == "(":
@@ -135,7 +126,7 @@ class _Parser:
         out = self.operand()
         while self.peek() in ("+", "-"):
             sign, left, right = self.take(), out, self.operand()
-            out = (lambda c, r, i, a=left, b=right: a(c, r, i) and b(c, r, i)) if sign == "+" else (lambda c, r, i, a=left, b=right: a(c, r, i) and not b(c, r, i))
+            out = matching.both([left, right]) if sign == "+" else matching.Without(left, right)
         return out
 
     def set_expression(self) -> Test:
@@ -143,7 +134,7 @@ class _Parser:
         while self.peek() in ("OR", "|"):
             self.take()
             parts.append(self.term())
-        return parts[0] if len(parts) == 1 else lambda c, r, i: any(p(c, r, i) for p in parts)
+        return matching.either(parts)
 
     def chain(self) -> Context:
         flags = set()
@@ -189,6 +180,8 @@ class _Parser:
             else:
                 rule.contexts.append(self.context())
         self.take(";")
+        self.count += 1
+        rule.section, rule.label = len(self.grammar.sections) if self.into is not self.grammar.before else 0, name or f"{action}:{self.count}"
         self.into.append(rule)
 
     def parse(self) -> Grammar:
@@ -208,8 +201,8 @@ class _Parser:
                 name, parts = self.take(), []
                 self.take("=")
                 while self.peek() != ";":
-                    parts.append(self.conjunction(self.tags()) if self.peek() == "(" else self.tag(self.take()))
-                self.sets[name] = lambda c, r, i, p=parts: any(t(c, r, i) for t in p)
+                    parts.append(self.conjunction(self.tags()) if self.peek() == "(" else matching.tag(self.take()))
+                self.sets[name] = matching.either(parts, name)
             elif word == "SET":
                 name = self.take()
                 self.take("=")
@@ -234,6 +227,7 @@ class _Parser:
             else:
                 raise ValueError(f"no statement: {word} after {' '.join(self.items[max(0, self.at - 12) : self.at])}")
             self.take(";")
+        g.sets = self.sets
         return g
 
 
@@ -252,6 +246,7 @@ class _Window:
 
     def __init__(self, cohorts: list[Cohort], prefix: str):
         self.cohorts, self.prefix = cohorts, prefix
+        self.passes, self.removed = 0, []
 
     def state(self) -> int:
         """What rules may change, as one number."""
@@ -330,6 +325,7 @@ class _Window:
             kept = hits if rule.action == "SELECT" else [r for r in c.readings if r not in hits]
             if not kept or len(kept) == len(c.readings):
                 return False
+            self.removed += [(i, rule.section, self.passes, rule.label, r.lemma, list(r.tags)) for r in c.readings if r not in kept]
             c.readings = kept
             return True
         if rule.action in ("ADD", "MAP"):
@@ -355,6 +351,11 @@ class _Window:
         c.relations.append(pair)
         return True
 
+    def once(self, sections: list[list[Rule]]) -> bool:
+        """A pass over sections."""
+        self.passes += 1
+        return any([self.run(s) for s in sections])
+
     def run(self, rules: list[Rule]) -> bool:
         changed = False
         for rule in rules:
@@ -375,11 +376,12 @@ def windows(cohorts: list[Cohort], delimiters: frozenset) -> list[list[Cohort]]:
     return [w for w in out if w]
 
 
-def run_grammar(grammar: Grammar, cohorts: list[Cohort], snapshot: int | None = None) -> None:
+def run_grammar(grammar: Grammar, cohorts: list[Cohort], snapshot: int | None = None) -> list[tuple]:
     """Apply a grammar to a sentence in place: before-sections once, then sections 1, 1 to 2, and so on, each until nothing
     changes. Rules that undo each other would never end: when a state of the window comes back, its cohorts get the rule name
-    ``UNSETTLED`` and the next section is up. After ``snapshot`` sections the parents are kept as agr_parent. Parents and relations are places in the sentence."""
-    start = 0
+    ``UNSETTLED`` and the next section is up. After ``snapshot`` sections the parents are kept as agr_parent. Parents and relations are places in the sentence.
+    Returns the removed readings: place, section, pass, rule, lemma, tags."""
+    start, removed = 0, []
     for cohort_list in windows(cohorts, grammar.delimiters):
         base, start = start, start + len(cohort_list)
         for c in cohort_list:  # places within the window while rules run
@@ -389,7 +391,7 @@ def run_grammar(grammar: Grammar, cohorts: list[Cohort], snapshot: int | None =
         w.run(grammar.before)
         for n in range(1, len(grammar.sections) + 1):
             seen = {w.state()}
-            while any([w.run(s) for s in grammar.sections[:n]]):
+            while w.once(grammar.sections[:n]):
                 if (now := w.state()) in seen:  # rules that undo each other: the state comes back
                     for c in cohort_list:
                         c.rules += [UNSETTLED] if UNSETTLED not in c.rules else []
@@ -401,6 +403,8 @@ def run_grammar(grammar: Grammar, cohorts: list[Cohort], snapshot: int | None =
         for c in cohort_list:
             c.parent = None if c.parent is None else c.parent + base
             c.relations = [(label, t + base) for label, t in c.relations]
+        removed += [(place + base, *event) for place, *event in w.removed]
+    return removed
 
 
 def _is_hidden(tag: str) -> bool:
@@ -416,54 +420,71 @@ def _shown(cohorts: list[Cohort]) -> list[dict]:
     return out
 
 
-def analysed(sentences: DataFrame, grammars: list[str], includes: dict[str, str] | None = None, snapshot: int | None = None) -> DataFrame:
-    """The sentences (with cohorts: form and readings) after the grammars, in order; other columns stay.
+def analysed(sentences: DataFrame, grammars: list[str], includes: dict[str, str] | None = None, snapshot: int | None = None, interpret: bool | None = None) -> DataFrame:
+    """The sentences (with cohorts: form and readings) after the grammars, in order, with ``trace``: the removed readings in the order
+    of removal (pos, grammar, section, pass, rule, lemma, tags). Other columns stay.
 
-    ``grammars`` are their texts; ``snapshot`` counts the first grammar's sections after which agr_parent is taken.
+    ``grammars`` are their texts; ``snapshot`` counts the first grammar's sections after which agr_parent is taken. ``interpret`` runs
+    the rules in Python instead of as columns, with the same results; unless it is given, grammars of more than ``COLUMN_RULES`` rules
+    are, as the planner's time grows with the expression (about a quarter of a second a rule here).
     """
-    for g in grammars:
-        parse_grammar(g, includes)  # errors show here, not in a task
-    kept = [c for c in sentences.columns if c != "cohorts"]
+    parsed = [parse_grammar(g, includes) for g in grammars]
+    if interpret is None:
+        interpret = sum(len(s) for g in parsed for s in [g.before, *g.sections]) > COLUMN_RULES
+    if not interpret:
+        return rule_columns.applied(sentences, parsed, snapshot)
+    kept = [c for c in sentences.columns if c not in ("cohorts", "trace")]
 
     def run(batches):
         parsed = [parse_grammar(g, includes) for g in grammars]
         for b in batches:
-            results = []
+            results, traces = [], []
             for cohorts in b["cohorts"]:
                 own = [Cohort(c["form"], [Reading(r["lemma"], list(r["tags"])) for r in c["readings"]]) for c in cohorts]
+                trace = []
                 for k, g in enumerate(parsed):
                     for c in own:
                         for r in c.readings:
                             r.locked = False
-                    run_grammar(g, own, snapshot if k == 0 else None)
+                    trace += [{"pos": i, "grammar": k, "section": s, "pass": n, "rule": x, "lemma": y, "tags": t} for i, s, n, x, y, t in run_grammar(g, own, snapshot if k == 0 else None)]
                 results.append(_shown(own))
+                traces.append(trace)
             out = b[kept].copy()
-            out["cohorts"] = results
+            out["cohorts"], out["trace"] = results, traces
             yield out
 
     schema = sentences.select(*kept).schema.simpleString()[7:-1]
-    return sentences.select(*kept, "cohorts").mapInPandas(run, (schema + "," if kept else "") + "cohorts:" + COHORTS)
+    return sentences.select(*kept, "cohorts").mapInPandas(run, (schema + "," if kept else "") + f"cohorts:{COHORTS},trace:array<{rule_columns.EVENT}>")
+
+
+def removals(done: DataFrame) -> DataFrame:
+    """The trace as rows: the columns of the sentence but its cohorts, then place, form, grammar, section, pass, rule, and the reading."""
+    own = [c for c in done.columns if c not in ("cohorts", "trace", "text", "tokens")]
+    rows = done.select(*own, "cohorts", F.explode("trace").alias("t"))
+    return rows.select(*own, F.col("t.pos").alias("pos"), F.get("cohorts", F.col("t.pos"))["form"].alias("form"), "t.grammar", "t.section", "t.pass", "t.rule", F.concat_ws("+", "t.lemma", "t.tags").alias("reading"))
 
 
 def cohorts_of(sentences: DataFrame, readings: DataFrame) -> DataFrame:
-    """sent_id, text, cohorts of sentences (sent_id, text, tokens): each token with its readings, CLB, PUNCT or Unk.
+    """The sentences (sent_id, text, tokens, ...) with cohorts in place of tokens: each token with its readings, CLB, PUNCT or Unk.
 
-    readings: token, readings. Only the distinct words of a sentence that have readings are joined, as (sent_id, token); texts and
-    the other tokens stay where they are until the readings come back once a sentence.
+    readings: token, readings. A sentence's readings depend on its words alone, so they are looked up once for each set of words, and
+    come back by a hash of it; neither repeated nor missing keys of sentences matter, and texts stay where they are until then.
     """
     from .statistics import with_final_delimiter
 
-    base = sentences.select("sent_id", "text", with_final_delimiter(F.col("tokens")).alias("tokens"))
-    words = base.select("sent_id", F.explode(F.filter(F.array_distinct("tokens"), lambda t: t.rlike(r"^\p{L}"))).alias("token"))
+    words = F.array_sort(F.array_distinct(F.filter("tokens", lambda t: t.rlike(r"^\p{L}"))))
+    others = [c for c in sentences.columns if c != "tokens"]
+    base = sentences.select(*others, with_final_delimiter(F.col("tokens")).alias("_tokens"), F.sha2(F.array_join(words, " "), 256).alias("_set"))
+    sets = sentences.select(words.alias("words")).where(F.size("words") > 0).distinct().select(F.sha2(F.array_join("words", " "), 256).alias("_set"), F.explode("words").alias("token"))
     known = readings.where(F.size("readings") > 0)
-    own = words.join(known, "token").groupBy("sent_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "readings"))).alias("own"))
+    own = sets.join(known, "token").groupBy("_set").agg(F.map_from_entries(F.collect_set(F.struct("token", "readings"))).alias("_own"))
     one = lambda t, tag: F.array(F.struct(t.alias("lemma"), F.array(F.lit(tag)).alias("tags")))
 
     def cohort(t):
-        found = F.when(t.isin(".", "!", "?"), one(t, "CLB")).when(~t.rlike(r"^\p{L}"), one(t, "PUNCT")).otherwise(F.coalesce(F.col("own")[t], one(t, "Unk")))
+        found = F.when(t.isin(".", "!", "?"), one(t, "CLB")).when(~t.rlike(r"^\p{L}"), one(t, "PUNCT")).otherwise(F.coalesce(F.col("_own")[t], one(t, "Unk")))
         return F.struct(t.alias("form"), found.alias("readings"))
 
-    return base.join(own, "sent_id", "left").select("sent_id", "text", F.transform("tokens", cohort).alias("cohorts"))
+    return base.join(own, "_set", "left").select(*others, F.transform("_tokens", cohort).alias("cohorts"))
 
 
 def to_stream(cohorts: list[dict]) -> str:

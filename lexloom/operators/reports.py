@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .constraints import removals
 from .validation import FOREIGN_MIN, UPOS, is_word
 
 
@@ -10,24 +11,23 @@ def _unknown(c):
     return F.exists(c["readings"], lambda r: F.array_contains(r["tags"], "Unk"))
 
 
-def ambiguous_sentences(sentences: DataFrame, before: DataFrame | None = None, position: str = "sent_id", n: int = 20) -> DataFrame:
+def ambiguous_sentences(sentences: DataFrame, position: str = "sent_id", n: int = 20) -> DataFrame:
     """sent_id, text, frequency, n_ambiguous, n_unknown, n_collapsed, details of the n sentences with most ambiguous and collapsed
-    cohorts; sentences without any are left out. Details are those cohorts: form, readings left, and, where the analysis ``before``
-    the rules is given, the readings that there were. Without a column frequency each sentence counts once."""
+    cohorts; sentences without any are left out. Details are those cohorts: form, readings left, and, where there is a trace, the
+    readings that there were. Without a column frequency each sentence counts once."""
     words = F.filter("cohorts", is_word)
     several = lambda c: (F.size(c["readings"]) > 1) & ~_unknown(c)
     gone = lambda c: F.size(c["readings"]) == 0
     shown = lambda c: F.transform(c["readings"], lambda r: F.array_join(F.concat(F.array(r["lemma"]), r["tags"]), "+"))
     count = lambda cs, test: F.size(F.filter(cs, test))
+    removed = lambda i: F.transform(F.filter("trace", lambda t: t["pos"] == i), lambda t: F.array_join(F.concat(F.array(t["lemma"]), t["tags"]), "+"))
+    was = (lambda c, i: [F.concat(shown(c), removed(i)).alias("before")]) if "trace" in sentences.columns else lambda c, i: []
     listed = F.filter(F.transform("cohorts", lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda x: gone(x["c"]) | several(x["c"]))
     rows = sentences.select(
         *{"sent_id", position}, "text", F.col("frequency") if "frequency" in sentences.columns else F.lit(1).cast("long").alias("frequency"), count(words, several).alias("n_ambiguous"), count(words, _unknown).alias("n_unknown"),
-        count(F.col("cohorts"), gone).alias("n_collapsed"), F.transform(listed, lambda x: F.struct(x["i"].alias("i"), x["c"]["form"].alias("form"), shown(x["c"]).alias("readings"))).alias("details"),
+        count(F.col("cohorts"), gone).alias("n_collapsed"), F.transform(listed, lambda x: F.struct(x["i"].alias("i"), x["c"]["form"].alias("form"), shown(x["c"]).alias("readings"), *was(x["c"], x["i"]))).alias("details"),
     )
     top = rows.where("n_ambiguous + n_collapsed > 0").orderBy((F.col("n_ambiguous") + F.col("n_collapsed")).desc(), position).limit(n)
-    if before is not None:
-        old = before.select("sent_id", F.col("cohorts").alias("old"))
-        top = top.join(old, "sent_id").withColumn("details", F.transform("details", lambda d: F.struct(d["i"].alias("i"), d["form"].alias("form"), d["readings"].alias("readings"), shown(F.get("old", d["i"])).alias("before")))).orderBy((F.col("n_ambiguous") + F.col("n_collapsed")).desc(), position)
     return top.select("sent_id", "text", "frequency", "n_ambiguous", "n_unknown", "n_collapsed", "details")
 
 
@@ -42,6 +42,14 @@ def ambiguous_text(top: DataFrame, n: int = 10) -> str:
     return "\n".join(lines)
 
 
+def trace_text(done: DataFrame, n: int = 50) -> str:
+    """How many readings each rule removed, and the first n removals, as text."""
+    rows = removals(done)
+    lines = [f"{r['rule']}: {r['n']}" for r in rows.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "rule").collect()]  # a row a rule
+    order = ["sent_id", "pos", "grammar", "pass", "section", "rule", "reading"]
+    return "\n".join(lines + [f"  {r['sent_id']} {r['pos'] + 1} {r['form']}: {r['reading']} by {r['rule']} (section {r['section']}, pass {r['pass']})" for r in rows.orderBy(*order).limit(n).collect()])
+
+
 def errors_text(errors: DataFrame, n: int = 50) -> str:
     """The first n rows of ``validation.detected_errors`` as text."""
     total, rows = errors.count(), errors.orderBy("sent_id", "index", "kind").limit(n).collect()
@@ -105,9 +113,11 @@ def coverage_text(rows: DataFrame, title: str = "Coverage") -> str:
 
 
 def statistics_text(label: str, rows: DataFrame, pairs: DataFrame, n: int = 8) -> str:
-    """The rows of ``statistics.ambiguity`` and the most frequent pairs as text."""
+    """The rows of ``statistics.ambiguity`` (or ``ambiguity_of``) and the most frequent pairs of both kinds as text."""
     lines = [f"== {label} =="]
     for r in rows.collect():  # one row a group of the report
         lines.append(", ".join(f"{k} {v}" for k, v in r.asDict().items()))
-    lines += [f"  {r['pair']}: {r['n']}" for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pair").limit(n).collect()]
+    for kind, title in (("pos", "parts of speech"), ("sig", "tags")):
+        found = pairs.where(F.col("kind") == kind).groupBy("pair").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pair").limit(n).collect()
+        lines += [f"  {title}"] * bool(found) + [f"  {r['pair']}: {r['n']}" for r in found]
     return "\n".join(lines)

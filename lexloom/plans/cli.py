@@ -124,8 +124,6 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     grammars = [_text(spark, g) for g in a.grammar]
     snapshot = constraints.sections_before(grammars[0], a.tree_section) if grammars else None
     before = api.cohorts(sentences, table)
-    if a.corpus:  # how often a corpus has each sentence
-        before = before.join(sentences.select("sent_id", "frequency"), "sent_id")
     done = constraints.analysed(before, grammars, includes, snapshot)
     if a.command == "analyze":
         done.write.parquet(a.output)
@@ -133,9 +131,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         cases = valence.governed_case(valence.valence(nvh.read(spark, a.valence).select("lemma", F.lit(False).alias("finite"), "description"))) if a.valence else None
         validation.conllu(done, cases, a.source).where("block is not null").orderBy("sent_id").select(F.concat("block", F.lit("\n")).alias("value")).write.text(a.output)
     elif a.command == "top-ambiguous":
-        reports.ambiguous_sentences(done, before, n=a.limit).write.json(a.output)
+        reports.ambiguous_sentences(done, n=a.limit).write.json(a.output)
     elif a.command == "errors":
-        validation.detected_errors(before, done).write.json(a.output)
+        validation.detected_errors(done).write.json(a.output)
     else:
         verbs = [*a.genitive_verb, *(lexicon.named_list(_text(spark, a.sets), "GenVerb") if a.sets else [])]
         results = validation.validated(done, verbs)

@@ -126,12 +126,21 @@ def ambiguity_stats(spark, d):
     return statistics.ambiguity(statistics.word_counts(_table(spark, d, "documents"), ["lang"]), _readings(spark), ["lang"])
 
 
-@query(f"""
-SELECT lang, pair, sum(n)::BIGINT AS n FROM (SELECT lang, n, array_to_string(list_sort(list_distinct(list_transform(readings, lambda r: r.tags[1]))), '|') AS pair
-  FROM ({_COUNTS}) c JOIN ({_READINGS}) r ON c.token = r.token WHERE len(readings) > 1) GROUP BY ALL
-""")
+_CONFUSED = f"""SELECT c.lang, c.n, list_sort(list_distinct(list_transform(readings, lambda r: r.tags[1]))) AS pos, list_sort(list_distinct(list_transform(readings, lambda r: array_to_string(r.tags[2:], '+')))) AS sigs
+  FROM ({_COUNTS}) c JOIN ({_READINGS}) r ON c.token = r.token WHERE len(readings) > 1"""
+
+
+@query(f"SELECT lang, array_to_string(pos, '|') AS pair, sum(n)::BIGINT AS n FROM ({_CONFUSED}) WHERE len(pos) > 1 GROUP BY ALL")
 def pos_pairs(spark, d):
-    return statistics.pos_pairs(statistics.word_counts(_table(spark, d, "documents"), ["lang"]), _readings(spark), ["lang"])
+    found = statistics.pairs(statistics.word_counts(_table(spark, d, "documents"), ["lang"]), _readings(spark), ["lang"])
+    return found.where("kind = 'pos'").drop("kind")
+
+
+@query(f"SELECT lang, pos[1] || ': ' || array_to_string(sigs, ' | ') AS pair, sum(n)::BIGINT AS n FROM ({_CONFUSED}) WHERE len(pos) = 1 GROUP BY ALL")
+def sig_pairs(spark, d):
+    """Words of one part of speech whose tags differ."""
+    found = statistics.pairs(statistics.word_counts(_table(spark, d, "documents"), ["lang"]), _readings(spark), ["lang"])
+    return found.where("kind = 'sig'").drop("kind")
 
 
 @query(f"""

@@ -12,15 +12,6 @@ from .corpus import _COUNTS, _READINGS, _TOKENS, _TYPES, _WORD, _table
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-#: Attested cells of four made-up lexemes (lexeme, part of speech, paradigm, cells).
-LEXEMES = {
-    "Kadols": ("noun", "32", "sg.nom Kadols sg.gen Kadollas sg.dat Kadollu sg.acc Kadollan pl.nom Kadollai pl.gen Kadollan pl.dat Kadollamans pl.acc Kadollans"),
-    "smilgums": ("adj", "25", "msc.sg.nom smilgums msc.sg.gen smilgummas msc.pl.nom smilgummai msc.pl.dat smilgummans adv smilgumai"),
-    "dargnis": ("adj", "27", "msc.sg.nom dargnis fem.sg.gen dargnjas fem.sg.dat dargnjai fem.pl.nom dargnjas adv dargnjai"),
-    "lapītwei": ("verb", "134", "prs.sg1 lapēi prs.sp3 lapēi prs.pl1 lapēimai prt.sg1 lapēi subj.sg1 lapīlai subj.sp3 lapīlai opt lapīsei imprt.sg2 lapēis"),
-}
-CELLS = [(x, *pair) for x, (_, _, cells) in LEXEMES.items() for pair in zip(cells.split()[::2], cells.split()[1::2])]
-
 #: A small grammar in the notation that users' grammars have.
 DEMO_GRAMMAR = """
 DELIMITERS = "<.>" "<!>" "<?>" ;
@@ -111,7 +102,7 @@ def compression_coverage(spark, d):
 
 @query(f"""
 SELECT t AS lexeme, 'ok' AS status, CASE WHEN k > 1 THEN 'obl=' || u ELSE '' END AS stems, CASE WHEN k = 0 THEN '' WHEN k = 1 THEN 'sg.gen=' || u || 'as' ELSE 'sg.nom=' || t || 's' END AS overrides,
-  (1 + k)::BIGINT AS cells, 1::BIGINT AS by_rule, (CASE WHEN k > 1 THEN k ELSE 1 END)::BIGINT AS by_stem, 2 AS rounds, false AS unstable FROM ({_PLAIN})
+  (1 + k)::BIGINT AS cells, 1::BIGINT AS by_rule, (CASE WHEN k > 1 THEN k ELSE 1 END)::BIGINT AS by_stem, CASE WHEN k = 0 THEN 1 ELSE 2 END AS rounds, false AS unstable FROM ({_PLAIN})
 """)
 def derived_entries(spark, d):
     """The whole derivation of each lexeme."""

@@ -124,7 +124,7 @@ def test_analysed_frames(spark):
     after = C.analysed(df, ['DELIMITERS = "<.>" ;\nSECTION\nSELECT:pick (Nom) ;'])
     row = after.first()
     assert row["cohorts"][0]["readings"][0]["tags"] == ["N", "Nom"] and row["cohorts"][0]["rules"] == ["pick"]
-    assert validation.detected_errors(df, after).count() == 0
+    assert validation.detected_errors(after).count() == 0
 
 
 def test_rules_that_undo_each_other_end():

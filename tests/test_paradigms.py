@@ -2,7 +2,6 @@ import pytest
 
 from lexloom.operators import compression, generation, reports
 from lexloom.operators import paradigms as P
-from lexloom.plans.lexicon import CELLS, LEXEMES
 
 
 def test_roles_are_complete_and_disjoint():
@@ -87,33 +86,59 @@ def test_columns_of_rule_stems_agree_with_python(spark):
     assert not any(rows[i][1:3] == ("noun", "99") for i, _ in found)
 
 
+SHAPE = "lexeme string, pos string, paradigm string, lemma string, stems map<string,string>"
+
+
+def _made(spark, *rows):
+    """What generation gives for lexemes, by slot."""
+    found = generation.generate(spark.createDataFrame(list(rows), SHAPE)).collect()
+    return {(r["lexeme"], r["slot"]): r["surfaces"] for r in found}
+
+
+def _attested(spark):
+    """Cells of four lexemes: one by rule, one by a stem of its own, one with a variant, one with cells that no stem gives."""
+    made = _made(spark, ("ruled", "noun", "45", "toba", None), ("stem", "noun", "39", "sprida", {"obl": "sprind"}), ("variant", "adj", "31", "maitus", None), ("torn", "verb", "139", "stigītwei", None))
+    cells = [(x, slot, f) for (x, slot), forms in made.items() for f in forms if x != "torn"]
+    cells += [("variant", "adv", "maitei")]
+    torn = sorted(slot for x, slot in made if x == "torn" and slot.startswith("prs."))
+    return cells + [("torn", slot, f"stig{k}") for k, slot in enumerate(torn)], torn
+
+
+def _rows():
+    return [("ruled", "noun", "45", "toba", None), ("stem", "noun", "39", "sprida", None), ("variant", "adj", "31", "maitus", None), ("torn", "verb", "139", "stigītwei", None), ("none", "noun", "99", "none", None), ("bare", "noun", "45", "qux", None), ("given", "noun", "41", "glabsa", {"obl": "glabs"})]
+
+
 def test_derivation(spark):
-    """Status, rounds, modes and the report."""
-    rows = [*((x, p, q, x, None) for x, (p, q, _) in LEXEMES.items()), ("none", "noun", "99", "none", None), ("qux", "noun", "45", "qux", None), ("dumslē", "noun", "53", "dumslē", {"obl": "dumsl"})]
-    lexemes = spark.createDataFrame(rows, "lexeme string, pos string, paradigm string, lemma string, stems map<string,string>")
-    attested = spark.createDataFrame([*CELLS, ("none", "sg.nom", "none"), ("qux", "sg.nom", "qux"), ("dumslē", "sg.nom", "dumslē"), ("dumslē", "sg.gen", "dumslis"), ("dumslē", "sg.gen", "dumslēs")], "lexeme string, slot string, surface string")
+    """Status, rounds by lexeme, modes and the report."""
+    cells, torn = _attested(spark)
+    lexemes = spark.createDataFrame(_rows(), SHAPE)
+    attested = spark.createDataFrame([*cells, ("none", "sg.nom", "none"), ("bare", "sg.nom", "qux")], "lexeme string, slot string, surface string")
     full = compression.derive(lexemes, attested)
     got = {r["lexeme"]: r for r in full.collect()}
-    assert {k: r["status"] for k, r in got.items()} == {**dict.fromkeys(LEXEMES, "ok"), "none": "unknown_paradigm", "qux": "no_stem", "dumslē": "ok"}
-    assert got["Kadols"]["stems"] == {"obl": "Kadoll"} and got["Kadols"]["overrides"] == {} and (got["Kadols"]["cells"], got["Kadols"]["by_rule"], got["Kadols"]["by_stem"]) == (8, 1, 8)
-    assert got["dumslē"]["redundant_stems"] == ["obl"] and got["dumslē"]["variant_overrides"] == 2 and got["none"]["overrides"] == {"sg.nom": ["none"]}
-    assert all(r["rounds"] == 2 and not r["unstable"] and r["redundant_overrides"] == 0 for r in got.values())
+    assert {k: r["status"] for k, r in got.items()} == {**dict.fromkeys(("ruled", "stem", "variant", "torn", "given"), "ok"), "none": "unknown_paradigm", "bare": "no_stem"}
+    assert {k: r["rounds"] for k, r in got.items()} == {"ruled": 1, "stem": 2, "variant": 2, "torn": 2, "none": 2, "bare": 2, "given": 2}
+    assert got["ruled"]["stems"] == {} and got["ruled"]["overrides"] == {} and got["ruled"]["by_rule"] == got["ruled"]["cells"] > 0
+    assert got["stem"]["stems"] == {"obl": "sprind"} and got["stem"]["by_rule"] < got["stem"]["by_stem"]
+    assert list(got["variant"]["overrides"]) == ["adv"] and got["variant"]["variant_overrides"] == 2
+    assert got["torn"]["overrides"].keys() == set(torn) and got["torn"]["by_stem"] == 0
+    assert got["given"]["redundant_stems"] == (["obl"] if P.default_stems("noun", "41", "glabsa")["obl"] == "glabs" else [])
+    assert not any(r["unstable"] or r["redundant_overrides"] for r in got.values())
     bare = {r["lexeme"]: r for r in compression.derive(lexemes, attested, "lemma_only").collect()}
-    assert bare["Kadols"]["stems"] == {} and len(bare["Kadols"]["overrides"]) == 7 and bare["Kadols"]["rounds"] == 1
+    assert bare["stem"]["stems"] == {} and bare["stem"]["overrides"] and {r["rounds"] for r in bare.values()} == {1}
     dense = {r["lexeme"]: r for r in compression.derive(lexemes, attested, "dense").collect()}
-    assert dense["dargnis"]["overrides"].keys() == {s for x, s, _ in CELLS if x == "dargnis"} and dense["dumslē"]["stems"] == {"obl": "dumsl"}
-    tables = compression.report(full, lexemes, attested)
-    text = reports.compression_text(tables)
-    assert "noun: 2 entries, 11 cells" in text and "noun: 4 entries, 13 cells" in text and "left out: noun no_stem: 1" in text and "obl=2" not in text
+    assert len(dense["ruled"]["overrides"]) == len({s for x, s, _ in cells if x == "ruled"}) and dense["given"]["stems"] == {"obl": "glabs"}
+    once = {r["lexeme"]: r for r in compression.derive(lexemes, attested, rounds=1).collect()}
+    assert once["stem"]["stems"] == got["stem"]["stems"] and once["stem"]["unstable"] and not once["ruled"]["unstable"]
+    text = reports.compression_text(compression.report(full, lexemes, attested))
+    assert "left out: noun no_stem: 1" in text and "rounds 1: 1" in text and "obl=1" in text
 
 
 def test_compression(spark):
-    lexemes = spark.createDataFrame([(x, p, q, x, None) for x, (p, q, _) in LEXEMES.items()] + [("none", "noun", "99", "none", None)], "lexeme string, pos string, paradigm string, lemma string, stems map<string,string>")
-    attested = spark.createDataFrame([*CELLS, ("none", "sg.nom", "none")], "lexeme string, slot string, surface string")
+    cells, torn = _attested(spark)
+    lexemes = spark.createDataFrame(_rows()[:5], SHAPE)
+    attested = spark.createDataFrame([*cells, ("none", "sg.nom", "none")], "lexeme string, slot string, surface string")
     lean, replaced = compression.compress(lexemes, attested)
-    stems = {r["lexeme"]: r["stems"] for r in lean.collect()}
-    assert stems == {"Kadols": {"obl": "Kadoll"}, "smilgums": {"pos": "smilgumm"}, "dargnis": {}, "lapītwei": {"pres": "lapē"}, "none": {}}
-    cells = sorted((r["lexeme"], r["slot"], r["attested"]) for r in replaced.collect())
-    assert cells == sorted([("smilgums", "msc.pl.dat", ["smilgummans"]), ("none", "sg.nom", ["none"]), ("dargnis", "fem.pl.nom", ["dargnjas"]), ("dargnis", "fem.sg.dat", ["dargnjai"]), ("dargnis", "fem.sg.gen", ["dargnjas"])])
+    assert {r["lexeme"]: r["stems"] for r in lean.collect()} == {"ruled": {}, "stem": {"obl": "sprind"}, "variant": {}, "torn": {}, "none": {}}
+    assert {(r["lexeme"], r["slot"]) for r in replaced.collect()} == {("variant", "adv"), ("none", "sg.nom"), *(("torn", s) for s in torn)}
     assert compression.verify(lean, replaced, attested).count() == 0
     assert compression.best_stems(lean, attested).count() == 0

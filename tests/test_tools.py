@@ -1,5 +1,8 @@
 import json
 
+from pyspark.sql import functions as F
+
+
 from lexloom.operators import constraints, relations, repair, reports
 from lexloom.plans import cli
 from lexloom.plans.lexicon import DEMO_GRAMMAR
@@ -27,7 +30,7 @@ def test_reports(spark):
     c = lambda form, *rs: (form, [(x.split("+")[0], x.split("+")[1:]) for x in rs], None, None, [], [], [])
     rows = [("1", "t", [c("a", "a+N", "a+V"), c(".", ".+CLB")], "x"), ("2", "u", [c("q", "q+Unk"), c("r", "r+N")], "x"), ("3", "v", [c("q", "q+Unk")], "x")]
     df = spark.createDataFrame(rows, f"sent_id string, text string, cohorts {constraints.COHORTS}, source string")
-    top = reports.ambiguous_sentences(df, df, n=2)
+    top = reports.ambiguous_sentences(df.withColumn("trace", F.expr("cast(array() as array<struct<pos:int,lemma:string,tags:array<string>>>)")), n=2)
     assert [r[:6] for r in top.collect()] == [("1", "t", 1, 1, 0, 0)] and top.first()["details"][0]["readings"] == ["a+N", "a+V"]
     assert reports.ambiguous_text(top) == "#1: 1 open, frequency 1\n  t\n  a: a+N | a+V (of 2)"
     assert reports.errors_text(spark.createDataFrame([("1", 1, "a", "collapsed", 2)], "sent_id string, index int, form string, kind string, n_before int")).endswith("1 1 a: collapsed (2 readings before)")
@@ -36,8 +39,8 @@ def test_reports(spark):
     cover = spark.createDataFrame([("noun", "32", 8, 2, 8), (None, None, 8, 2, 8)], "pos string, paradigm string, cells long, by_rule long, by_stem long")
     assert "noun 32: 8 cells, by rule 25.00 % (2), by stem 100.00 % (8)" in reports.coverage_text(cover)
     stats = spark.createDataFrame([("en", 3)], "lang string, word_tokens long")
-    pairs = spark.createDataFrame([("en", "N|V", 2)], "lang string, pair string, n long")
-    assert reports.statistics_text("s", stats, pairs).endswith("N|V: 2")
+    pairs = spark.createDataFrame([("en", "pos", "N|V", 2), ("en", "sig", "N: Acc | Nom", 1)], "lang string, kind string, pair string, n long")
+    assert reports.statistics_text("s", stats, pairs).endswith("N|V: 2\n  tags\n  N: Acc | Nom: 1")
 
 
 def test_command_line(spark, tmp_path, capsys):
