@@ -16,13 +16,14 @@ item; an item without item_id is searched for, but can't be named; repeated docu
 unless a result column has their name; empty tables give empty results (an empty benchmark: nothing is hit).
 """
 
+import functools
 import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import drop, map_texts, small_batches, staged
+from ._store import map_texts, small_batches, staged
 from ._text import ALNUM_WORD, U, groups, utf8, words
 
 WINDOW, BLOCK_ITEMS, BLOCK_BYTES, SHARD_BYTES, SAMPLE = 10, 20_000, 16_000_000, 2_000_000, 8
@@ -257,22 +258,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     kept = [c for c in docs.columns if c not in new]
     own = {c: f"kept_{i}" for i, c in enumerate(kept)}  # result columns may share a name with a column of the documents
     rows = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in own.items()), "text", F.array().cast("array<string>").alias("item_ids"), F.array().cast(_RUNS).alias("runs"))
-    last = None
     blocks = _blocks(benchmark, block_items, block_bytes)
-    block = next(blocks)
-    while block is not None:
+    block, after = next(blocks), next(blocks, None)
+    earlier = []
+    while after is not None:  # what a block finds is written, by the hash of the text, and the block given up before the next is sent
         sent = spark.sparkContext.broadcast(Phrases(block, window))
-        rows = _searched(rows, list(own.values()), sent)
-        block = next(blocks, None)
-        if block is not None:  # what was found so far is written, and the block given up, before the next one is sent
-            rows = staged(rows, "searched")
-            sent.destroy()
-            if last is not None:
-                drop(spark, last)
-            last = rows
+        found = _searched(rows.select("text", "item_ids", "runs"), ["text"], sent).where(F.size("runs") > 0)
+        earlier.append(staged(found.select(_text_hash().alias("hash"), "item_ids", "runs"), "searched"))
+        sent.destroy()
+        block, after = after, next(blocks, None)
+    if earlier:
+        every = functools.reduce(DataFrame.union, earlier).groupBy("hash", "item_ids", "runs").agg(F.lit(1).alias("one"))  # equal texts, once
+        both = every.groupBy("hash").agg(F.flatten(F.collect_list("item_ids")).alias("ids_before"), F.flatten(F.collect_list("runs")).alias("runs_before"))  # a row a block
+        hit = rows.withColumn("hash", _text_hash()).join(both, "hash", "left")
+        none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c.removesuffix("_before").replace("ids", "item_ids"))
+        rows = hit.select(*own.values(), "text", none("ids_before", "array<string>"), none("runs_before", _RUNS))
+    rows = _searched(rows, list(own.values()), spark.sparkContext.broadcast(Phrases(block, window)))
     return _without_runs(rows, list(own.values())).select(*(F.col(x).alias(c) for c, x in own.items()), *new)
 
 
+def _text_hash():
+    return F.sha2("text", 256)
+
+
 def op6(spark, sf_dir: str) -> DataFrame:
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return decontaminate(docs.select("doc_id", "text"), bench).select(

@@ -4,9 +4,10 @@ Detected entities get keyed replacements of their own type and format. A surroga
 strings with the entity's layout (which characters are digits, capitals, small letters of which alphabet; the rest stays), so
 equal entities have equal surrogates everywhere, without a table, and different ones differ. Where only part of a layout is
 valid (card check digits, area codes, address octets), the permutation is walked on until the result is as valid as the entity.
-A name's letters map to a pronounceable name of the same script; its ending follows the gender that the name's own last letter
-suggests, so one name has one surrogate whatever title stands before it. Surrogates of names of each length have lengths of their
-own, set apart by more than the endings differ, so no two names meet. A name that a title introduces is replaced wherever the
+A name's letters map to a pronounceable stem of the same script, which is the same everywhere; its ending follows the gender of the
+title that introduces the name in the document, or, where none tells (Dr, Prof), that which its last letter suggests. So one name has
+one surrogate in a document, and is known again in all others by the stem. Stems of names of each length have lengths of their own,
+set apart by more than the endings differ, so no two names meet. A name that a title introduces is replaced wherever the
 document has it.
 
 Found are: mail addresses, telephone numbers with a country code or in a ten-digit layout, IPv4 addresses, social security numbers,
@@ -14,8 +15,10 @@ payment cards, IBANs, access keys, values after words such as password or token
 number of capitalised words joined by blanks, hyphens or apostrophes). Not found are: names that no title introduces, street
 addresses, dates of birth, IPv6 addresses, other national numbers.
 
-``collisions`` checks the result: no two entities of a kind share a surrogate, and no entity has two. The key is the caller's: who
-has it can undo the surrogates.
+``collisions`` checks the result: no two entities of a kind share a surrogate, and no entity has two. Entities are the same if they
+differ in nothing but the format of a number (its country code counts), the case of a mail address or name, or the ending of a name's
+surrogate; secrets, keys and IBANs are compared as written. The key is the caller's: who has it can undo the surrogates. A session
+without one draws its own, so another session's surrogates differ.
 
 Null texts stay null, empty ones empty; texts without entities stay as they are, byte for byte; repeated rows get equal results;
 other columns are kept unless a result column has their name; an empty table gives an empty result.
@@ -163,17 +166,18 @@ def _script(word: str) -> str | None:
 
 
 def is_female(word: str) -> bool:
-    """Whether a name's last letter suggests a woman. The name alone decides, so that it has one surrogate everywhere."""
+    """Whether a name's last letter suggests a woman."""
     return word.lower()[-1:] in tuple("aeiàáâèéêìíîаяеиαηέήά")
 
 
 @lru_cache(100_000)
-def name_surrogate(word: str, key: bytes) -> str:
-    """A pronounceable name for one word of a name; words of other or several scripts permute within their layout."""
+def name_surrogate(word: str, key: bytes, female: bool | None = None) -> str:
+    """A pronounceable name for one word of a name, of the gender given or suggested; words of other or several scripts permute within
+    their layout."""
     script, low = _script(word), word.lower()
     if script is None or len(low) > 65:
         return _layout(word, key, "name")
-    letters, consonants, vowels, female, male = _SCRIPTS[script]
+    letters, consonants, vowels, her, his = _SCRIPTS[script]
     n, length = 0, _lengths(script)[len(low)]
     for c in low:
         n = n * len(letters) + letters.index(c)
@@ -182,7 +186,7 @@ def name_surrogate(word: str, key: bytes) -> str:
         a = vowels if i % 2 else consonants
         n, k = divmod(n, len(a))
         out += a[k]
-    out += female if is_female(low) else male
+    out += her if (is_female(low) if female is None else female) else his
     return out.upper() if word.isupper() and len(word) > 1 else out.capitalize()
 
 
@@ -240,7 +244,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             continue
         found.append((m.start(), m.end(), kind))
     found += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text) if not text[m.start() - 1 : m.start()].isalnum()]
-    names = {w[0] for m in _NAME.finditer(text) for w in _WORDS.finditer(m[1]) if not w[0].islower() and w[0] not in _TITLES}
+    names = genders(text)
     if names:
         found += [(m.start(), m.end(), "name") for m in _WORDS.finditer(text) if m[0] in names]
     out: list = []
@@ -253,6 +257,39 @@ def detect(text: str) -> list[tuple[int, int, str]]:
 _TITLES = frozenset((*_FEMALE, *_MALE, *_EITHER))
 
 
+def genders(text: str) -> dict[str, bool | None]:
+    """The words of the names of a text, and whether the first title that tells a gender is a woman's."""
+    out: dict = {}
+    for m in _NAME.finditer(text):
+        title = text[m.start() : m.start(1)].rstrip(" .")
+        told = True if title in _FEMALE else False if title in _MALE else None
+        for w in _WORDS.finditer(m[1]):
+            if not w[0].islower() and w[0] not in _TITLES and out.get(w[0]) is None:
+                out[w[0]] = told
+    return out
+
+
+def identity(kind: str, value: str) -> str:
+    """What makes an entity the one it is, whatever its format."""
+    if kind == "phone":
+        code = re.match(r"\+(\d{1,3})(?=[ .(-])", value)
+        digits = re.sub(r"\D", "", value)
+        return f"{code[1] if code else 1}|{digits[len(code[1]) :] if code else digits}"
+    if kind in ("ssn", "card"):
+        return re.sub(r"\D", "", value)
+    return value.lower() if kind in ("email", "name") else value
+
+
+def _stem(name: str) -> str:
+    """The surrogate of a name without its ending."""
+    low = name.lower()
+    script = _script(low)
+    if script is None:
+        return low
+    *_, her, his = _SCRIPTS[script]
+    return low.removesuffix(her) if low.endswith(her) else low.removesuffix(his)
+
+
 def _mails(text: str) -> list[tuple[int, int, str]]:
     """Mail addresses: from each @ the whole local part is read back, however long."""
     out, at, low = [], text.find("@"), 0
@@ -269,9 +306,10 @@ def _mails(text: str) -> list[tuple[int, int, str]]:
 def replaced(text: str, key: bytes) -> tuple[str, list[tuple[str, str, str]]]:
     """The text with surrogates, and (kind, entity, surrogate) of each entity."""
     parts, at, entities = [], 0, []
+    told = genders(text)
     for start, end, kind in detect(text):
         value = text[start:end]
-        new = name_surrogate(value, key) if kind == "name" else surrogate(kind, value, key)
+        new = name_surrogate(value, key, told.get(value)) if kind == "name" else surrogate(kind, value, key)
         entities.append((kind, value, new))
         parts += [text[at:start], new]
         at = end
@@ -279,27 +317,26 @@ def replaced(text: str, key: bytes) -> tuple[str, list[tuple[str, str, str]]]:
 
 
 def with_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
-    """The documents with surrogate_text and entities (kind, entity, surrogate)."""
+    """The documents with surrogate_text and entities (kind, entity, surrogate, and what makes either the one it is)."""
     small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("surrogate_text", "entities")]
 
     def work():
         def each(texts):
             results = [replaced(t, key) if isinstance(t, str) else (None, []) for t in texts]
-            named = [[dict(zip(("kind", "entity", "surrogate"), e)) for e in found] for _, found in results]
+            named = [[{"kind": k, "entity": e, "surrogate": s, "entity_id": identity(k, e), "surrogate_id": _stem(s) if k == "name" else identity(k, s)} for k, e, s in found] for _, found in results]
             yield slice(0, len(texts)), {"surrogate_text": [t for t, _ in results], "entities": named}
 
         return each
 
-    return map_texts(docs, kept, "surrogate_text string, entities array<struct<kind:string,entity:string,surrogate:string>>", work)
+    return map_texts(docs, kept, "surrogate_text string, entities array<struct<kind:string,entity:string,surrogate:string,entity_id:string,surrogate_id:string>>", work)
 
 
 def collisions(surrogated: DataFrame) -> DataFrame:
-    """Surrogates of several entities of a kind, and entities with several surrogates; formats and case don't count. Should be empty."""
-    plain = lambda c: F.when(F.col("kind").isin("phone", "ssn", "card"), F.regexp_replace(c, r"\D", "")).otherwise(F.lower(c))
-    pairs = surrogated.select(F.explode("entities").alias("e")).select("e.*").select("kind", plain("entity").alias("entity"), plain("surrogate").alias("surrogate")).distinct()
-    shared = pairs.groupBy("kind", F.col("surrogate").alias("value")).count().where("count > 1")
-    return shared.union(pairs.groupBy("kind", F.col("entity").alias("value")).count().where("count > 1"))
+    """kind, value, count of surrogates of several entities of a kind, and of entities with several surrogates. Should be empty."""
+    pairs = surrogated.select(F.explode("entities").alias("e")).select("e.kind", "e.entity_id", "e.surrogate_id").distinct()
+    shared = pairs.groupBy("kind", F.col("surrogate_id").alias("value")).count().where("count > 1")
+    return shared.union(pairs.groupBy("kind", F.col("entity_id").alias("value")).count().where("count > 1"))
 
 
 def session_key(spark) -> bytes:

@@ -297,6 +297,25 @@ def test_one_surrogate_a_name_whatever_the_title():
     assert pii.replaced("Dr Anna", b"k")[1][0][2] == by["name", "Anna"] != pii.replaced("Dr Anna", b"l")[1][0][2]
 
 
+def test_titles_tell_the_gender():
+    """One stem a name; the ending is that of the title, and without one that tells, of the name's last letter."""
+    her, his = (pii.replaced(x, b"k")[1][0][2] for x in ("Mrs. Luca came", "Mr. Luca came"))
+    plain = pii.replaced("Dr. Luca came", b"k")[1][0][2]
+    assert her.endswith("na") and his.endswith("n") and her[:-2] == his[:-1] and plain == her
+    text, found = pii.replaced("Dr. Luca and Luca. Mr. Luca", b"k")
+    assert [s for _, _, s in found] == [his] * 3 and pii._stem(his) == pii._stem(her) == her[:-2].lower()
+
+
+def test_collisions_tell_entities_apart(spark):
+    """What differs in case, or in its country code, is no collision; formats, titles and the case of names are none either."""
+    said = ["token=Token123 token=token123", "+1 2345678901 and +12 345678901", "Mr. Luca, Mrs. LUCA", "743-555-3824 or +1 743 555 3824", "a@b.example.org A@B.EXAMPLE.ORG", "Herr Müller 4111 1111 1111 1111 4111111111111111"]
+    out = pii.with_surrogates(_docs(spark, said), b"key")
+    assert [len({e["entity_id"] for e in r["entities"]}) for r in out.orderBy("doc_id").collect()] == [2, 2, 1, 1, 1, 2]
+    assert pii.collisions(out).count() == 0
+    wrong = spark.createDataFrame([([("secret", "a", "x", "a", "x"), ("secret", "b", "x", "b", "x")],), ([("secret", "c", "y", "c", "y"), ("secret", "c", "z", "c", "z")],)], "entities array<struct<kind:string,entity:string,surrogate:string,entity_id:string,surrogate_id:string>>")
+    assert sorted((r["kind"], r["value"]) for r in pii.collisions(wrong).collect()) == [("secret", "c"), ("secret", "x")]
+
+
 def test_surrogates_query_against_brute_force(spark, tmp_path):
     """The query's texts are those of replacing each entity by its own surrogate, and no surrogate stands for two entities."""
     rows = [(i, t) for i, t in enumerate([None, "", "Dr Bo and Mr Wdj, Mr Ad, Mrs Carmen", "Prof Carmen; call +49 30 1234567 or 10.0.0.1", "nothing", "a.b@c.example.org A.B@C.EXAMPLE.ORG"] * 2)]
@@ -309,7 +328,7 @@ def test_surrogates_query_against_brute_force(spark, tmp_path):
         parts, at = [], 0
         for start, end, kind in pii.detect(text or ""):
             value = text[start:end]
-            new = pii.name_surrogate(value, key) if kind == "name" else pii.surrogate(kind, value, key)
+            new = pii.name_surrogate(value, key, pii.genders(text)[value]) if kind == "name" else pii.surrogate(kind, value, key)
             assert owner.setdefault((kind, new.lower()), value.lower()) == value.lower()
             parts += [text[at:start], new]
             at = end
