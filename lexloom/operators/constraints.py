@@ -497,6 +497,16 @@ def to_stream(cohorts: list[dict]) -> str:
     return "\n".join(lines) + "\n"
 
 
+def streamed(sentences: DataFrame) -> DataFrame:
+    """sent_id, stream: the cohorts of each sentence in the usual text notation."""
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"sent_id": b["sent_id"], "stream": [to_stream([{**c, "parent": None if pd.isna(c.get("parent")) else int(c["parent"])} for c in cs]) for cs in b["cohorts"]]})
+
+    return sentences.select("sent_id", "cohorts").mapInPandas(run, f"sent_id {sentences.schema['sent_id'].dataType.simpleString()}, stream string")
+
+
 def from_stream(stream: str) -> list[dict]:
     """Cohorts of a text in that notation; removed readings (``;``) only give their rule names."""
     out: list[dict] = []

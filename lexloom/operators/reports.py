@@ -99,6 +99,14 @@ def export_counts(sentences: DataFrame) -> DataFrame:
     )
 
 
+def export_text(counts: DataFrame) -> str:
+    """The rows of ``export_counts`` as text, a line a source."""
+    lines = []
+    for r in counts.orderBy("source").collect():
+        lines.append(f"{r['source']}: {r['sentences']} sentences, {r['foreign']} foreign, {r['tokens']} words, unknown {percent(r['unknown'], r['tokens'])}, one part of speech {percent(r['upos_unique'], r['tokens'])}, one reading {percent(r['fully_unique'], r['tokens'])}")
+    return "\n".join(lines)
+
+
 def percent(part: int, total: int) -> str:
     return f"{100 * part / total:.2f} % ({part})" if total else "0.00 % (0)"
 

@@ -1,11 +1,12 @@
 """Command line: ``python -m lexloom COMMAND ...`` over files that Spark can read."""
 
 import argparse
+import functools
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import baking, compression, constraints, generation, linking, paradigms, reports, valence, validation
+from ..operators import baking, compression, constraints, generation, linking, paradigms, reports, statistics, valence, validation
 from ..sources import lexicon, nvh
 from . import api
 
@@ -17,9 +18,13 @@ def _text(spark: SparkSession, path: str) -> str:
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lexloom", description=__doc__)
     commands = p.add_subparsers(dest="command", required=True)
-    for name in ("analyze", "validate", "conllu", "stats", "errors", "top-ambiguous"):
-        c = commands.add_parser(name)
+    for name, text in (
+        ("analyze", "sentences with their cohorts; without --grammar as they are looked up"), ("stream", "the same in text notation"), ("validate", "verdicts; a summary of them with --summary"),
+        ("conllu", "the dependency table"), ("stats", "ambiguity before and after the rules, and what is confused"), ("errors", "error tags and cohorts without a reading"), ("top-ambiguous", "the sentences with most open words"),
+    ):
+        c = commands.add_parser(name, help=text)
         given = c.add_mutually_exclusive_group(required=True)
+        given.add_argument("--from", dest="sources", action="append", metavar="NAME=KIND:PATH", help="a named source (KIND json, md or parquet); may be repeated, and counts are shown by source")
         given.add_argument("--input", help="Parquet with a key and a text column")
         given.add_argument("--corpus", help="JSON arrays of corpus rows")
         given.add_argument("--corpus-md", help="Markdown files")
@@ -35,7 +40,10 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--sets", help="generated lists, for the verbs that govern the genitive")
         c.add_argument("--valence", help="entry files, for the cases that prepositions govern")
         c.add_argument("--source", help="a name of the source in the export")
-        c.add_argument("--limit", type=int, help="rows of top-ambiguous", default=20)
+        c.add_argument("--limit", type=int, help="only so many sentences")
+        c.add_argument("--top", type=int, help="rows of top-ambiguous", default=20)
+        c.add_argument("--trace", action="store_true", help="show which rules removed how many readings, and write each removal to OUTPUT-trace")
+        c.add_argument("--summary", action="store_true", help="counts of verdicts instead of the verdicts")
         c.add_argument("--output", required=True)
     c = commands.add_parser("show", help="the ending tables")
     c.add_argument("pos", nargs="?", choices=["noun", "adj", "verb"])
@@ -67,6 +75,11 @@ def parser() -> argparse.ArgumentParser:
 
 def _sentences(a, spark: SparkSession):
     """The sentences that the options name."""
+    if a.sources:
+        kinds = {"json": lambda p: nvh.sentences_of_json(spark, p, a.skip), "md": lambda p: nvh.sentences_of_markdown(spark, p), "parquet": lambda p: nvh.sentences_of_text(spark.read.parquet(p), a.key, a.text)}
+        named = [(name, *where.split(":", 1)) for name, _, where in (x.partition("=") for x in a.sources)]
+        parts = [kinds[kind](path).withColumn("source", F.lit(name)) for name, kind, path in named]
+        return functools.reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
     if a.corpus:
         return nvh.sentences_of_json(spark, a.corpus, a.skip)
     if a.corpus_md:
@@ -120,21 +133,39 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             nvh.write(out, a.output)
         return
     sentences = _sentences(a, spark)
+    if a.limit is not None:
+        sentences = sentences.limit(a.limit)
     includes = {name: _text(spark, path) for name, _, path in (x.partition("=") for x in a.include)}
     grammars = [_text(spark, g) for g in a.grammar]
     snapshot = constraints.sections_before(grammars[0], a.tree_section) if grammars else None
     before = api.cohorts(sentences, table)
     done = constraints.analysed(before, grammars, includes, snapshot)
+    if a.trace:
+        print(reports.trace_text(done))
+        constraints.removals(done).write.json(f"{a.output}-trace")
     if a.command == "analyze":
         done.write.parquet(a.output)
+    elif a.command == "stream":
+        constraints.streamed(done).orderBy("sent_id").select("stream").write.text(a.output)
     elif a.command == "conllu":
         cases = valence.governed_case(valence.valence(nvh.read(spark, a.valence).select("lemma", F.lit(False).alias("finite"), "description"))) if a.valence else None
         validation.conllu(done, cases, a.source).where("block is not null").orderBy("sent_id").select(F.concat("block", F.lit("\n")).alias("value")).write.text(a.output)
+        if a.sources:
+            print(reports.export_text(reports.export_counts(done)))
     elif a.command == "top-ambiguous":
-        reports.ambiguous_sentences(done, n=a.limit).write.json(a.output)
+        reports.ambiguous_sentences(done, n=a.top).write.json(a.output)
     elif a.command == "errors":
         validation.detected_errors(done).write.json(a.output)
+    elif a.command == "stats":
+        by = ["source"] if a.sources else []
+        for label, rows in (("before", before), ("after", done)):
+            numbers, found = statistics.ambiguity_of(rows, by), statistics.pairs_of(rows, by)
+            print(reports.statistics_text(label, numbers, found))
+            numbers.write.json(f"{a.output}/{label}")
+            found.write.json(f"{a.output}/{label}-pairs")
     else:
         verbs = [*a.genitive_verb, *(lexicon.named_list(_text(spark, a.sets), "GenVerb") if a.sets else [])]
         results = validation.validated(done, verbs)
-        (validation.summary(results) if a.command == "stats" else results).write.json(a.output)
+        (validation.summary(results) if a.summary else results).write.json(a.output)
+        if a.summary:
+            print(reports.verdicts_text(results, validation.summary(results)))

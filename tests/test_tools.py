@@ -51,6 +51,14 @@ def test_command_line(spark, tmp_path, capsys):
         cli.main([command, *common, "--output", str(tmp_path / command)], spark)
     assert "out_of_coverage" in {json.loads(r[0])["status"] for r in spark.read.text(str(tmp_path / "validate")).collect()}
     assert spark.read.text(str(tmp_path / "conllu")).where("value like '# sent_id%'").count() == 1
+    stats = json.loads(spark.read.text(str(tmp_path / "stats/after")).first()[0])
+    assert stats["word_tokens"] == 5 and stats["unknown_pct"] == 20.0 and stats["collapsed"] == 0
+    assert (tmp_path / "stats/before-pairs").exists()
+    cli.main(["stream", *common[:2], "--limit", "1", "--output", str(tmp_path / "raw")], spark)  # no rules
+    assert sum(r[0].startswith('"<') for r in spark.read.text(str(tmp_path / "raw")).collect()) in (2, 5)
+    (tmp_path / "t.cg").write_text('LIST CC = CC ; LIST Pron = Pron ;\nSECTION\nREMOVE:gone Pron ;')
+    cli.main(["validate", "--said", "As ne ei astits.", "--grammar", str(tmp_path / "t.cg"), "--trace", "--summary", "--output", str(tmp_path / "traced")], spark)
+    assert "status out_of_coverage: 1" in capsys.readouterr().out and (tmp_path / "traced-trace").exists()
     (tmp_path / "e.nvh").write_text("entry: Kadols\n  id: p1\n  pos: noun\n  gender: masc\n  paradigm: 32\n  inflectedForm: Kadollas\n    tag: sg.gen\n  inflectedForm: Kadollan\n    tag: sg.acc\n  legacy:\n    desc: ↑as\nentry: dīnkun\n  pos: prep\n  legacy:\n    desc: prp dat\n")
     (tmp_path / "c.json").write_text(json.dumps([{"sources": [{"video_id": "v"}], "text": "As ne ei astits.", "frequency": 3}, {"text": "mes"}]))
     (tmp_path / "a.md").write_text("# no\nMes [astits](x.png). As\n")
@@ -58,6 +66,10 @@ def test_command_line(spark, tmp_path, capsys):
         cli.main(["analyze", *given, *common[2:], "--output", str(tmp_path / f"said{k}")], spark)
     assert sorted(spark.read.parquet(str(tmp_path / "said0")).select("sent_id", "frequency").collect()) == [("yt--1", 1), ("yt-v-0", 3)]
     assert spark.read.parquet(str(tmp_path / "said1")).count() == 2 and spark.read.parquet(str(tmp_path / "said2")).count() == 2
+    several = [x for name, kind, file in (("talk", "json", "c.json"), ("news", "md", "a.md"), ("more", "parquet", "in")) for x in ("--from", f"{name}={kind}:{tmp_path / file}")]
+    cli.main(["conllu", *several, *common[2:], "--output", str(tmp_path / "all")], spark)
+    assert {r[0] for r in spark.read.text(str(tmp_path / "all")).where("value like '# source%'").collect()} == {"# source = talk", "# source = news", "# source = more"}
+    assert "talk: 2 sentences, 0 foreign, 5 words" in capsys.readouterr().out
     cli.main(["show", "noun"])
     cli.main(["generate", "noun", "32", "Kadols", "--stem", "obl=Kadoll"], spark)
     said = capsys.readouterr().out
