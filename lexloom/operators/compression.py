@@ -36,7 +36,7 @@ def best_stems(lexemes: DataFrame, attested: DataFrame, source: DataFrame | None
         return by.join(wanted, ["lexeme", "slot"]).where(F.col("made") == F.col("attested")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
     supplied = lexemes.where("stems is not null").select("lexeme", F.explode(F.map_keys("stems")).alias("role"))
-    tried = candidates(lexemes, attested if source is None else source).join(supplied, ["lexeme", "role"], "left_anti")
+    tried = settled(candidates(lexemes, attested if source is None else source).join(supplied, ["lexeme", "role"], "left_anti"))
     open_roles = tried.select("lexeme", "role").distinct()  # the others keep their stem, so what it gives needn't be known
     before = met(forms_of(role_stems(lexemes).join(open_roles, ["lexeme", "role"], "left_semi")), ["lexeme", "role"]).withColumnRenamed("n", "before")
     after = met(forms_of(tried), ["lexeme", "role", "stem"])
@@ -84,6 +84,7 @@ def derive(lexemes: DataFrame, attested: DataFrame, mode: str = "full", rounds:
     redundant_overrides count overrides that repeat a generated cell (0 but in dense mode).
     """
     none = F.create_map().cast("map<string,string>")
+    lexemes, attested = settled(lexemes), settled(attested)  # read by every round
     wanted = settled(cells(attested))
     known = with_rule_stems(lexemes)
     lean = lexemes.withColumn("stems", F.coalesce("stems", none))
@@ -99,6 +100,9 @@ def derive(lexemes: DataFrame, attested: DataFrame, mode: str = "full", rounds:
                 break
             own = lambda df: df.join(active, "lexeme", "left_semi")  # noqa: E731, B023
             more = settled(best_stems(own(lean), own(attested), own(left_over).select("lexeme", "slot", F.explode("attested").alias("surface"))))
+            if more.isEmpty():
+                state = state.join(active.withColumn("n", F.lit(n)), "lexeme", "left").select("lexeme", F.coalesce("n", "rounds").alias("rounds"), "unstable")
+                break
             changed = more.select("lexeme").distinct()
             tried = settled(with_stems(lean.join(changed, "lexeme", "left_semi"), more))
             cells_of = attested.join(changed, "lexeme", "left_semi")

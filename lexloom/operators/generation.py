@@ -107,6 +107,18 @@ def generate(lexemes: DataFrame) -> DataFrame:
     return forms_of(role_stems(lexemes)).groupBy("lexeme", "slot").agg(F.array_sort(F.collect_set("surface")).alias("surfaces"))
 
 
+def agreement(lexemes: DataFrame) -> DataFrame:
+    """pos, paradigm, role, cells, stripped, regenerated, same_stem: generation against analysis, cell by cell. A form is stripped if it
+    ends in its slot's ending as measured; the stem that is left regenerates it if the rules give the form again, and is the same
+    where it is the one that the form was made of (an accented ending may have shortened it)."""
+    roles = F.broadcast(role_table(lexemes.sparkSession))
+    rows = forms_of(role_stems(lexemes)).join(roles, ["pos", "paradigm", "role", "slot"])
+    left = F.when(F.endswith("surface", "measured"), F.expr("left(surface, length(surface) - length(measured))"))
+    rows = rows.withColumn("left", left).withColumn("again", accent(F.concat("left", "ending")) == F.col("surface"))
+    n = lambda test: F.count(F.when(test, 1))
+    return rows.groupBy("pos", "paradigm", "role").agg(F.count(F.lit(1)).alias("cells"), n(F.col("left").isNotNull()).alias("stripped"), n(F.col("again")).alias("regenerated"), n(F.col("left") == F.col("stem")).alias("same_stem"))
+
+
 def check_stem(stem: str, role: str = "") -> str:
     """The stem, or ValueError if it has a foreign character."""
     wrong = sorted(set(stem) - P.STEM_ALPHABET)

@@ -59,6 +59,60 @@ def paradigm_expand(spark, d):
     return generation.generate(lexemes).select(F.col("lexeme").alias("token"), "slot", F.array_join("surfaces", "|").alias("surface"))
 
 
+# All paradigms: each word type of the conversations is the stem of every role of one of them, which its letters choose.
+_PARADIGMS = sorted({r[:2] for r in P.ROLES})
+_SAID = _TYPES.replace("documents", "conversations")
+_PICK = f"(ascii(token) + 7 * ascii(right(token, 1)) + 31 * length(token)) % {len(_PARADIGMS)}"
+_STEMS = f"SELECT token, {_PICK} AS k FROM ({_SAID}) WHERE regexp_full_match(token, '[{_ALPHABET}]*')"
+
+
+def _accent_sql(stem: str, ending: str) -> str:
+    """The accent rules for endings whose markers come first."""
+    short = f"translate({stem}, 'āēīōū', 'aeiou')"
+    single = short
+    for c in generation.DOUBLE:
+        single = f"replace({single}, '{c * 2}', '{c}')"
+    form = f"""CASE WHEN {ending} LIKE '^%' THEN {single} || {ending}[2:] WHEN {ending} LIKE '~^%' THEN {short} || {ending}[3:]
+      WHEN {ending} LIKE '>%' THEN {stem} || CASE WHEN contains('{generation.DOUBLE}', right({stem}, 1)) THEN right({stem}, 1) ELSE '' END || {ending}[2:] ELSE {stem} || {ending} END"""
+    return f"list_transform([{form}], lambda f: CASE WHEN f[-1] = 's' AND f[-2] = f[-3] AND contains('{generation.DOUBLE}', f[-2]) THEN f[:-3] || 's' ELSE f END)[1]"
+
+
+def _roles_sql() -> str:
+    """k (number of the paradigm), pos, paradigm, role, slot, ending, measured of all roles."""
+    rows = [(_PARADIGMS.index(r[:2]), *r, generation.accented(generation.SENTINEL + r[4]).removeprefix(generation.SENTINEL)) for r in P.ROLES]
+    return "SELECT * FROM (VALUES " + ", ".join(str(r) for r in rows) + ") r(k, pos, paradigm, role, slot, ending, measured)"
+
+
+def _all_stems(spark, d):
+    t = lookup.word_types(_table(spark, d, "conversations")).where(generation.usable(F.col("token")))
+    pairs = F.array(*(F.struct(F.lit(a).alias("pos"), F.lit(b).alias("paradigm")) for a, b in _PARADIGMS))
+    t = t.withColumn("p", F.get(pairs, F.expr(_PICK)))
+    roles = F.array(*map(F.lit, sorted({r[2] for r in P.ROLES})))
+    stems = F.map_from_arrays(roles, F.transform(roles, lambda r: F.col("token")))
+    return t.select(F.col("token").alias("lexeme"), "p.pos", "p.paradigm", F.concat("token", F.when(F.col("p.paradigm") == "87a", "ndtun").otherwise("tun")).alias("lemma"), stems.alias("stems"))
+
+
+@query(f"""
+WITH r AS ({_roles_sql()}), f AS (SELECT token, pos, paradigm, slot, {_accent_sql("token", "ending")} AS surface FROM ({_STEMS}) t JOIN r ON t.k = r.k)
+SELECT token, pos, paradigm, slot, string_agg(DISTINCT surface, '|' ORDER BY surface) AS surfaces FROM f GROUP BY ALL
+""")
+def role_forms(spark, d):
+    """All forms of all paradigms: nouns, adjectives and verbs with their participles."""
+    lexemes = _all_stems(spark, d)
+    made = generation.generate(lexemes).join(lexemes.select("lexeme", "pos", "paradigm"), "lexeme")
+    return made.select(F.col("lexeme").alias("token"), "pos", "paradigm", "slot", F.array_join("surfaces", "|").alias("surfaces"))
+
+
+@query(f"""
+WITH r AS ({_roles_sql()}), f AS (SELECT r.*, token, {_accent_sql("token", "ending")} AS surface FROM ({_STEMS}) t JOIN r ON t.k = r.k),
+b AS (SELECT *, CASE WHEN ends_with(surface, measured) THEN left(surface, length(surface) - length(measured)) END AS rest FROM f)
+SELECT pos, paradigm, role, count(*) AS cells, count(rest) AS stripped, count(*) FILTER ({_accent_sql("rest", "ending")} = surface) AS regenerated, count(*) FILTER (rest = token) AS same_stem FROM b GROUP BY ALL
+""")
+def role_agreement(spark, d):
+    """Generation against analysis for every role of every paradigm."""
+    return generation.agreement(_all_stems(spark, d))
+
+
 # Every word type of plain letters is a lexeme of one noun paradigm: its nominative follows the lemma, up to three other cells follow
 # a shorter stem, so that rules, stems and overrides all have a part.
 _PLAIN = f"SELECT token AS t, left(token, length(token) - 1) AS u, length(token) % 4 AS k FROM ({_TYPES}) WHERE regexp_full_match(token, '[abcdefghijklmnoprstuvwyz]{{4,}}') AND token[-1] <> token[-2] AND token[-2] <> token[-3]"

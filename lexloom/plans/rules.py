@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import constraints
+from ..operators import constraints, statistics
 from ..sources import nvh
 from .corpus import _PIECES, _TOKENS, _table
 
@@ -64,11 +64,16 @@ def _cohorts(spark, d):
     read = lambda *tags: F.struct(lemma.alias("lemma"), F.array(*map(F.lit, tags)).alias("tags"))
     readings = (
         F.when(F.length("token") <= 2, F.array(read("Pr"))).when(last.isin(*"aeiou"), F.array(read("N", "Nom"), read("V", "Prs")))
-        .when(last.isin("n", "m"), F.array(read("A", "Acc"), read("N", "Acc"))).when(last.isin("s", "t"), F.array(read("Adv"), read("Pr"))).otherwise(F.array(read("N", "Nom")))
+        .when(last.isin("n", "m"), F.array(read("A", "Acc"), read("N", "Acc"))).when(last.isin("s", "t"), F.array(read("Adv"), read("Pr")))
+        .when(last == "r", F.array(read("N", "Gen"), read("N", "Nom"))).otherwise(F.array(read("N", "Nom")))
     )
     return constraints.cohorts_of(sentences, types.select("token", readings.alias("readings")))
 
 
+def _ruled(spark, d):
+    return constraints.analysed(_cohorts(spark, d), [OFFSETS], interpret=False)
+
+
 # A preposition that is chosen in the first pass makes the words beside it fit in the second.
 _CHOSEN = "({0} = 'S' AND {1} = 'A' AND {2} NOT IN ('P', 'S'))"
 
@@ -82,7 +87,7 @@ UNION ALL SELECT sent_id, pos, t, 'preposition', 1, lower(t) || '+Adv' FROM f WH
 """)
 def rule_trace(spark, d):
     """Every reading that rules on fixed offsets remove, with the rule and the pass."""
-    done = constraints.analysed(_cohorts(spark, d), [OFFSETS], interpret=False)
+    done = _ruled(spark, d)
     return constraints.removals(done).select("sent_id", F.col("pos").cast("long").alias("pos"), "form", "rule", F.col("pass").cast("long").alias("pass"), "reading")
 
 
@@ -95,8 +100,7 @@ SELECT rule, count(*) AS n FROM (
   UNION ALL SELECT 'preposition' FROM f WHERE {_CHOSEN.format("k", "r1", "k1")}) GROUP BY rule
 """)
 def removals_by_rule(spark, d):
-    done = constraints.analysed(_cohorts(spark, d), [OFFSETS], interpret=False)
-    return constraints.removals(done).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    return constraints.removals(_ruled(spark, d)).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""
@@ -113,3 +117,26 @@ def rule_family(spark, d):
     rows = done.select("sent_id", F.posexplode("cohorts").alias("pos", "c")).where("c.parent is not null or size(c.errors) > 0")
     label = F.array_join(F.transform("c.relations", lambda r: r["label"]), " ")
     return rows.select("sent_id", F.col("pos").cast("long").alias("pos"), F.col("c.form").alias("form"), F.col("c.parent").cast("long").alias("parent"), label.alias("label"), F.array_join(F.array_sort("c.errors"), " ").alias("errors"))
+
+
+# Readings of a word before the rules, and how many of them they remove.
+_OPEN = f"""{_WORDS},
+o AS (SELECT k, CASE WHEN k IN ('W', 'A', 'S') OR (k = 'N' AND right(lower(t), 1) = 'r') THEN 2 ELSE 1 END AS n,
+  CASE WHEN k = 'A' AND (k1 = 'P' OR {_CHOSEN.format("k1", "k", "k2")}) OR k = 'W' AND (r1 = 'P' OR {_CHOSEN.format("r1", "r2", "k")}) OR {_CHOSEN.format("k", "r1", "k1")} THEN 1 ELSE 0 END AS lost FROM n WHERE k NOT IN ('.', ','))"""
+_NUMBERS = "count(*) AS word_tokens, 0.0::DOUBLE AS unknown_pct, 0::BIGINT AS collapsed, 0.0::DOUBLE AS collapsed_pct, round(sum({0})::DOUBLE / count(*), 6) AS avg_readings, round(100.0::DOUBLE * count(*) FILTER ({0} = 1) / count(*), 6) AS unambiguous_pct FROM o"
+
+
+@query(f"WITH {_OPEN} SELECT 'before' AS state, {_NUMBERS.format('n')} UNION ALL SELECT 'after', {_NUMBERS.format('(n - lost)')}")
+def cohort_ambiguity(spark, d):
+    """Ambiguity of the cohorts before and after the rules."""
+    before, after = (statistics.ambiguity_of(df).withColumn("state", F.lit(name)) for name, df in (("before", _cohorts(spark, d)), ("after", _ruled(spark, d))))
+    return before.unionByName(after)
+
+
+@query(f"""
+WITH {_OPEN} SELECT CASE k WHEN 'N' THEN 'sig' ELSE 'pos' END AS kind, CASE k WHEN 'W' THEN 'N|V' WHEN 'A' THEN 'A|N' WHEN 'S' THEN 'Adv|Pr' ELSE 'N: Gen | Nom' END AS pair, count(*) AS n
+FROM o WHERE n - lost > 1 GROUP BY ALL
+""")
+def cohort_pairs(spark, d):
+    """What is still confused after the rules: parts of speech, or tags of one."""
+    return statistics.pairs_of(_ruled(spark, d))
