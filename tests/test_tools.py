@@ -58,7 +58,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert sum(r[0].startswith('"<') for r in spark.read.text(str(tmp_path / "raw")).collect()) in (2, 5)
     (tmp_path / "t.cg").write_text('LIST CC = CC ; LIST Pron = Pron ;\nSECTION\nREMOVE:gone Pron ;')
     cli.main(["validate", "--said", "As ne ei astits.", "--grammar", str(tmp_path / "t.cg"), "--trace", "--summary", "--output", str(tmp_path / "traced")], spark)
-    assert "status out_of_coverage: 1" in capsys.readouterr().out and (tmp_path / "traced-trace").exists()
+    assert "status verified_in_coverage: 1" in capsys.readouterr().out and (tmp_path / "traced-trace").exists()
     (tmp_path / "e.nvh").write_text("entry: Kadols\n  id: p1\n  pos: noun\n  gender: masc\n  paradigm: 32\n  inflectedForm: Kadollas\n    tag: sg.gen\n  inflectedForm: Kadollan\n    tag: sg.acc\n  legacy:\n    desc: ↑as\nentry: dīnkun\n  pos: prep\n  legacy:\n    desc: prp dat\n")
     (tmp_path / "c.json").write_text(json.dumps([{"sources": [{"video_id": "v"}], "text": "As ne ei astits.", "frequency": 3}, {"text": "mes"}]))
     (tmp_path / "a.md").write_text("# no\nMes [astits](x.png). As\n")
