@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import baking, compression, constraints, generation, linking, paradigms, reports, statistics, valence, validation
 from ..sources import lexicon, nvh
+from ..storage import settled
 from . import api
 
 
@@ -140,6 +141,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     snapshot = constraints.sections_before(grammars[0], a.tree_section) if grammars else None
     before = api.cohorts(sentences, table)
     done = constraints.analysed(before, grammars, includes, snapshot)
+    if a.command == "stats" or a.trace or a.summary or a.sources:  # several reports read the result
+        done = settled(done)
+    if a.command == "stats":
+        before = settled(before)
     if a.trace:
         print(reports.trace_text(done))
         constraints.removals(done).write.json(f"{a.output}-trace")
