@@ -63,11 +63,11 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "c.json").write_text(json.dumps([{"sources": [{"video_id": "v"}], "text": "As ne ei astits.", "frequency": 3}, {"text": "mes"}]))
     (tmp_path / "a.md").write_text("# no\nMes [astits](x.png). As\n")
     for k, given in enumerate((["--corpus", str(tmp_path / "c.json")], ["--corpus-md", str(tmp_path / "a.md")], ["--said", "As mes. Ne."])):
-        cli.main(["analyze", *given, *common[2:], "--output", str(tmp_path / f"said{k}")], spark)
+        cli.main(["analyze", *given, "--output", str(tmp_path / f"said{k}")], spark)
     assert sorted(spark.read.parquet(str(tmp_path / "said0")).select("sent_id", "frequency").collect()) == [("yt--1", 1), ("yt-v-0", 3)]
     assert spark.read.parquet(str(tmp_path / "said1")).count() == 2 and spark.read.parquet(str(tmp_path / "said2")).count() == 2
     several = [x for name, kind, file in (("talk", "json", "c.json"), ("news", "md", "a.md"), ("more", "parquet", "in")) for x in ("--from", f"{name}={kind}:{tmp_path / file}")]
-    cli.main(["conllu", *several, *common[2:], "--output", str(tmp_path / "all")], spark)
+    cli.main(["conllu", *several, "--output", str(tmp_path / "all")], spark)
     assert {r[0] for r in spark.read.text(str(tmp_path / "all")).where("value like '# source%'").collect()} == {"# source = talk", "# source = news", "# source = more"}
     assert "talk: 2 sentences, 0 foreign, 5 words" in capsys.readouterr().out
     cli.main(["show", "noun"])
