@@ -1,10 +1,11 @@
 """Rules as columns: a parsed grammar becomes one SQL expression over the cohorts of a sentence, so no Python runs on its rows.
 
 Order is that of the interpreter: rules one after the other, each from the first cohort of a window to the last, so a rule sees what
-it has done to its left; sections 1, 1 to 2, and so on, each until a pass changes nothing or a state comes back. A pass goes through
-the rules by blocks. Whether any rule of a block fits any place is asked first, which copies nothing; only then a fold looks for the
-next rule and place that fit, applies the one to the other, and goes on behind them. Passes, too, are a fold that hands its state on
-once done. Folds copy their state at each step, so they come in lengths of 1, 4, 16 and so on, begun only while there is more to do.
+it has done to its left; sections 1, 1 to 2, and so on, each until a pass changes nothing or a state comes back. A pass is a fold
+over the rules, by blocks. Whether a rule fits any place is asked first, which copies nothing; only then a fold goes over the places,
+so a rule and a place meet at most twice a pass. Rules whose effect on one place can't matter at another (relations, tags that no
+context of theirs asks for) change all places at once. Passes, too, are a fold that hands its state on once done. Folds copy their
+state at each step, so those of passes come in lengths of 1, 4, 16 and so on, begun only while there is more to do.
 The expression's depth doesn't grow with the grammar, its size does in proportion.
 
 Fixed offsets are look-ups in the array, scans filters over a range of places, parents, children and siblings filters over the parents
@@ -18,7 +19,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .matching import Anything, Test, array_of, literal
+from .matching import Anything, Tag, Test, array_of, literal
 
 LENGTHS = (1, 4, 16, 64, 256, 1024)
 RULES = 8  # a block
@@ -129,12 +130,14 @@ class _Window:
         return f"aggregate(sequence(0, size({self.c})), named_struct('up', {place}, 'hit', false), ({a}, {n}) -> {step}, {f} -> {f}.hit)"
 
 
-def _replaced(cohorts: str, place: str, x: str, **fields: str) -> str:
-    """The cohorts with fields of one changed; ``x`` names that cohort in the new values."""
-    j = _new("j")
+def _replaced(cohorts: str, place: str, x: str, j: str = "", **fields: str) -> str:
+    """The cohorts with fields of one changed; ``x`` names that cohort in the new values. With ``j``, which names its place there,
+    ``place`` is an array of places, and all of them change."""
+    here = f"array_contains({place}, {j})" if j else ""
+    j = j or _new("j")
     names = ("form", "readings", "parent", "agr_parent", "relations", "rules")
     new = ", ".join(f"'{n}', {fields.get(n, f'{x}.{n}')}" for n in names)
-    return f"transform({cohorts}, ({x}, {j}) -> if({j} = {place}, named_struct({new}), {x}))"
+    return f"transform({cohorts}, ({x}, {j}) -> if({here or f'{j} = {place}'}, named_struct({new}), {x}))"
 
 
 def _test(rule, cohorts: str, i: str, prefix: str) -> str:
@@ -165,11 +168,12 @@ def _fresh(rule, reading: str, prefix: str) -> str:
     return f"size(array_except({array_of(dict.fromkeys(rule.tags))}, {reading}.tags)) > 0" + (f" AND NOT {reading}.locked" if mapping else "")
 
 
-def _change(rule, state: str, i: str, prefix: str) -> str:
-    """The state after a rule has changed a place at which its test holds."""
+def _change(rule, state: str, i: str, prefix: str, several: bool = False) -> str:
+    """The state after a rule has changed a place at which its test holds, or ``several`` of them."""
     cohorts, x, q = f"{state}.c", _new("x"), _new("q")
     w = _Window(cohorts)
-    inner = rule.target.sql(x, q, i)
+    at = _new("j") if several else ""
+    inner = rule.target.sql(x, q, at or i)
     rules = f"if(array_contains({x}.rules, {literal(rule.name)}), {x}.rules, array_append({x}.rules, {literal(rule.name)}))" if rule.name else f"{x}.rules"
     events = f"{state}.events"
     if rule.action in ("SELECT", "REMOVE"):
@@ -182,33 +186,58 @@ def _change(rule, state: str, i: str, prefix: str) -> str:
         tags = array_of(dict.fromkeys(rule.tags))
         lock = "true" if rule.action == "MAP" else f"{q}.locked"
         added = f"named_struct('lemma', {q}.lemma, 'tags', concat({q}.tags, array_except({tags}, {q}.tags)), 'locked', {lock})"
-        new = _replaced(cohorts, i, x, readings=f"transform({x}.readings, {q} -> if({inner} AND {_fresh(rule, q, prefix)}, {added}, {q}))", rules=rules)
+        new = _replaced(cohorts, i, x, at, readings=f"transform({x}.readings, {q} -> if({inner} AND {_fresh(rule, q, prefix)}, {added}, {q}))", rules=rules)
     else:
         k, y = _new("k"), _new("y")
-        if rule.action == "ADDRELATION":
-            new = _replaced(cohorts, i, x, relations=f"array_append({x}.relations, named_struct('label', {literal(rule.tags[0])}, 'target', {k}))", rules=rules)
+        relation = f"array_append({x}.relations, named_struct('label', {literal(rule.tags[0] if rule.tags else '')}, 'target', {k}))"
+        if several:
+            new = _replaced(cohorts, i, x, at, relations=_let(w.find(rule.to, at), k, relation), rules=rules)
+        elif rule.action == "ADDRELATION":
+            new = _replaced(cohorts, i, x, relations=relation, rules=rules)
         elif rule.action == "SETPARENT":
             new = _replaced(cohorts, i, x, parent=k, rules=rules)
         else:
             new = _replaced(_replaced(cohorts, k, y, parent=i), i, x, rules=rules)
-        new = _let(w.find(rule.to, i), k, new)
+        new = new if several else _let(w.find(rule.to, i), k, new)
     return f"named_struct('c', {new}, 'changed', true, 'grammar', {state}.grammar, 'pass', {state}.pass, 'events', {events})"
 
 
+def _alone(rule) -> bool:
+    """Whether what a rule does at one place can't change whether it fits another: nothing asks for relations, and added tags matter
+    only to contexts that may ask for them."""
+    if rule.action == "ADDRELATION":
+        return True
+    return rule.action in ("ADD", "MAP") and not any(_asks(c, rule.tags) for c in rule.contexts)
+
+
+def _asks(ctx, tags: list) -> bool:
+    """Whether a context looks for one of the tags."""
+    tests = [t for t in (ctx.target, ctx.barrier) if t is not None]
+    while tests:
+        t = tests.pop()
+        if isinstance(t, Tag) and t.value in tags:
+            return True
+        tests += t.parts()
+    return any(_asks(c, tags) for c in [*ctx.either, *([ctx.link] if ctx.link else [])])
+
+
 def _block(rules: list, first: int, upto: str, s: str, prefix: str) -> str:
     """The state after some rules, numbered from ``first``, of those below ``upto``."""
     own = list(enumerate(rules, first))
     last = f"(least({first + len(own)}, {upto}) - 1)"
-    k, i, a, x, f, z = (_new(n) for n in "kiaxfz")
-    any_fits = " ".join(f"WHEN {n} THEN exists(sequence(0, size({s}.c) - 1), {i} -> {_test(r, f'{s}.c', i, prefix)})" for n, r in own)
-    places = _range(f"if({k} = {a}.k, {a}.i + 1, 0)", f"size({a}.s.c) - 1")
-    fits = " ".join(f"WHEN {n} THEN get(filter({places}, {i} -> {_test(r, f'{a}.s.c', i, prefix)}), 0)" for n, r in own)
-    found = f"get(filter(transform(sequence({a}.k, {last}), {k} -> named_struct('k', {k}, 'i', CASE {k} {fits} END)), {x} -> {x}.i IS NOT NULL), 0)"
-    changed = " ".join(f"WHEN {n} THEN {_change(r, f'{a}.s', f'{f}.i', prefix)}" for n, r in own)
-    step = _let(found, f, f"if({f} IS NULL, named_struct('s', {a}.s, 'k', {a}.k, 'i', {a}.i, 'done', true), named_struct('s', CASE {f}.k {changed} ELSE {a}.s END, 'k', {f}.k, 'i', {f}.i, 'done', false))")
-    start = f"named_struct('s', {s}, 'k', {first}, 'i', -1, 'done', false)"
-    run = _let(_until("done", start, [*LENGTHS[:4], f"{len(own)} * size({s}.c) + 1"], a, step), z, f"{z}.s")
-    return f"if(exists(sequence({first}, {last}), {k} -> CASE {k} {any_fits} ELSE false END), {run}, {s})"
+    k, t = _new("k"), _new("t")
+    steps = " ".join(f"WHEN {n} THEN {_applied(r, t, prefix)}" for n, r in own)
+    return f"aggregate(sequence({first}, {last}), {s}, ({t}, {k}) -> CASE {k} {steps} ELSE {t} END)"
+
+
+def _applied(rule, s: str, prefix: str) -> str:
+    """The state after a rule has gone over all places."""
+    i, j, a = _new("i"), _new("j"), _new("a")
+    places = f"sequence(0, size({s}.c) - 1)"
+    if _alone(rule):
+        return _let(f"filter({places}, {i} -> {_test(rule, f'{s}.c', i, prefix)})", j, f"if(size({j}) = 0, {s}, {_change(rule, s, j, prefix, True)})")
+    walk = f"aggregate({places}, {s}, ({a}, {j}) -> if({_test(rule, f'{a}.c', j, prefix)}, {_change(rule, a, j, prefix)}, {a}))"
+    return f"if(exists({places}, {i} -> {_test(rule, f'{s}.c', i, prefix)}), {walk}, {s})"
 
 
 def _pass(rules: list, upto: str, state: str, prefix: str) -> str:

@@ -6,6 +6,7 @@ from ..operators import baking, compression, constraints, generation, linking, l
 from ..operators import paradigms as P
 from ..sources import nvh
 from ..sources.lexicon import analysis_table
+from ..storage import spread
 from . import api
 from .corpus import _COUNTS, _READINGS, _TOKENS, _TYPES, _WORD, _table
 
@@ -210,7 +211,7 @@ def arrow_links(spark, d):
 
 def _analysed(spark, d):
     talk = _table(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"), "text")
-    return api.analyze(talk, analysis_table(spark), [DEMO_GRAMMAR], snapshot=2)
+    return api.analyze(spread(talk), analysis_table(spark), [DEMO_GRAMMAR], snapshot=2)
 
 
 @query()
@@ -225,5 +226,6 @@ def conllu_export(spark, d):
 
 @query()
 def dep_labels(spark, d):
-    rows = _analysed(spark, d).select("sent_id", F.posexplode("cohorts").alias("pos", "c"))
-    return rows.where("c.parent is not null").select("sent_id", "pos", F.col("c.form").alias("form"), F.col("c.parent").alias("parent"), F.get("c.relations", F.lit(0))["label"].alias("label"))
+    attached = F.filter(F.transform("cohorts", lambda c, i: F.struct(i.alias("pos"), c.alias("c"))), lambda x: x["c"]["parent"].isNotNull())
+    rows = _analysed(spark, d).select("sent_id", F.explode(attached).alias("x")).select("sent_id", "x.pos", "x.c")
+    return rows.select("sent_id", "pos", F.col("c.form").alias("form"), F.col("c.parent").alias("parent"), F.get("c.relations", F.lit(0))["label"].alias("label"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import constraints, statistics
 from ..sources import nvh
+from ..storage import spread
 from .corpus import _PIECES, _TOKENS, _table
 
 QUERIES: dict = {}
@@ -57,7 +58,7 @@ def query(sql: str | None = None):
 def _cohorts(spark, d):
     """The sentences of the conversations, with readings by the last letter."""
     talk = _table(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"), "text")
-    sentences = nvh.sentences_of_text(talk)
+    sentences = nvh.sentences_of_text(spread(talk))
     types = sentences.select(F.explode("tokens").alias("token")).where(F.col("token").rlike(r"^\p{L}")).distinct()
     lemma = F.lower("token")
     last = F.right(lemma, F.lit(1))
@@ -114,7 +115,9 @@ SELECT sent_id, pos::BIGINT AS pos, form, parent::BIGINT AS parent, label, array
 def rule_family(spark, d):
     """Attachments, labels and error tags by rules over parents, children and siblings; those that would close a loop are refused."""
     done = constraints.analysed(_cohorts(spark, d), [FAMILY], interpret=False)
-    rows = done.select("sent_id", F.posexplode("cohorts").alias("pos", "c")).where("c.parent is not null or size(c.errors) > 0")
+    # Filtered within the array: the planner would ask for the size of an exploded column first, and run the rules again for that.
+    hit = F.filter(F.transform("cohorts", lambda c, i: F.struct(i.alias("pos"), c.alias("c"))), lambda x: x["c"]["parent"].isNotNull() | (F.size(x["c"]["errors"]) > 0))
+    rows = done.select("sent_id", F.explode(hit).alias("x")).select("sent_id", "x.pos", "x.c")
     label = F.array_join(F.transform("c.relations", lambda r: r["label"]), " ")
     return rows.select("sent_id", F.col("pos").cast("long").alias("pos"), F.col("c.form").alias("form"), F.col("c.parent").cast("long").alias("parent"), label.alias("label"), F.array_join(F.array_sort("c.errors"), " ").alias("errors"))
 

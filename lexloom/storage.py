@@ -33,6 +33,11 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly to some tasks a core: a small file is one task's, however long its rows are worked on."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete the tables of this process. Results that read them can't be used any more."""
     for path in list(_written):

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lexloom.operators import constraints as C
 from lexloom.operators import grammar_checks, reports, validation
 
+SF = "/root/testdata/sf0.001"
+
 SHAPE = "sent_id string, text string, cohorts array<struct<form:string,readings:array<struct<lemma:string,tags:array<string>>>>>"
 TAGS = ["N", "V", "A", "Pr", "Nom", "Acc"]
 
@@ -142,3 +144,15 @@ def test_equal_keys_and_missing_ones(spark):
     shown = [(r["sent_id"], r["frequency"], [c["form"] + ":" + c["readings"][0]["tags"][0] for c in r["cohorts"]]) for r in rows]
     both = ("k", 7, ["As:Pron", "mes:Pron", ".:CLB"])
     assert shown == [both, both, ("e", 7, []), (None, 7, ["!:CLB"]), (None, 7, ["mes:Pron", "x:Unk", ".:CLB"])]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_run_once(spark):
+    """One operator of the plan holds the rules: verdicts are summed up in one pass, and no filter runs them again."""
+    from lexloom.plans import lexicon, rules
+
+    plans = [(rules.QUERIES["rule_family"], "far"), (rules.QUERIES["rule_trace"], "no-verb"), (lexicon.QUERIES["dep_labels"], "to-verb"), (lexicon.QUERIES["validate_status"], "to-verb")]
+    assert [sum(word in line for line in _plan(q(spark, SF)).splitlines()) for q, word in plans] == [1, 1, 1, 1]
