@@ -156,3 +156,10 @@ def test_rules_run_once(spark):
 
     plans = [(rules.QUERIES["rule_family"], "far"), (rules.QUERIES["rule_trace"], "no-verb"), (lexicon.QUERIES["dep_labels"], "to-verb"), (lexicon.QUERIES["validate_status"], "to-verb")]
     assert [sum(word in line for line in _plan(q(spark, SF)).splitlines()) for q, word in plans] == [1, 1, 1, 1]
+
+
+def test_rows_are_spread(spark):
+    """A small file of conversations is not one task's (it was)."""
+    from lexloom.plans import rules
+
+    assert rules._cohorts(spark, SF).rdd.getNumPartitions() >= 2
