@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import chat, decontaminate, fingerprints, graph, jaccard, mixing, pii, quality, substrings, tokens
+from lexloom.llm import _store, chat, decontaminate, fingerprints, graph, jaccard, mixing, pii, quality, substrings, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, score string, drawn string, h string"
 
@@ -575,6 +575,20 @@ def test_chat(spark):
     assert chat.examples(talk.limit(0)).count() == 0
 
 
+def test_chat_writes_whole_examples(spark, tmp_path):
+    """What op9 writes holds all turns before a reply (of 100 turns, only the last 32 were in an example), and reading it back notices a missing one."""
+    talk = spark.createDataFrame([(1, t, "assistant" if t % 2 else "user", f"t{t}") for t in range(101)], "conv_id long, turn long, role string, text string")
+    talk.write.parquet(f"{tmp_path}/conversations.parquet")
+    kept = set(_store._kept)
+    assert chat.op9(spark, str(tmp_path)).where("conv_id = 1").first()["n_turns"] == 101
+    written = spark.read.parquet((set(_store._kept) - kept).pop())
+    sizes = written.where("conv_id = 1 and example is not null").orderBy("example").select((F.size(F.split("text", r"<\|im_start\|>")) - 1).alias("n")).collect()
+    assert [r["n"] for r in sizes] == list(range(2, 101, 2))
+    cut = written.withColumn("text", F.when(F.col("example") == 40, F.replace("text", F.lit("t3<|"), F.lit("t4<|"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="context"):
+        chat.read_back(cut).collect()
+
+
 def test_quality(spark, empty):
     rnd = random.Random(1)
     words = ["the", "of", "thing", "erst", "blé"]
