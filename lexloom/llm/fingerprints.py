@@ -153,36 +153,42 @@ def _meets_first(q: Column, p: Column, t: Column, radius: int) -> Column:
     return found
 
 
-def _meetings(queries: DataFrame, prints: DataFrame, radius: int, *kept: str) -> DataFrame:
-    """t, fa, fb and there: each distinct query beside lists of the fingerprints (with ``kept``) under the values that it looks up.
+def _met(queries: DataFrame, prints: DataFrame, radius: int, *kept: str) -> DataFrame:
+    """qa, qb, pa, pb and ``kept`` of the fingerprints: each distinct query beside those within the radius, once each.
 
     The 128 bits fall into blocks. Two fingerprints within the radius differ in at most ``FLIPS`` bits of one of them, so they
-    meet in its table, where a query looks up all such values. Lists have about ``MEMBERS`` entries: longer ones, of a family of
-    near-equal texts, are dealt to parts by hash, and a query visits all parts.
+    meet in its table, where a query looks up all such values. A hash join on one number (block, value, part) compares them as its
+    condition, in compiled code, so no row is made for a pair that is not near. Values with more than ``MEMBERS`` fingerprints, of a
+    family of near-equal texts, are dealt to parts by hash, and a query visits all parts.
     """
     homes = _tables(prints.select("fa", "fb", *kept), radius, False, *kept)
     parts = F.broadcast(homes.groupBy("t", "k").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts")).where("parts > 1"))  # at most all values of all blocks
     part = F.pmod(F.xxhash64("fa", "fb"), F.coalesce("parts", F.lit(1)))
-    lists = homes.join(parts, ["t", "k"], "left").groupBy("t", "k", part.cast("int").alias("part")).agg(F.collect_list(F.struct("fa", "fb", *kept)).alias("there"))
-    probes = _tables(queries.select("fa", "fb").distinct(), radius, True).join(parts, ["t", "k"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return probes.join(lists.hint("shuffle_hash"), ["t", "k", "part"]).select("t", "fa", "fb", "there")
+    one = max(width for _, width, _ in _blocks(radius)) <= 32  # else block, value and part are columns of their own
+
+    def names(part, name):
+        number = F.shiftleft(part.cast("long"), 40).bitwiseOR(F.shiftleft(F.col("t").cast("long"), 32)).bitwiseOR(F.col("k"))
+        return [number.alias(name)] if one else [F.col("t").alias(f"{name}_t"), F.col("k").alias(f"{name}_k"), part.cast("int").alias(f"{name}_part")]
+
+    there = homes.join(parts, ["t", "k"], "left").select(*names(part, "there"), F.col("fa").alias("pa"), F.col("fb").alias("pb"), *kept)
+    asked = _tables(queries.select("fa", "fb").distinct(), radius, True).join(parts, ["t", "k"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    asked = asked.select(*names(F.col("part"), "here"), "t", F.col("fa").alias("qa"), F.col("fb").alias("qb"))
+    q, p = ({"fa": F.col(f"{x}a"), "fb": F.col(f"{x}b")} for x in "qp")
+    met = _meets_first(q, p, F.col("t"), radius)
+    for end in ("",) if one else ("_t", "_k", "_part"):
+        met = (F.col(f"here{end}") == F.col(f"there{end}")) & met
+    return asked.join(there.hint("shuffle_hash"), met).select("qa", "qb", "pa", "pb", *kept)
 
 
 def near_prints(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """All (qa, qb, pa, pb, distance) of distinct fingerprints of two tables (fa, fb) with a Hamming distance of at most ``radius``."""
-    q = F.struct("fa", "fb")
-    met = _meetings(queries, prints.select("fa", "fb").distinct(), radius)
-    near = F.explode(F.filter("there", lambda p: _meets_first(q, p, F.col("t"), radius))).alias("p")
-    return met.select("fa", "fb", near).select(F.col("fa").alias("qa"), F.col("fb").alias("qb"), F.col("p.fa").alias("pa"), F.col("p.fb").alias("pb"), _distance(q, F.col("p")).alias("distance"))
+    q, p = ({"fa": F.col(f"{x}a"), "fb": F.col(f"{x}b")} for x in "qp")
+    return _met(queries, prints.select("fa", "fb").distinct(), radius).withColumn("distance", _distance(q, p))
 
 
 def near_counts(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """fa, fb, k: the sum of n over ``prints`` (distinct fa, fb, with n) within the radius of each distinct query.
-
-    A query runs through the lists it meets, so no row is made for a pair and a large group of copies doesn't grow with its square.
-    """
-    near = lambda n, p: n + F.when(_meets_first(F.struct("fa", "fb"), p, F.col("t"), radius), p["n"]).otherwise(F.lit(0).cast("long"))
-    return _meetings(queries, prints, radius, "n").select("fa", "fb", F.aggregate("there", F.lit(0).cast("long"), near).alias("k")).groupBy("fa", "fb").agg(F.sum("k").alias("k"))
+    """fa, fb, k: the sum of n over ``prints`` (distinct fa, fb, with n) within the radius of each distinct query."""
+    return _met(queries, prints, radius, "n").groupBy(F.col("qa").alias("fa"), F.col("qb").alias("fb")).agg(F.sum("n").alias("k"))
 
 
 def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -123,6 +123,23 @@ def test_block_tables_find_all_within_the_radius(spark, monkeypatch):
     assert got == {(i, j, d) for i in range(0, len(prints), 20) for j in range(len(prints)) if (d := (prints[i] ^ prints[j]).bit_count()) <= 3}
 
 
+def test_counts_near_prints(spark):
+    """Counts by brute force, with a family of near-equal fingerprints; pairs are compared in a join's condition, not in lists (they were)."""
+    rnd = random.Random(9)
+    base = [rnd.getrandbits(128) for _ in range(60)]
+    near = {x ^ sum(1 << b for b in rnd.sample(range(128), k)) for x in base[:40] for k in (1, 15, 29, 30)}
+    prints = [*base, *sorted(near), *(base[0] ^ (1 << b) for b in range(0, 128, 2))]
+    prints = list(dict.fromkeys(prints))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    halves = lambda x: (signed(x & (2**64 - 1)), signed(x >> 64))
+    df = spark.createDataFrame([(*halves(x), 1 + i % 3) for i, x in enumerate(prints)], "fa long, fb long, n long")
+    counts = fingerprints.near_counts(df.where("n = 1"), df)
+    got = {(r["fa"], r["fb"]): r["k"] for r in counts.collect()}
+    assert got == {halves(x): sum(1 + j % 3 for j, y in enumerate(prints) if (x ^ y).bit_count() <= fingerprints.RADIUS) for i, x in enumerate(prints) if i % 3 == 0}
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "collect_list" not in plan
+
+
 def test_neighbours_of_edited_texts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(fingerprints, "MEMBERS", 3)
     rnd = random.Random(11)
