@@ -23,7 +23,7 @@ from ._store import drop, staged
 
 WEIGHTS = (5, 2, 1)
 SIZE = r"coalesce(regexp_count(text, '[^\\x20\\x09-\\x0D]+'), 0)"
-BUCKETS, MOST_SOURCES = 1 << 16, 50_000
+BUCKETS, MOST_SOURCES, STEPS = 1 << 16, 50_000, 2000
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, cap: float = 3.0) -> DataFrame:
@@ -117,26 +117,54 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
 def _down(pool: DataFrame, state: DataFrame, n_sources: int) -> DataFrame:
     """Down the order of ``pool`` (source, size, bucket, place): source, turns.
 
-    Each turn takes all documents before the first that does not fit, and goes on with those after it that do, until none is left:
-    it takes the places between ``after`` and ``before`` with sizes up to its ``gap``. No row is written or shuffled for that but
-    the sums by bucket and the rows of the bucket that holds the cut.
+    A turn takes the places between ``after`` and ``before`` with sizes up to its ``gap``. The first ends before the first document
+    that does not fit, which the sums by bucket and the rows of one bucket tell. What is open then is less than that document, so
+    from there on a fold goes down the next ``STEPS`` documents of a size that is open, through all that do not fit, until none is left.
     """
     place = pool.schema["place"].dataType.simpleString()
     state = state.select("source", "gap", F.lit(None).cast(place).alias("after"), F.lit(True).alias("open"), F.array().cast(f"array<struct<after:{place},before:{place},gap:double>>").alias("turns"))
     state, going = _small_state(state, n_sources)
+    find = _cuts
     while going:
-        found = _cuts(pool, state.where("open").select("source", "gap", "after"), n_sources)
+        found = find(pool, state.where("open").select("source", "gap", "after"), n_sources)
         both = _per_source(state, found, n_sources, "left")
-        turn = F.struct("after", F.col("before").alias("before"), F.col("gap").cast("double").alias("gap"))
-        left = F.col("gap") - F.coalesce("words", F.lit(0))
-        both = both.select(
-            "source", F.when(F.col("open"), left).otherwise(F.col("gap")).alias("gap"), F.coalesce("before", "after").alias("after"),
-            (F.col("open") & F.col("before").isNotNull() & (left >= 1)).alias("open"), F.when(F.col("open"), F.concat("turns", F.array(turn))).otherwise(F.col("turns")).alias("turns"),
-        )
+        if find is _cuts:
+            turn = F.struct("after", F.col("before").alias("before"), F.col("gap").cast("double").alias("gap"))
+            left = F.col("gap") - F.coalesce("words", F.lit(0))
+            both = both.select(
+                "source", F.when(F.col("open"), left).otherwise(F.col("gap")).alias("gap"), F.coalesce("before", "after").alias("after"),
+                (F.col("open") & F.col("before").isNotNull() & (left >= 1)).alias("open"), F.when(F.col("open"), F.concat("turns", F.array(turn))).otherwise(F.col("turns")).alias("turns"),
+            )
+        else:
+            more = F.coalesce("n", F.lit(0)) == STEPS
+            both = both.select(
+                "source", F.coalesce("walk.left", "gap").alias("gap"), F.when(more, F.col("last")).otherwise(F.col("after")).alias("after"),
+                (F.col("open") & more & (F.col("walk.left") >= 1)).alias("open"), F.when(F.col("walk").isNotNull(), F.concat("turns", "walk.turns")).otherwise(F.col("turns")).alias("turns"),
+            )
+        find = _walks
         state, going = _small_state(both, n_sources)
     return state.select("source", "turns")
 
 
+def _walks(pool: DataFrame, state: DataFrame, n_sources: int) -> DataFrame:
+    """source, n, last, walk: the next ``STEPS`` documents of an open size, their last place, and what a fold over them takes (turns) and
+    leaves (left). Sources without such a document have no row."""
+    rows = _per_source(pool, state, n_sources).where("size <= gap and (after is null or place > after)")
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("place"))).where(F.col("nth") <= STEPS)
+    lists = first.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("place", "size"))).alias("x"), F.first("gap").alias("gap"), F.first("after").alias("after"))
+    place = pool.schema["place"].dataType.simpleString()
+    last = "element_at(x, -1).place"
+    turn = lambda after, before, gap: f"array(named_struct('after', {after}, 'before', {before}, 'gap', {gap}))"
+    state_ = lambda left, gap, after, turns: f"named_struct('left', {left}, 'gap', {gap}, 'after', {after}, 'turns', {turns})"
+    start = state_("cast(gap AS double)", "cast(gap AS double)", "after", f"cast(array() AS array<struct<after:{place},before:{place},gap:double>>)")
+    fits, cut = state_("a.left - d.size", "a.gap", "a.after", "a.turns"), state_("a.left", "a.left", "d.place", f"concat(a.turns, {turn('a.after', 'd.place', 'a.gap')})")
+    # The last turn ends just behind the last place, or holds for all that follow where there are none.
+    behind = f"if(size(x) = {STEPS}, named_struct('value', {last}.value, 'doc', {last}.doc, 'size', {last}.size, 'row', {last}.row + 1), null)"
+    end = f"named_struct('left', a.left, 'turns', concat(a.turns, {turn('a.after', behind, 'a.gap')}))"
+    walk = F.expr(f"aggregate(x, {start}, (a, d) -> CASE WHEN d.size > a.gap THEN a WHEN d.size <= a.left THEN {fits} ELSE {cut} END, a -> {end})")
+    return lists.select("source", F.size("x").alias("n"), F.expr(last).alias("last"), walk.alias("walk"))
+
+
 def _small_state(table: DataFrame, n_sources: int) -> tuple[DataFrame, bool]:
     """A table of one row a source, worked out, and whether one of them is open."""
     if n_sources > MOST_SOURCES:

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +124,21 @@ def test_block_tables_find_all_within_the_radius(spark, monkeypatch):
     assert got == {(i, j, d) for i in range(0, len(prints), 20) for j in range(len(prints)) if (d := (prints[i] ^ prints[j]).bit_count()) <= 3}
 
 
+@pytest.mark.parametrize("steps", [3, 2000])
+def test_mix_takes_few_turns(spark, monkeypatch, steps):
+    """The walk past documents that don't fit is a fold, not a query each (of which op5 needed more than three here), in one length or several."""
+    seen = []
+    small = mixing._small_state
+    monkeypatch.setattr(mixing, "_small_state", lambda *a: seen.append(1) or small(*a))
+    monkeypatch.setattr(mixing, "STEPS", steps)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {tuple(r) for r in mixing.mix(docs).select("doc_id", "size", "source_size", "taken", "copies").collect()}
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    assert got == set(con.execute(f"SELECT doc_id, size, source_size, taken, copies FROM ({mixing.ORACLE})").fetchall())
+    assert steps == 3 or len(seen) <= 3
+
+
 def test_counts_near_prints(spark):
     """Counts by brute force, with a family of near-equal fingerprints; pairs are compared in a join's condition, not in lists (they were)."""
     rnd = random.Random(9)
