@@ -50,7 +50,7 @@ def joined(raw: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the hash's multiplier and of its inverse, modulo 2**64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, min(1 << 21, 1 << max(16, n.bit_length())))  # the driver hashes short texts only, and keeps the tables
         with np.errstate(over="ignore"):
             _powers[:] = [np.cumprod(np.r_[U(1), np.full(size - 1, U(m))]) for m in (_MULT, _INV)]
     return _powers[0][:n], _powers[1][:n]

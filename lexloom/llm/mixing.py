@@ -16,6 +16,8 @@ without one, count each for themselves; other columns are kept out of the result
 result.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,9 +55,11 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     )
 
 
-def _small(table: DataFrame, n_sources: int) -> DataFrame:
-    """A table of at most one row a source, worked out: up to ``MOST_SOURCES`` rows (some 5 MB) by the driver, more in files."""
-    return table.sparkSession.createDataFrame(table.collect(), table.schema) if n_sources <= MOST_SOURCES else staged(table, "sources")
+def _small(table: DataFrame) -> tuple[DataFrame, int]:
+    """A table of one row a source, worked out, and the number of its rows, as far as ``MOST_SOURCES`` + 1 of them: up to
+    ``MOST_SOURCES`` rows (some 5 MB) by the driver, more in files."""
+    rows = table.limit(MOST_SOURCES + 1).collect()
+    return (table.sparkSession.createDataFrame(rows, table.schema) if len(rows) <= MOST_SOURCES else staged(table, "sources")), len(rows)
 
 
 def _per_source(rows: DataFrame, table: DataFrame, n_sources: int, how: str = "inner") -> DataFrame:
@@ -66,17 +70,18 @@ def _per_source(rows: DataFrame, table: DataFrame, n_sources: int, how: str = "i
 
 
 def _rates(sized: DataFrame, goal: DataFrame, n_sources: int) -> DataFrame:
-    """source, rate, longest: p = rate * size for documents up to the longest that isn't certain."""
-    by_size = _per_source(sized.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), goal, n_sources)
+    """``goal`` (a row a source, with ``rest``) and longest, rate: p = rate * size for documents up to the longest that isn't certain."""
+    by_size = _per_source(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), goal, n_sources)
     upto = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     above = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
-    open_ = (
+    rates = (
         by_size.withColumn("squares", F.sum(F.col("size") * F.col("size") * F.col("n")).over(upto).cast("double"))
         .withColumn("longer", F.coalesce(F.sum(F.col("size") * F.col("n")).over(above), F.lit(0)).cast("double"))
-        .withColumn("rate", (F.col("rest") - F.col("longer")) / F.col("squares"))
-        .where("rate > 0 and rate * size < 1")
+        .withColumn("rate", F.when(F.col("size") > 0, (F.col("rest") - F.col("longer")) / F.col("squares")))
     )
-    return open_.groupBy("source").agg(F.max(F.struct("size", "rate")).alias("x")).select("source", F.col("x.size").alias("longest"), F.col("x.rate").alias("rate"))
+    best = F.max(F.when(F.expr("rate > 0 and rate * size < 1"), F.struct("size", "rate"))).alias("x")
+    own = [c for c in goal.columns if c != "source"]
+    return rates.groupBy("source").agg(*(F.first(c).alias(c) for c in own), best).select("source", *own, F.col("x.size").alias("longest"), F.col("x.rate").alias("rate"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, cap: float = 3.0, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -85,9 +90,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     sized = staged(docs.select("doc_id", "source", *keep, F.expr(SIZE).cast("long").alias("size")), "sizes")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     goal = targets(sized, weights, share, cap).withColumn("certain", F.floor(ratio).cast("long")).withColumn("rest", (ratio - F.floor(ratio)) * F.col("source_size"))
-    goal = staged(goal, "targets")
-    n_sources = goal.count()
-    goal = _small(_per_source(goal, _small(_rates(sized, goal.select("source", "rest"), n_sources), n_sources), n_sources, "left"), n_sources)
+    goal, n_sources = _small(goal)
+    goal, _ = _small(_rates(sized, goal, n_sources))
     unit = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), F.col("size").cast("string"))), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(16**13))
     p = F.col("rate") * F.col("size")
     may = (F.col("size") > 0) & (F.col("rest") > 0)
@@ -102,10 +106,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     place = F.struct(F.coalesce("rank_value", -F.col("size").cast("double")).alias("value"), F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("doc"), "size", "row")
     in_order = F.col("whole") | F.col("rank_value").isNotNull()
     rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("bucket", F.when(in_order, bucket)).withColumn("place", F.when(in_order, place))
-    ranked = staged(rows.select("doc_id", "source", *keep, "size", "source_size", "target", "certain", "bucket", "place"), "ranked")
+    ranked = staged(rows.select("doc_id", "source", *keep, "size", "source_size", "target", "certain", "rest", "bucket", "place"), "ranked")
     drop(spark, sized)
-    turns = _down(ranked.where("place is not null").select("source", "size", "bucket", "place"), goal.select("source", F.col("rest").alias("gap")), n_sources)
+    turns = _down(ranked.where("place is not null").select("source", "size", "bucket", "place", "rest"), n_sources)
     taken = F.exists("turns", lambda t: (t["after"].isNull() | (F.col("place") > t["after"])) & (t["before"].isNull() | (F.col("place") < t["before"])) & (F.col("size") <= t["gap"]))
+    taken = F.when(F.col("turns").isNull(), F.col("size") <= F.col("rest")).otherwise(taken)  # all that fit alone fit together
     drawn = F.when(F.col("place").isNotNull() & taken, 1).otherwise(0)
     copies = F.when(F.col("size") > 0, F.col("certain") + drawn).otherwise(0).cast("long")
     return (
@@ -114,41 +119,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0,
     )
 
 
-def _down(pool: DataFrame, state: DataFrame, n_sources: int) -> DataFrame:
-    """Down the order of ``pool`` (source, size, bucket, place): source, turns.
+def _down(pool: DataFrame, n_sources: int) -> DataFrame:
+    """Down the order of ``pool`` (source, size, bucket, place, rest): source, turns. Sources of which all documents fit have no row.
 
     A turn takes the places between ``after`` and ``before`` with sizes up to its ``gap``. The first ends before the first document
     that does not fit, which the sums by bucket and the rows of one bucket tell. What is open then is less than that document, so
     from there on a fold goes down the next ``STEPS`` documents of a size that is open, through all that do not fit, until none is left.
     """
-    place = pool.schema["place"].dataType.simpleString()
-    state = state.select("source", "gap", F.lit(None).cast(place).alias("after"), F.lit(True).alias("open"), F.array().cast(f"array<struct<after:{place},before:{place},gap:double>>").alias("turns"))
-    state, going = _small_state(state, n_sources)
-    find = _cuts
+    rounds, going = [], True
     while going:
-        found = find(pool, state.where("open").select("source", "gap", "after"), n_sources)
-        both = _per_source(state, found, n_sources, "left")
-        if find is _cuts:
-            turn = F.struct("after", F.col("before").alias("before"), F.col("gap").cast("double").alias("gap"))
-            left = F.col("gap") - F.coalesce("words", F.lit(0))
-            both = both.select(
-                "source", F.when(F.col("open"), left).otherwise(F.col("gap")).alias("gap"), F.coalesce("before", "after").alias("after"),
-                (F.col("open") & F.col("before").isNotNull() & (left >= 1)).alias("open"), F.when(F.col("open"), F.concat("turns", F.array(turn))).otherwise(F.col("turns")).alias("turns"),
-            )
-        else:
-            more = F.coalesce("n", F.lit(0)) == STEPS
-            both = both.select(
-                "source", F.coalesce("walk.left", "gap").alias("gap"), F.when(more, F.col("last")).otherwise(F.col("after")).alias("after"),
-                (F.col("open") & more & (F.col("walk.left") >= 1)).alias("open"), F.when(F.col("walk").isNotNull(), F.concat("turns", "walk.turns")).otherwise(F.col("turns")).alias("turns"),
-            )
-        find = _walks
-        state, going = _small_state(both, n_sources)
-    return state.select("source", "turns")
+        # Only sources that are open go on, and turns are put together once, at the end.
+        found = _walks(pool, rounds[-1].where("open").select("source", "gap", "after"), n_sources) if rounds else _cuts(pool, n_sources)
+        found, going = _small_state(found, n_sources)
+        rounds.append(found)
+    turns = reduce(DataFrame.union, (found.select("source", "turns") for found in rounds))
+    return turns.groupBy("source").agg(F.flatten(F.collect_list("turns")).alias("turns"))
 
 
 def _walks(pool: DataFrame, state: DataFrame, n_sources: int) -> DataFrame:
-    """source, n, last, walk: the next ``STEPS`` documents of an open size, their last place, and what a fold over them takes (turns) and
-    leaves (left). Sources without such a document have no row."""
+    """source, gap, after, open, turns: what a fold over the next ``STEPS`` documents of an open size takes (turns) and leaves (gap),
+    their last place, and whether to go on. Sources without such a document have no row."""
     rows = _per_source(pool, state, n_sources).where("size <= gap and (after is null or place > after)")
     first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy("place"))).where(F.col("nth") <= STEPS)
     lists = first.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("place", "size"))).alias("x"), F.first("gap").alias("gap"), F.first("after").alias("after"))
@@ -162,7 +152,8 @@ def _walks(pool: DataFrame, state: DataFrame, n_sources: int) -> DataFrame:
     behind = f"if(size(x) = {STEPS}, named_struct('value', {last}.value, 'doc', {last}.doc, 'size', {last}.size, 'row', {last}.row + 1), null)"
     end = f"named_struct('left', a.left, 'turns', concat(a.turns, {turn('a.after', behind, 'a.gap')}))"
     walk = F.expr(f"aggregate(x, {start}, (a, d) -> CASE WHEN d.size > a.gap THEN a WHEN d.size <= a.left THEN {fits} ELSE {cut} END, a -> {end})")
-    return lists.select("source", F.size("x").alias("n"), F.expr(last).alias("last"), walk.alias("walk"))
+    walked = lists.select("source", (F.size("x") == STEPS).alias("more"), F.expr(last).alias("after"), walk.alias("walk"))
+    return walked.select("source", F.col("walk.left").alias("gap"), "after", (F.col("more") & (F.col("walk.left") >= 1)).alias("open"), "walk.turns")
 
 
 def _small_state(table: DataFrame, n_sources: int) -> tuple[DataFrame, bool]:
@@ -174,16 +165,19 @@ def _small_state(table: DataFrame, n_sources: int) -> tuple[DataFrame, bool]:
     return table.sparkSession.createDataFrame(rows, table.schema), any(r["open"] for r in rows)
 
 
-def _cuts(pool: DataFrame, state: DataFrame, n_sources: int) -> DataFrame:
-    """source, before, words: the place of the first document that does not fit, and the words of those before it. Sources in which
-    all fit have no row."""
-    rows = _per_source(pool, state, n_sources).where("size <= gap and (after is null or place > after)")
+def _cuts(pool: DataFrame, n_sources: int) -> DataFrame:
+    """source, gap, after, open, turns: the turn up to the first document that does not fit, that document's place, and what is open
+    there. Sources in which all fit have no row."""
+    rows = pool.where("size <= rest")
     w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("gap").alias("gap")).withColumn("upto", F.sum("words").over(w))
-    over = sums.where("upto > gap").groupBy("source").agg(F.min("bucket").alias("cut"), F.min(F.col("upto") - F.col("words")).alias("earlier"))  # words before a bucket ascend
+    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest")).withColumn("upto", F.sum("words").over(w))
+    over = sums.where("upto > rest").groupBy("source").agg(F.min("bucket").alias("cut"), F.min(F.col("upto") - F.col("words")).alias("earlier"))  # words before a bucket ascend
     inside = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = _per_source(rows, over, n_sources).where("bucket = cut").withColumn("upto", F.col("earlier") + F.sum("size").over(inside)).where("upto > gap")
-    return last.groupBy("source").agg(F.min(F.struct("place", (F.col("upto") - F.col("size")).alias("words"))).alias("x")).select("source", F.col("x.place").alias("before"), F.col("x.words").alias("words"))
+    last = _per_source(rows, over, n_sources).where("bucket = cut").withColumn("upto", F.col("earlier") + F.sum("size").over(inside)).where("upto > rest")
+    first = last.groupBy("source").agg(F.min(F.struct("place", (F.col("upto") - F.col("size")).alias("words"))).alias("x"), F.first("rest").alias("rest"))
+    turn = F.struct(F.lit(None).cast(pool.schema["place"].dataType).alias("after"), F.col("x.place").alias("before"), F.col("rest").cast("double").alias("gap"))
+    gap = (F.col("rest") - F.col("x.words")).cast("double")
+    return first.select("source", gap.alias("gap"), F.col("x.place").alias("after"), (gap >= 1).alias("open"), F.array(turn).alias("turns"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import _store, chat, decontaminate, fingerprints, graph, jaccard, mixing, pii, quality, substrings, tokens
+from lexloom.llm import _store, _text, chat, decontaminate, fingerprints, graph, jaccard, mixing, pii, quality, substrings, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, score string, drawn string, h string"
 
@@ -139,6 +139,42 @@ def test_mix_takes_few_turns(spark, monkeypatch, steps):
     assert steps == 3 or len(seen) <= 3
 
 
+def test_mix_asks_little_of_the_driver(spark):
+    """Each job costs the driver a broadcast and compiled code: it ran 28 of them, and passed its memory when the mix came after other work."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    spark.sparkContext.setJobGroup("mix", "mix")
+    mixing.mix(docs).write.format("noop").mode("overwrite").save()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("mix")) <= 22
+
+
+def test_mix_of_many_sources_in_files(spark, monkeypatch):
+    """Beyond ``MOST_SOURCES`` tables of a row a source stay in files and are joined: the SQL's result, with sources that are open for
+    several turns, that all fit, and that have no words."""
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 1)
+    monkeypatch.setattr(mixing, "STEPS", 8)
+    rnd = random.Random(12)
+    rows = [(i, " ".join(["w"] * rnd.choice([1, 2, 5, 9, 40, 300])), rnd.choice(["a", "b", None, "c"])) for i in range(150)]
+    rows += [(900, "w w w", "one"), (901, "", "none"), (902, None, "none")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {tuple(r) for r in mixing.mix(docs).select("doc_id", "size", "source_size", "taken", "copies").collect()}
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    assert got == set(con.execute(f"SELECT doc_id, size, source_size, taken, copies FROM ({mixing.ORACLE})").fetchall())
+
+
+def test_powers_take_what_they_need():
+    """The tables of powers grow with the texts (64 MB of the driver's memory were held for any); spans hash alike in short and long ones."""
+    _text._powers.clear()
+    hashes = _text.words([b"one two", b"two"], _text.PLAIN_WORD)[0]
+    assert hashes[1] == hashes[2] and sum(t.nbytes for t in _text._powers) <= 2 << 20
+    again = _text.words([b"x " * 200_000 + b"two"], _text.PLAIN_WORD)[0]
+    assert again[-1] == hashes[1] and len(set(again[:-1].tolist())) == 1
+    up, down = _text.powers(3_000_000)
+    assert len(up) == len(down) == 3_000_000 and int(up[-1]) == pow(_text._MULT, 2_999_999, 2**64) and int(down[-1]) == pow(_text._INV, 2_999_999, 2**64)
+    _text._powers.clear()
+
+
 def test_counts_near_prints(spark):
     """Counts by brute force, with a family of near-equal fingerprints; pairs are compared in a join's condition, not in lists (they were)."""
     rnd = random.Random(9)
